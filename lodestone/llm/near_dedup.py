@@ -22,6 +22,8 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -111,7 +113,7 @@ def _verifier(k: int, threshold: int):
 
 
 def _blocks(threshold: int):
-    """Rows ordered by (band, key, g1, g2) -> candidate pairs within each block.
+    """Rows ordered by (band, key, g, g1, g2) -> candidate pairs within each block.
 
     A pair is told only in the first band that it shares, and only if its
     components differ and enough signature entries agree.
@@ -126,6 +128,8 @@ def _blocks(threshold: int):
             j = j[(rows["comp"][j] != rows["comp"][i])]
             lo, hi = np.minimum(rows["n"][j], rows["n"][i]), np.maximum(rows["n"][j], rows["n"][i])
             j = j[100 * lo >= threshold * hi]
+            if rows["up"][i]:  # two of the next class meet in its own groups
+                j = j[rows["up"][j] == 0]
             if rows["g1"][0] != rows["g2"][0]:  # pairs within one block come in their own group
                 j = j[rows["own"][j] != rows["own"][i]]
             j = j[(codes[j] == codes[i]).sum(axis=1) >= ENOUGH] if len(j) else j
@@ -133,7 +137,7 @@ def _blocks(threshold: int):
             for x in j:
                 yield int(rows["rep"][i]), int(rows["rep"][x])
 
-    names = ("band", "key", "g1", "g2", "own", "rep", "comp", "n")
+    names = ("band", "key", "g", "g1", "g2", "own", "up", "rep", "comp", "n")
 
     def run(batches):
         held, last = [], None
@@ -146,10 +150,10 @@ def _blocks(threshold: int):
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in (*names, "codes")), strict=True):
-                if last is not None and row[:4] != last:
+                if last is not None and row[:5] != last:
                     yield flush()
                     held = []
-                last = row[:4]
+                last = row[:5]
                 held.append(row)
         if held:
             yield flush()
@@ -239,12 +243,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
         now = bands.join(comps, bands.rep == comps.node, "left").select("band", "key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
         mixed = now.groupBy("band", "key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("c")).where("c1 <> c2").select("band", "key", "c")
         open_ = scratch.keep(now.join(mixed, ["band", "key"]), f"open-{t}")
-    # what the pivots left: all pairs of different components, in blocks, by signature
-    spread = open_.withColumn("nb", F.expr(f"CAST(ceil(c / {BLOCK}.0) AS INT)")).withColumn("own", F.expr("CAST(pmod(xxhash64(rep, 1), nb) AS INT)"))
-    spread = spread.withColumn("j", F.explode(F.expr("sequence(0, nb - 1)"))).select("band", "key", F.least("own", "j").alias("g1"), F.greatest("own", "j").alias("g2"), "own", "rep", "comp", "n")
+    # what the pivots left: pairs of different components and like sizes, in blocks, by signature
+    step = math.log(100.0 / threshold * 1.0001)  # sizes that may link are of one class or of two next to each other
+    spread = open_.withColumn("s", F.floor(F.log("n") / step)).withColumn("g", F.explode(F.expr("array(s, s - 1)"))).withColumn("up", (F.col("g") < F.col("s")).cast("int"))
+    sizes = spread.groupBy("band", "key", "g").agg(F.count("*").alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("up").alias("u")).where("c1 <> c2 AND u = 0").select("band", "key", "g", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
+    spread = spread.join(sizes, ["band", "key", "g"]).withColumn("own", F.expr("CAST(pmod(xxhash64(rep, 1), nb) AS INT)"))
+    order = ["band", "key", "g", "g1", "g2"]
+    spread = spread.withColumn("j", F.explode(F.expr("sequence(0, nb - 1)"))).select("band", "key", "g", F.least("own", "j").alias("g1"), F.greatest("own", "j").alias("g2"), "own", "up", "rep", "comp", "n")
     spread = spread.join(classes.select("rep", "codes"), "rep")
-    order = ["band", "key", "g1", "g2"]
-    rest = spread.repartition(*order).sortWithinPartitions(*order).select(*order, "own", "rep", "comp", "n", "codes").mapInArrow(_blocks(threshold), "a long, b long").distinct()
+    rest = spread.repartition(*order).sortWithinPartitions(*order).select(*order, "own", "up", "rep", "comp", "n", "codes").mapInArrow(_blocks(threshold), "a long, b long").distinct()
     found = scratch.keep(verified(scratch.keep(rest, "pairs-rest")), "links-rest")
     comps = scratch.keep(components(links.union(found), scratch, "comps-rest"), "comp-rest")
     whole = classes.join(comps, classes.rep == comps.node, "left").select("h1", "h2", F.coalesce("comp", "rep").alias("comp"))

@@ -2,9 +2,9 @@
 
 Each text's character-class histogram and its histogram over its language's
 common words are compared with the language's reference by the Jensen-Shannon
-distance (base 2, so 0 to 1). The references are the pooled histograms of all
-texts of the language in the table. A text too short for a histogram is not
-judged by it.
+distance (base 2, so 0 to 1). The references are made of the median shares over
+all texts of the language in the table, so that poor texts, being fewer than
+half, do not move them. A text too short for a histogram is not judged by it.
 
 Edge cases: a null text has no words; a null or unknown language is a language
 of its own whose common words are those of all lists; rows that repeat count
@@ -35,8 +35,8 @@ def _js(p: str, q: str) -> Column:
     """Jensen-Shannon distance of two arrays of counts."""
     return F.expr(f"""
         sqrt(greatest(0D, aggregate(zip_with(
-            transform({p}, x -> x / greatest(1D, aggregate({p}, 0D, (s, v) -> s + v))),
-            transform({q}, x -> x / greatest(1D, aggregate({q}, 0D, (s, v) -> s + v))),
+            transform({p}, x -> x / greatest(1e-9D, aggregate({p}, 0D, (s, v) -> s + v))),
+            transform({q}, x -> x / greatest(1e-9D, aggregate({q}, 0D, (s, v) -> s + v))),
             (a, b) -> (CASE WHEN a > 0 THEN a * log2(2 * a / (a + b)) ELSE 0D END + CASE WHEN b > 0 THEN b * log2(2 * b / (a + b)) ELSE 0D END) / 2),
             0D, (s, v) -> s + v)))""")
 
@@ -74,21 +74,30 @@ def features(docs: DataFrame, carry: list[str]) -> DataFrame:
     return d.withColumn("n_repeat_words", covered).drop("_at")
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, carry: list[str] | None = None, most_char_js: float = 0.22, most_word_js: float = 0.55, least_chars: int = 100, least_words: int = 50, most_languages: int = 10_000) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, carry: list[str] | None = None, most_char_js: float = 0.15, short_slack: float = 6.0, most_word_js: float = 0.5, least_chars: int = 100, least_words: int = 50, most_languages: int = 10_000) -> DataFrame:
     """carry (doc_id unless given), the counts, char_js, word_js, base_failed and
-    kept for each row of docs(text, lang, ...)."""
+    kept for each row of docs(text, lang, ...).
+
+    Few words make rough histograms: the character limit is most_char_js plus
+    short_slack / n_words.
+    """
     carry = ["doc_id"] if carry is None else carry
-    own = Scratch(spark, "quality").keep(features(docs, carry), "features")
-    width = {len(v) + 1 for v in COMMON.values()}
-    width = max(width | {len({w for ws in COMMON.values() for w in ws}) + 1})
-    sums = lambda c, n: F.array(*[F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0)) for i in range(n)])
-    refs = own.groupBy("_lang").agg(sums("chars", len(CLASSES)).alias("_rc"), sums("words", width).alias("_rw")).withColumnRenamed("_lang", "_ref")
+    scratch = Scratch(spark, "quality")
+    own = scratch.keep(features(docs, carry), "features")
+    width = max(len(v) for v in COMMON.values()) + 1
+    width = max(width, len({w for ws in COMMON.values() for w in ws}) + 1)
+    # shares to three places: exact medians of at most 1001 values each, merged in part
+    share = lambda c, i: F.round(F.get(c, F.lit(i)) / F.greatest(F.lit(1), F.aggregate(c, F.lit(0).cast("long"), lambda s, v: s + v)), 3)
+    medians = lambda c, n: F.array(*[F.coalesce(F.percentile(share(c, i), 0.5), F.lit(0.0)) for i in range(n)])
+    refs = own.where("n_words >= 20").groupBy("_lang").agg(medians("chars", len(CLASSES)).alias("_rc"), medians("words", width).alias("_rw")).withColumnRenamed("_lang", "_ref")
+    refs = scratch.keep(refs, "references")
     # one row a language; past the bound the join is left to Spark
     if refs.count() <= most_languages:
         refs = F.broadcast(refs)
     d = own.join(refs, F.col("_lang").eqNullSafe(F.col("_ref")), "left")
     d = d.withColumn("_rw", F.expr("slice(_rw, 1, size(words))"))
+    d = d.withColumn("_rc", F.coalesce("_rc", F.expr("transform(chars, x -> CAST(x AS DOUBLE))"))).withColumn("_rw", F.coalesce("_rw", F.expr("transform(words, x -> CAST(x AS DOUBLE))")))
     d = d.withColumn("char_js", _js("chars", "_rc")).withColumn("word_js", _js("words", "_rw"))
-    far = ((F.col("char_js") > most_char_js) & (F.expr("aggregate(chars, 0L, (s, v) -> s + v)") >= least_chars)) | ((F.col("word_js") > most_word_js) & (F.col("n_words") >= least_words))
+    far = ((F.col("char_js") > most_char_js + short_slack / F.greatest(F.col("n_words"), F.lit(1))) & (F.expr("aggregate(chars, 0L, (s, v) -> s + v)") >= least_chars)) | ((F.col("word_js") > most_word_js) & (F.col("n_words") >= least_words))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return d.select(*carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_js", "word_js", failed.alias("base_failed"), (~failed & ~far).alias("kept"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,8 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to workers that would not find it by their path."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {os.getcwd()}
+    sc = spark.sparkContext
+    if root in known or getattr(sc, "_lodestone_shipped", False):
+        return
+    at = tempfile.mkdtemp(prefix="lodestone-ship-")  # executors fetch it from the driver at any time
+    sc.addPyFile(shutil.make_archive(os.path.join(at, "lodestone_package"), "zip", root, "lodestone"))
+    sc._lodestone_shipped = True
+
+
 def bounded(spark: SparkSession) -> None:
     """Keep Arrow batches small: texts can be long."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

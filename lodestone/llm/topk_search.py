@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .storage import Scratch
+from .storage import Scratch, bounded
 
 LISTS = 4
 BLOCK_ROWS = 2048
@@ -128,6 +128,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
 
     Both hold id long and v array<long>.
     """
+    bounded(spark)
     scratch = Scratch(spark, "topk")
     vectors, queries = scratch.keep(vectors.where("id IS NOT NULL"), "vectors"), queries.where("id IS NOT NULL").dropDuplicates(["id"])
     queries = scratch.keep(queries, "queries")
