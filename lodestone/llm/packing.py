@@ -5,9 +5,12 @@ remains of it is one piece. Piece lengths, rounded up to ``UNIT`` ids, make a
 histogram of at most size / UNIT classes, whatever the number of documents. A
 linear program over patterns (how many pieces of which classes share a
 sequence) is solved by column generation: knapsack dynamic programming prices
-new patterns until none lowers the number of sequences. The patterns' rounded
-counts, and first-fit-decreasing for what rounding leaves, are then dealt to
-the pieces by their rank within their class.
+new patterns until none lowers the number of sequences. The counts of those
+patterns that fill a sequence, rounded down, are dealt to the pieces by their
+rank within their class. The pieces that are left (rounding, and lengths that
+fill no pattern) lie end to end in the order of class and rank, and are cut
+where a sequence ends, at a multiple of ``GRAIN`` ids; checksums of both parts
+at these places come with each piece, so nothing is encoded twice.
 
 Ranks come from counts by class and hash bucket and a sort within each bucket,
 so no class has to pass through one task.
@@ -20,6 +23,7 @@ further columns are ignored.
 from __future__ import annotations
 
 import base64
+import math
 import zlib
 from collections import Counter
 
@@ -32,9 +36,12 @@ from pyspark.sql.window import Window as W
 from .storage import Scratch, bounded
 from .tokens import tokenizer_path
 
-UNIT = 4
+UNIT = 8
 BUCKETS = 256
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+GRAIN = 16
+#: Share of a sequence that a pattern must fill.
+FULL = 0.985
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, heads array<long>, tails array<long>"
 _encoders: dict = {}
 
 
@@ -69,7 +76,9 @@ def encoder(json_path: str, ranks_path: str | None):
     return _encoders[key]
 
 
-def _cutter(size: int, end: int, json_path: str | None, ranks_path: str | None, fast: bool):
+def _cutter(size: int, end: int, full: int, grain: int, json_path: str | None, ranks_path: str | None, fast: bool):
+    """Texts -> pieces. Pieces of ``full`` ids or more are never cut again."""
+
     def run(batches):
         json_file = json_path or tokenizer_path("byte_bpe_50k.json")
         ranks_file = ranks_path or (tokenizer_path("byte_bpe_50k.tiktoken") if fast and json_path is None else None)
@@ -79,9 +88,15 @@ def _cutter(size: int, end: int, json_path: str | None, ranks_path: str | None,
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = np.array([*encode(text or ""), end], dtype="<u4")
                 for at in range(0, len(ids), size):
-                    part = ids[at : at + size]
-                    out.append((doc, at, len(part), zlib.crc32(part.tobytes()), len(ids)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(5)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    part = ids[at : at + size].tobytes()
+                    cuts = range(4 * grain, len(part), 4 * grain) if len(part) < 4 * full else ()
+                    heads, crc = [], 0
+                    for c in cuts:
+                        crc = zlib.crc32(part[c - 4 * grain : c], crc)
+                        heads.append(crc)
+                    out.append((doc, at, len(part) // 4, zlib.crc32(part), len(ids), heads, [zlib.crc32(part[c:]) for c in cuts]))
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "heads", "tails"])
 
     return run
 
@@ -137,39 +152,23 @@ def column_generation(widths: np.ndarray, demand: np.ndarray, room: int, gap: fl
     return [(basis[i], float(x[i])) for i in range(n) if x[i] > 1e-9]
 
 
-def plan(histogram: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]:
-    """(pattern: class -> pieces, times) that cover the histogram exactly."""
+def plan(histogram: dict[int, int], room: int, full: float = FULL) -> list[tuple[dict[int, int], int]]:
+    """(pattern: class -> pieces, times) that use at most what the histogram has,
+    each pattern filling a sequence."""
     left = {c: n for c, n in histogram.items() if n > 0}
-    out = []
-    if room in left:
-        out.append(({room: 1}, left.pop(room)))
+    out = [({c: 1}, left.pop(c)) for c in sorted(left) if c >= full * room]
     if not left:
         return out
     widths = np.array(sorted(left))
     demand = np.array([left[int(c)] for c in widths])
-    for pattern, times in sorted(column_generation(widths, demand, room), key=lambda p: -p[1]):
+    for pattern, times in sorted(column_generation(widths, demand, room), key=lambda p: (-p[1], p[0].tolist())):
         used = np.flatnonzero(pattern)
         whole = int(min([np.floor(times + 1e-6), *(left[int(widths[i])] // pattern[i] for i in used)]))
-        if whole > 0:
+        if whole > 0 and int(pattern @ widths) >= full * room:
             out.append(({int(widths[i]): int(pattern[i]) for i in used}, whole))
             for i in used:
                 left[int(widths[i])] -= whole * int(pattern[i])
-    # what rounding leaves: first fit, longest first, by free room
-    bins: list[Counter] = []
-    free: dict[int, list[int]] = {}
-    for c in sorted(left, reverse=True):
-        for _ in range(left[c]):
-            fits = [r for r, b in free.items() if r >= c and b]
-            if fits:
-                r = min(fits)
-                b = free[r].pop()
-            else:
-                r, b = room, len(bins)
-                bins.append(Counter())
-            bins[b][c] += 1
-            free.setdefault(r - c, []).append(b)
-    same = Counter(tuple(sorted(b.items())) for b in bins)
-    return out + [(dict(p), times) for p, times in sorted(same.items())]
+    return out
 
 
 def pack(spark: SparkSession, docs: DataFrame, size: int = 2048, end: int = 1, json_path: str | None = None, ranks_path: str | None = None, fast: bool = True) -> DataFrame:
@@ -178,27 +177,50 @@ def pack(spark: SparkSession, docs: DataFrame, size: int = 2048, end: int = 1, j
     bounded(spark)
     scratch = Scratch(spark, "pack")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    unit = max(1, min(UNIT, size // 2))
-    room = size // unit
-    pieces = rows.mapInArrow(_cutter(size, end, json_path, ranks_path, fast), PIECES)
-    # a length of the last, short unit counts as a full one
-    pieces = pieces.withColumn("c", F.least(F.ceil(F.col("length") / unit).cast("int"), F.lit(room)) if size % unit == 0 else F.least(F.ceil(F.col("length") / unit).cast("int"), F.lit(room)))
+    unit = max(1, min(UNIT, size // 32))
+    room, grain = size // unit, max(1, min(GRAIN, size // 64))
+    whole = math.ceil(FULL * room)  # a piece of this class fills a sequence
+    pieces = rows.mapInArrow(_cutter(size, end, (whole - 1) * unit + 1, grain, json_path, ranks_path, fast), PIECES)
+    pieces = pieces.withColumn("c", F.least(F.ceil(F.col("length") / unit).cast("int"), F.lit(room)))
     pieces = scratch.keep(pieces.withColumn("b", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int")), "pieces")
     counts = scratch.keep(pieces.groupBy("c", "b").agg(F.count("*").alias("n")), "counts")
     histogram = {r[0]: r[1] for r in counts.groupBy("c").agg(F.sum("n")).collect()}  # at most room rows
-    slots, at, taken = [], 0, Counter()
+    slots, sequences, taken = [], 0, Counter()
     for pattern, times in plan(histogram, room):
         for c, per in pattern.items():
-            slots.append((c, taken[c], taken[c] + per * times, per, at))
+            slots.append((c, taken[c], taken[c] + per * times, per, sequences))
             taken[c] += per * times
-        at += times
-    # at most a few patterns a class, so this table is bounded by room as well
-    table = F.broadcast(spark.createDataFrame(slots or [(0, 0, 0, 1, 0)], "sc int, lo long, hi long, per long, base long"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("c").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col("c").alias("c2"), F.col("b").alias("b2"), before.alias("before"))
+        sequences += times
+    up_to = W.unboundedPreceding, -1
+    before = F.coalesce(F.sum("n").over(W.partitionBy("c").orderBy("b").rowsBetween(*up_to)), F.lit(0))
+    # for each class: the rank from which its pieces are left over
+    limits = F.broadcast(spark.createDataFrame([(c, taken[c]) for c in histogram] or [(0, 0)], "lc int, taken long"))
+    starts = counts.select(F.col("c").alias("c2"), F.col("b").alias("b2"), before.alias("before")).join(limits, F.col("c2") == F.col("lc"))
     rank = F.row_number().over(W.partitionBy("c", "b").orderBy("doc_id", "start", "ids_crc32")) - 1
     ranked = pieces.withColumn("r", rank).join(starts, (F.col("c") == F.col("c2")) & (F.col("b") == F.col("b2"))).withColumn("r", F.col("r") + F.col("before"))
-    dealt = ranked.join(table, (F.col("c") == F.col("sc")) & (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
-    dealt = dealt.withColumn("sequence_id", F.col("base") + F.floor((F.col("r") - F.col("lo")) / F.col("per")))
-    place = F.coalesce(F.sum("length").over(W.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("offset", place).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("sequence_id").cast("long").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
+    ranked = scratch.keep(ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "c", "b", "r", (F.col("r") >= F.col("taken")).alias("rest"), F.when(F.col("r") >= F.col("taken"), F.col("heads")).alias("heads"), F.when(F.col("r") >= F.col("taken"), F.col("tails")).alias("tails")), "ranked")
+    # the plan's rows: at most room patterns of at most room classes each
+    table = F.broadcast(spark.createDataFrame(slots or [(0, 0, 0, 1, 0)], "sc int, lo long, hi long, per long, base long"))
+    dealt = ranked.where("NOT rest").join(table, (F.col("c") == F.col("sc")) & (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "o"]
+    dealt = dealt.withColumn("sequence_id", F.col("base") + F.floor((F.col("r") - F.col("lo")) / F.col("per"))).withColumn("o", -F.col("length")).select(*columns)
+    # what is left, end to end: places by class, bucket and rank
+    rest = ranked.where("rest")
+    sums = rest.groupBy("c", "b").agg(F.sum("length").alias("len"))
+    by_class = sums.groupBy("c").agg(F.sum("len").alias("len")).select(F.col("c").alias("c4"), F.coalesce(F.sum("len").over(W.orderBy("c").rowsBetween(*up_to)), F.lit(0)).alias("at_c"))  # at most room rows
+    by_bucket = sums.select(F.col("c").alias("c3"), F.col("b").alias("b3"), F.coalesce(F.sum("len").over(W.partitionBy("c").orderBy("b").rowsBetween(*up_to)), F.lit(0)).alias("at_b"))
+    within = F.coalesce(F.sum("length").over(W.partitionBy("c", "b").orderBy("r").rowsBetween(*up_to)), F.lit(0))
+    rest = rest.withColumn("at", within).join(by_bucket, (F.col("c") == F.col("c3")) & (F.col("b") == F.col("b3"))).join(by_class, F.col("c") == F.col("c4")).withColumn("at", F.col("at") + F.col("at_b") + F.col("at_c"))
+    step = size - grain  # a part may be up to a grain longer than its share
+    own = F.floor(F.col("at") / step)
+    cut = F.when(F.col("at") + F.col("length") > (own + 1) * step, F.floor(((own + 1) * step - F.col("at")) / grain) * grain)
+    rest = rest.withColumn("s", own).withColumn("cut", cut)
+    part = lambda start, length, crc, s, o: F.struct(start.alias("start"), length.cast("long").alias("length"), crc.alias("ids_crc32"), s.cast("long").alias("s"), o.cast("long").alias("o"))
+    n = (F.col("cut") / grain).cast("int")
+    uncut = F.array(part(F.col("start"), F.col("length"), F.col("ids_crc32"), F.col("s"), F.col("at")))
+    second = part(F.col("start") + F.col("cut"), F.col("length") - F.col("cut"), F.get("tails", n - 1), F.col("s") + 1, F.lit(-1))
+    parts = F.when(F.col("cut").isNull(), uncut).when(n == 0, F.array(part(F.col("start"), F.col("length"), F.col("ids_crc32"), F.col("s") + 1, F.lit(-1)))).otherwise(F.array(part(F.col("start"), F.col("cut"), F.get("heads", n - 1), F.col("s"), F.col("at")), second))
+    rest = rest.select("doc_id", "doc_tokens", F.explode(parts).alias("p")).select("doc_id", "p.start", "p.length", "p.ids_crc32", "doc_tokens", (F.col("p.s") + sequences).alias("sequence_id"), F.col("p.o").alias("o"))
+    place = F.coalesce(F.sum("length").over(W.partitionBy("sequence_id").orderBy("o", "doc_id", "start", "ids_crc32").rowsBetween(*up_to)), F.lit(0))
+    out = dealt.unionByName(rest.select(*columns)).withColumn("offset", place)
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("sequence_id").cast("long").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
