@@ -7,8 +7,9 @@ union-find components.
 Candidates never form all pairs of a bucket. Each bucket names a pivot, and its
 members are held against that pivot only; pivots differ from band to band and
 from round to round. What still lies in a bucket with another component after
-these rounds is compared in blocks of bounded size, by signature first, so that
-no link between different texts is lost to the pivots.
+these rounds is compared in blocks of bounded size, by the ``SKETCH`` smallest
+hashes of each set (the whole set, if it has no more), so that no link between
+different texts is lost to the pivots and only likely links leave a block.
 
 With ``BANDS`` bands of ``BAND_ROWS`` entries two texts of similarity 0.8 share
 no band with probability (1 - 0.8**5)**30 < 1e-5.
@@ -35,13 +36,13 @@ from .storage import Scratch, bounded
 
 BANDS, BAND_ROWS = 30, 5
 M = BANDS * BAND_ROWS
-#: Signature entries two texts of similarity 0.8 surely share (120 expected, deviation 4.9).
-ENOUGH = 93
+#: Smallest hashes of a set that blocks compare.
+SKETCH = 256
 #: Members of a bucket that one block holds.
 BLOCK = 128
 PIVOT_ROUNDS = 3
 
-SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, codes binary"
+SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, codes binary, least binary"
 
 
 def _signer(k: int):
@@ -57,8 +58,8 @@ def _signer(k: int):
                     d = xxhash.xxh3_128_intdigest(sets[begin[i] : begin[i + 1]].tobytes())
                     h1[i], h2[i] = np.array([d >> 64, d & (1 << 64) - 1], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(begin)), pa.array(h1), pa.array(h2), pa.array([c.tobytes() for c in codes], pa.binary())],
-                    names=["doc_id", "n_shingles", "h1", "h2", "codes"],
+                    [b.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(begin)), pa.array(h1), pa.array(h2), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([(sets[begin[i] : min(begin[i + 1], begin[i] + SKETCH)] >> np.uint64(K.HASH_BITS - 32)).astype(np.uint32).tobytes() for i in range(hi - lo)], pa.binary())],
+                    names=["doc_id", "n_shingles", "h1", "h2", "codes", "least"],
                 )
 
     return sign
@@ -112,30 +113,47 @@ def _verifier(k: int, threshold: int):
     return verify
 
 
-def _blocks(threshold: int):
-    """Rows ordered by (band, key, g, g1, g2) -> candidate pairs within each block.
+def similarities(sketches: list[np.ndarray], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated Jaccard similarities of all pairs of a block, and how many
+    elements of each union they rest on (0: exact but for 32-bit collisions)."""
+    n = len(sketches)
+    full = size <= SKETCH
+    word, place = np.unique(np.concatenate(sketches), return_inverse=True)
+    row = np.repeat(np.arange(n), [len(x) for x in sketches])
+    often = np.bincount(place)
+    column = np.cumsum(often > 1) - 1
+    use = often[place] > 1
+    row, place, wide = row[use], column[place[use]], int((often > 1).sum())
+    both = np.zeros((n, n), np.float32)
+    for at in range(0, wide, 8192):
+        own = (place >= at) & (place < at + 8192)
+        grid = np.zeros((n, min(8192, wide - at)), np.float32)
+        grid[row[own], place[own] - at] = 1
+        both += grid @ grid.T
+    most = np.array([np.inf if f else float(x[-1]) for x, f in zip(sketches, full, strict=True)])
+    # elements of i up to the least of both sketches' ends
+    upto = np.stack([np.searchsorted(x, np.minimum(most, 2.0**33), side="right") for x in sketches])
+    union = upto + upto.T - both
+    return both / np.maximum(union, 1), np.where(full[:, None] & full[None], 0, union)
 
-    A pair is told only in the first band that it shares, and only if its
-    components differ and enough signature entries agree.
-    """
+
+def _blocks(threshold: int):
+    """Rows ordered by (band, key, g, g1, g2) -> likely links within each block:
+    pairs of different components and like sizes."""
+    t = threshold / 100
 
     def pairs(rows: dict[str, np.ndarray]):
-        codes = rows["codes"]
-        keys = _band_keys(codes)
-        n, band = len(codes), int(rows["band"][0])
-        for i in range(n - 1):
-            j = np.arange(i + 1, n)
-            j = j[(rows["comp"][j] != rows["comp"][i])]
-            lo, hi = np.minimum(rows["n"][j], rows["n"][i]), np.maximum(rows["n"][j], rows["n"][i])
-            j = j[100 * lo >= threshold * hi]
-            if rows["up"][i]:  # two of the next class meet in its own groups
-                j = j[rows["up"][j] == 0]
-            if rows["g1"][0] != rows["g2"][0]:  # pairs within one block come in their own group
-                j = j[rows["own"][j] != rows["own"][i]]
-            j = j[(codes[j] == codes[i]).sum(axis=1) >= ENOUGH] if len(j) else j
-            j = j[(keys[j, :band] != keys[i, :band]).all(axis=1)] if len(j) else j
-            for x in j:
-                yield int(rows["rep"][i]), int(rows["rep"][x])
+        size, up, comp, rep = rows["n"], rows["up"], rows["comp"], rows["rep"]
+        ok = np.triu(comp[:, None] != comp[None], 1) & ~((up[:, None] == 1) & (up[None] == 1))  # two of the next class meet in its own groups
+        if rows["g1"][0] != rows["g2"][0]:  # pairs within one block come in their own group
+            ok &= rows["own"][:, None] != rows["own"][None]
+        ok &= 100 * np.minimum(size[:, None], size[None]) >= threshold * np.maximum(size[:, None], size[None])
+        if not ok.any():
+            return
+        likely, rest = similarities(rows["least"], size)
+        slack = 0.01 + np.where(rest > 0, 5 * np.sqrt(t * (1 - t) / np.maximum(rest, 1)), 0)
+        for i, j in zip(*np.nonzero(ok & (likely >= t - slack)), strict=True):
+            yield min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j]))
 
     names = ("band", "key", "g", "g1", "g2", "own", "up", "rep", "comp", "n")
 
@@ -144,12 +162,12 @@ def _blocks(threshold: int):
 
         def flush():
             rows = {c: np.array([r[i] for r in held]) for i, c in enumerate(names)}
-            rows["codes"] = np.frombuffer(b"".join(r[-1] for r in held), np.uint16).reshape(len(held), M)
+            rows["least"] = [np.frombuffer(r[-1], np.uint32) for r in held]
             found = list(pairs(rows)) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in (*names, "codes")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in (*names, "least")), strict=True):
                 if last is not None and row[:5] != last:
                     yield flush()
                     held = []
@@ -243,15 +261,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
         now = bands.join(comps, bands.rep == comps.node, "left").select("band", "key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
         mixed = now.groupBy("band", "key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("c")).where("c1 <> c2").select("band", "key", "c")
         open_ = scratch.keep(now.join(mixed, ["band", "key"]), f"open-{t}")
-    # what the pivots left: pairs of different components and like sizes, in blocks, by signature
+    # what the pivots left: pairs of different components and like sizes, in blocks, by their least hashes
     step = math.log(100.0 / threshold * 1.0001)  # sizes that may link are of one class or of two next to each other
     spread = open_.withColumn("s", F.floor(F.log("n") / step)).withColumn("g", F.explode(F.expr("array(s, s - 1)"))).withColumn("up", (F.col("g") < F.col("s")).cast("int"))
     sizes = spread.groupBy("band", "key", "g").agg(F.count("*").alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("up").alias("u")).where("c1 <> c2 AND u = 0").select("band", "key", "g", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
     spread = spread.join(sizes, ["band", "key", "g"]).withColumn("own", F.expr("CAST(pmod(xxhash64(rep, 1), nb) AS INT)"))
     order = ["band", "key", "g", "g1", "g2"]
     spread = spread.withColumn("j", F.explode(F.expr("sequence(0, nb - 1)"))).select("band", "key", "g", F.least("own", "j").alias("g1"), F.greatest("own", "j").alias("g2"), "own", "up", "rep", "comp", "n")
-    spread = spread.join(classes.select("rep", "codes"), "rep")
-    rest = spread.repartition(*order).sortWithinPartitions(*order).select(*order, "own", "up", "rep", "comp", "n", "codes").mapInArrow(_blocks(threshold), "a long, b long").distinct()
+    least = signed.where("n_shingles > 0").select(F.col("doc_id").alias("rep"), "h1", "h2", "least").join(classes.select("rep", "h1", "h2"), ["rep", "h1", "h2"], "left_semi").select("rep", "least")
+    spread = spread.join(least, "rep")
+    rest = spread.repartition(*order).sortWithinPartitions(*order).select(*order, "own", "up", "rep", "comp", "n", "least").mapInArrow(_blocks(threshold), "a long, b long").distinct()
     found = scratch.keep(verified(scratch.keep(rest, "pairs-rest")), "links-rest")
     comps = scratch.keep(components(links.union(found), scratch, "comps-rest"), "comp-rest")
     whole = classes.join(comps, classes.rep == comps.node, "left").select("h1", "h2", F.coalesce("comp", "rep").alias("comp"))
