@@ -9,7 +9,9 @@ consecutive window starts. Only anchors seen more than once matter:
 * different snippets with one anchor meet in one task, where a sparse suffix
   array over their window starts gives the longest-previous-factor array:
   previous and next smaller positions in suffix order give the earlier matches;
-* an anchor with more than ``CROWD`` different snippets is counted window by
+* the snippets of an anchor with more than ``CROWD`` different ones are cut
+  again by anchors of twice the bytes, which fewer of them share;
+* anchors with more than ``CROWD`` snippets even then are counted window by
   window, by hash, which no single task has to hold.
 
 ``keep="first"`` removes later copies only, by (doc_id, position);
@@ -33,14 +35,14 @@ from . import kernels as K
 from .storage import Scratch, bounded
 
 GRAM = 128
-CROWD = 128
+CROWD = 256
 #: Bytes of one suffix array.
 BUNDLE = 1 << 20
 #: Bytes of a text handled at once.
 STRETCH = 1 << 22
 
 ANCHORS = "fp long, h1 long, h2 long, doc_id long, th long, lo long, hi long, occ long"
-SNIPS = "fp long, h1 long, h2 long, doc_id long, th long, lo long, hi long, cnt long, body binary"
+SNIPS = "fp long, doc_id long, th long, lo long, hi long, deep boolean, body binary"
 
 
 def _digests(parts) -> tuple[np.ndarray, np.ndarray]:
@@ -119,29 +121,41 @@ def _anchorer(length: int, gram: int):
     return run
 
 
-def _cutter(length: int):
-    """Texts with the snippets asked of them -> the snippets' bytes, or their windows' hashes."""
+def _cutter(length: int, gram: int):
+    """Texts with the snippets asked of them -> the snippets' bytes; those of a
+    crowd are cut again by longer anchors (deep)."""
+    names = ("fp", "doc_id", "th", "lo", "hi", "deep", "body")
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.binary()]
 
     def run(batches):
         for b in batches:
             buf, at = K.text_buffer(b.column("text"))
-            cols = {c: [] for c in ("fp", "h1", "h2", "doc_id", "th", "lo", "hi", "cnt", "body")}
-            held = 0
+            out, held = [], 0
             for i, (d, th, asked) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), b.column("asked").to_pylist(), strict=True)):
                 for q in asked:
-                    part = buf[at[i] + q["lo"] : at[i] + q["hi"] + length].tobytes()
+                    own = buf[at[i] + q["lo"] : at[i] + q["hi"] + length]
                     if q["crowd"]:
-                        n = len(part) - length + 1
-                        h1, h2 = _digests([part[s : s + length] for s in range(n)])
-                        rows = {"fp": [None] * n, "h1": h1.tolist(), "h2": h2.tolist(), "doc_id": [d] * n, "th": [th] * n, "lo": range(q["lo"], q["lo"] + n), "hi": range(q["lo"], q["lo"] + n), "cnt": [q["cnt"]] * n, "body": [None] * n}
+                        for fp, x, y in zip(*(v.tolist() for v in snippets(own, np.array([0, len(own)]), length, gram)[1:]), strict=True):
+                            out.append((fp, d, th, q["lo"] + x, q["lo"] + y, True, own[x : y + length].tobytes()))
                     else:
-                        rows = {"fp": [q["fp"]], "h1": [0], "h2": [0], "doc_id": [d], "th": [th], "lo": [q["lo"]], "hi": [q["hi"]], "cnt": [q["cnt"]], "body": [part]}
-                    for c, v in rows.items():
-                        cols[c].extend(v)
-                    held += len(part) + 60 * len(rows["h1"])
-                if held > 8 << 20 or i == b.num_rows - 1 and held:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "body" else pa.int64()) for c, v in cols.items()], names=list(cols))
-                    cols, held = {c: [] for c in cols}, 0
+                        out.append((q["fp"], d, th, q["lo"], q["hi"], False, own.tobytes()))
+                    held += 2 * len(own)
+                if out and (held > 8 << 20 or i == b.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], k) for j, k in enumerate(kinds)], names=list(names))
+                    out, held = [], 0
+
+    return run
+
+
+def _windows(length: int):
+    """Snippets -> the hashes of their windows."""
+
+    def run(batches):
+        for b in batches:
+            for d, th, lo, body in zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "lo", "body")), strict=True):
+                n = len(body) - length + 1
+                h1, h2 = _digests([body[s : s + length] for s in range(n)])
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array([d] * n, pa.int64()), pa.array([th] * n, pa.int64()), pa.array(range(lo, lo + n), pa.int64())], names=["h1", "h2", "doc_id", "th", "lo"])
 
     return run
 
@@ -312,12 +326,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 400, keep
     asked = asked.groupBy("doc_id", "th").agg(F.collect_list("q").alias("asked"))
     t, a = texts.alias("t"), asked.alias("a")
     same = F.col("t.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("t.th") == F.col("a.th"))
-    cut = t.join(a, same).select("t.doc_id", "t.th", "t.text", "a.asked").mapInArrow(_cutter(length), SNIPS)
+    cut = t.join(a, same).select("t.doc_id", "t.th", "t.text", "a.asked").mapInArrow(_cutter(length, (length + gram) // 2), SNIPS)
     snips = scratch.keep(cut, "snippets")
     order = ["fp", "doc_id", "lo"]
-    some = snips.where("fp IS NOT NULL").repartition("fp").sortWithinPartitions(*order).select("fp", "doc_id", "th", "lo", "body")
+    crowds = scratch.keep(snips.where("deep").groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("fp"), "crowds")
+    some = snips.join(crowds, "fp", "left_anti").repartition("fp").sortWithinPartitions(*order).select("fp", "doc_id", "th", "lo", "body")
     some = some.mapInArrow(_matcher(length, keep), "doc_id long, th long, lo long, hi long")
-    windows = snips.where("fp IS NULL").select("h1", "h2", "doc_id", "th", "lo", "cnt")
+    windows = snips.where("deep").join(crowds, "fp").select("doc_id", "th", "lo", "body").distinct().mapInArrow(_windows(length), "h1 long, h2 long, doc_id long, th long, lo long")
+    windows = scratch.keep(windows, "windows")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "lo")).alias("rep")).where("c > 1").select("h1", "h2", "rep")
     many = windows.join(twice, ["h1", "h2"])
     if keep == "first":
