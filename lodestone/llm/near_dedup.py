@@ -39,7 +39,7 @@ M = BANDS * BAND_ROWS
 #: Smallest hashes of a set that blocks compare.
 SKETCH = 256
 #: Members of a bucket that one block holds.
-BLOCK = 128
+BLOCK = 256
 PIVOT_ROUNDS = 3
 
 SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, codes binary, least binary"
