@@ -54,18 +54,18 @@ def remove_boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = 10
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     bad = scratch.keep(boilerplate(spark, docs, scratch, min_sites, site), "boilerplate")
     lines = F.array_distinct(F.transform(F.split(F.col("text").cast("string"), "\n"), _trimmed))
-    each = docs.select(F.col("doc_id").alias("_id"), F.explode(lines).alias("line")).where("line <> ''")
-    each = each.select("_id", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), F.col("line")).alias("g"))
-    hits = each.join(bad, ["h", "g"]).groupBy("_id").agg(F.collect_set("h").alias("_bad"))
-    d = docs.select(*columns).join(hits, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    each = docs.select(F.col("doc_id").alias("__id"), F.explode(lines).alias("line")).where("line <> ''")
+    each = each.select("__id", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), F.col("line")).alias("g"))
+    hits = each.join(bad, ["h", "g"]).groupBy("__id").agg(F.collect_set("h").alias("__bad"))
+    d = docs.select(*columns).join(hits, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
     split = F.split(F.col("text").cast("string"), "\n")
-    d = d.withColumn("_lines", split)
-    kept = F.filter("_lines", lambda x: (_trimmed(x) == "") | ~F.array_contains(F.col("_bad"), F.xxhash64(_trimmed(x))))
-    d = d.withColumn("_kept", F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(kept))
-    text = F.when(F.col("_bad").isNull(), F.col("text").cast("string")).otherwise(F.array_join("_kept", "\n"))
+    d = d.withColumn("__lines", split)
+    kept = F.filter("__lines", lambda x: (_trimmed(x) == "") | ~F.array_contains(F.col("__bad"), F.xxhash64(_trimmed(x))))
+    d = d.withColumn("__kept", F.when(F.col("__bad").isNull(), F.col("__lines")).otherwise(kept))
+    text = F.when(F.col("__bad").isNull(), F.col("text").cast("string")).otherwise(F.array_join("__kept", "\n"))
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    count = F.when(F.col("text").isNull(), F.lit(0)).otherwise(size("_lines"))
-    return d.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], count.cast("long").alias("n_lines"), F.when(F.col("text").isNull(), F.lit(0)).otherwise(size("_lines") - size("_kept")).cast("long").alias("n_removed"))
+    count = F.when(F.col("text").isNull(), F.lit(0)).otherwise(size("__lines"))
+    return d.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], count.cast("long").alias("n_lines"), F.when(F.col("text").isNull(), F.lit(0)).otherwise(size("__lines") - size("__kept")).cast("long").alias("n_removed"))
 
 
 #: The same in DuckDB's SQL, with exact counts.
