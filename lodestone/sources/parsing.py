@@ -155,7 +155,7 @@ def parse_csharp(code: str) -> tuple[list[Row], list[Row]]:
         if end is None or end < 0:
             continue
         own = _row(m[2], lines, line(m.start() + len(m.group()) - len(m.group().lstrip())), line(end)) | {"methods": []}
-        declared = r"(?m)^[ \t]*(?:\[[^\]\n]*\]\s*)*(?:(?:public|private|protected|internal|static|async|virtual|override|sealed|abstract|partial|extern|unsafe|new)\s+)*(?!(?:return|new|else|throw|await|using|if|while|for|foreach|switch|lock|catch|class|struct|record|interface|case|yield|var)\b)[\w.]+(?:<[^(){};=]*?>)?(?:\[\])*\??\s+(?:[\w.]+\.)?(\w+)\s*(?:<[^(){};]*?>)?\s*\("
+        declared = r"(?m)(?:^|(?<=[{};]))[ \t]*(?:\[[^\]\n]*\]\s*)*(?:(?:public|private|protected|internal|static|async|virtual|override|sealed|abstract|partial|extern|unsafe|new)\s+)*(?!(?:public|private|protected|internal|static|virtual|override|sealed|abstract|partial|extern|return|new|else|throw|await|using|if|while|for|foreach|switch|lock|catch|class|struct|record|interface|case|yield|var)\b)[\w.]+(?:<[^(){};=]*?>)?(?:\[\])*\??\s+(?:[\w.]+\.)?(\w+)\s*(?:<[^(){};]*?>)?\s*\("
         for f in re.compile(declared).finditer(masked, m.end(), end):
             depth, at = 0, f.end() - 1
             while at < end:
