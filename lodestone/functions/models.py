@@ -1,0 +1,99 @@
+"""Extension points: embedders, rerankers and generators on Arrow batches.
+
+A model is loaded once a task by ``load`` and called with whole batches. None
+comes with the package; the hashed embedder and the overlap scorer need none.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+
+def embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Callable[[DataFrame], DataFrame]:
+    """An engine's ``embed``: adds vector to rows of code, or of query."""
+
+    @F.pandas_udf("array<float>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            yield pd.Series(list(model([t or "" for t in texts])), index=texts.index)
+
+    return lambda d: d.withColumn("vector", embed(F.col("query" if "query" in d.columns else "code")))
+
+
+def hashed_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
+    """Signed feature hashing of words; unit length, the same everywhere."""
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        out = np.zeros((len(texts), dim), np.float32)
+        for row, text in zip(out, texts, strict=True):
+            for w in re.findall(r"[a-z0-9]+", text.lower()):
+                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+                row[h % dim] += 1 if h >> 63 else -1
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return (out / np.where(norm > 0, norm, 1)).tolist()
+
+    return embed
+
+
+def reranker(load: Callable[[], Callable[[list[str], list[str]], list[float]]], texts: DataFrame, queries: DataFrame, most_chars: int = 2000) -> Callable[[DataFrame], DataFrame]:
+    """A scorer for fusion.rerank: scores of (query, text) pairs, to four places."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for q, t in batches:
+            short = [x if len(x) <= most_chars else x[:most_chars] + "..." for x in t.fillna("")]
+            yield pd.Series(model(list(q.fillna("")), short), index=q.index, dtype=float)
+
+    def run(hits: DataFrame) -> DataFrame:
+        both = hits.join(texts.select("id", "text"), "id").join(queries.select("query_id", "query"), "query_id")
+        return both.withColumn("rerank_score", F.round(score("query", "text"), 4)).drop("text", "query")
+
+    return run
+
+
+def answer_score(answer, similarity):
+    """A generator's answer as a score: its first integer, 0 to 10, as 0 to 1; without one the similarity."""
+    n = F.coalesce(F.regexp_extract(answer, r"(\d{1,9})", 1), F.lit(""))
+    return F.when(n == "", similarity).otherwise(F.least(F.lit(10), n.try_cast("int")) / 10.0)
+
+
+def overlap_scores(queries: list[str], texts: list[str]) -> list[float]:
+    """Share of a query's words that a text holds."""
+    words = lambda s: set(re.findall(r"[a-z0-9]+", s.lower()))
+    return [len(words(q) & words(t)) / max(len(words(q)), 1) for q, t in zip(queries, texts, strict=True)]
+
+
+def exact_tokens(load: Callable[[], Callable[[str], int]]):
+    """Counts by a real tokenizer; empty and null count 0."""
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            yield pd.Series([model(t) if t else 0 for t in texts], index=texts.index, dtype="int64")
+
+    return count
+
+
+def choose_model(models: DataFrame, free_mb: int | None, current: str, family: str) -> str:
+    """Among (name) rows of a family: with room the first 7b, else the largest."""
+    size = F.when(F.lower("name").contains("7b"), 7000).when(F.lower("name").contains("3b"), 3000).when(F.lower("name").contains("1.5b"), 1500).otherwise(0)
+    best = models.where(F.lower("name").contains(family)).agg(F.max_by("name", F.struct(size, F.col("name")))).first()[0]
+    seven = models.where(F.lower("name").contains(family) & F.lower("name").contains("7b")).agg(F.min("name")).first()[0]
+    return (seven if free_mb is not None and free_mb >= 6000 and seven else best) or current
+
+
+def same_model(installed: str, required: str) -> bool:
+    return installed.split(":")[0] == required.split(":")[0]
+
+
