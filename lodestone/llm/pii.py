@@ -7,7 +7,8 @@ date, and equal values get equal pseudonyms in all documents. The permutation
 is one-to-one and can be undone with the key.
 
 kinds: email (local part), phone (digits after the country code), card, ssn,
-iban, ip, date, secret (access keys and long hexadecimal tokens).
+iban, ip, date, secret (access keys, long hexadecimal tokens, and what is given
+as a password, secret, token or key).
 
 Edge cases: a null text stays null with nothing found; an empty text likewise;
 rows that repeat get the same result; an empty table gives no rows; only doc_id
@@ -40,6 +41,7 @@ PATTERN = re.compile(
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w+(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w))"
     r"|(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w|\.\d))"
+    r"|(?P<credential>(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_+/.-]{6,128}(?<![.]))"
     r"|(?P<secret>(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?<!\w)[0-9a-f]{32,64}(?!\w))"
 )
 
@@ -141,8 +143,16 @@ def _digits(x: int, size: int, alphabet: str = "0123456789") -> str:
     return "".join(reversed(out))
 
 
+_CREDENTIAL = re.compile(r"([A-Za-z_-]+[ ]?[=:][ ]?[\"']?)(.+)")
+
+
 def pseudonym(net: Feistel, kind: str, value: str, back: bool = False) -> str | None:
     """The value's pseudonym, or None if the value is not valid."""
+    if kind == "credential":
+        head, body = _CREDENTIAL.fullmatch(value).groups()
+        if re.fullmatch("[0-9a-f]+", body) or re.fullmatch("(?:AKIA|ASIA)[A-Z0-9]{16}", body):
+            return head + pseudonym(net, "secret", body, back)
+        return head + _by_class(net, body, b"credential", back) if re.search("[0-9]", body) else None
     only = "".join(c for c in value if c.isascii() and c.isdigit())
     if kind == "email":
         local, _, domain = value.rpartition("@")
@@ -229,7 +239,8 @@ def replace_all(net: Feistel, text: str, back: bool = False) -> tuple[str, list[
                 pos += 1
             continue
         out += [text[at : m.start()], new]
-        found.append((m.lastgroup, m.start(), m.end()))
+        inner = len(_CREDENTIAL.fullmatch(m.group())[1]) if m.lastgroup == "credential" else 0
+        found.append(("secret" if inner else m.lastgroup, m.start() + inner, m.end()))
         at = pos = m.end()
     return "".join([*out, text[at:]]), found
 

@@ -55,6 +55,14 @@ def test_invalid_values_stay(kind, value):
     assert P.pseudonym(NET, kind, value) is None
 
 
+def test_credentials():
+    text = 'password=5de5a6cfe03e09b120 and api_key: "Zx9-qq_77.a" but token = nothing, password=5de5a6cfe03e09b120.'
+    new, found = P.replace_all(NET, text)
+    assert [text[a:b] for _, a, b in found] == ["5de5a6cfe03e09b120", "Zx9-qq_77.a", "5de5a6cfe03e09b120"]
+    assert new != text and len(new) == len(text) and new[9:27] == new[-19:-1] and "nothing" in new
+    assert P.replace_all(NET, new, back=True)[0] == text
+
+
 def test_operator(spark):
     card = "4111111111111111"
     rows = [
