@@ -26,20 +26,25 @@ def evict(entries: DataFrame, most: int, key: list[str] | None = None) -> DataFr
 def replay(requests: DataFrame, ttl: int) -> DataFrame:
     """hit of each request (key, ts, event_id) to a cache that each miss fills.
 
-    An entry is written at a miss and lives ttl seconds from then, so requests
-    of a key fold in order; gaps above ttl always miss, which splits a key into
-    runs that fold on their own.
+    An entry is written at a miss and lives ttl seconds from then, so a key's
+    requests fold in order. They stream through a sorted partition with one
+    value of state; no key's requests are collected.
     """
-    w = W.partitionBy("key").orderBy("ts", "event_id")
-    sec = F.unix_micros(F.col("ts").cast("timestamp"))
-    d = requests.withColumn("_t", sec).withColumn("_new", F.coalesce((F.col("_t") - F.lag("_t").over(w)) > ttl * 1_000_000, F.lit(True)).cast("int"))
-    d = d.withColumn("_run", F.sum("_new").over(w))
-    runs = d.groupBy("key", "_run").agg(F.array_sort(F.collect_list(F.struct("_t", "event_id"))).alias("r"))
-    step = f"""aggregate(r, named_struct('at', CAST(NULL AS BIGINT), 'out', CAST(array() AS ARRAY<STRUCT<event_id: BIGINT, hit: BOOLEAN>>)),
-        (a, x) -> CASE WHEN a.at IS NOT NULL AND x._t - a.at <= {ttl * 1_000_000}
-            THEN named_struct('at', a.at, 'out', concat(a.out, array(named_struct('event_id', CAST(x.event_id AS BIGINT), 'hit', true))))
-            ELSE named_struct('at', x._t, 'out', concat(a.out, array(named_struct('event_id', CAST(x.event_id AS BIGINT), 'hit', false)))) END, a -> a.out)"""
-    return runs.select("key", F.explode(F.expr(step)).alias("x")).select("key", "x.event_id", "x.hit")
+
+    def fold(batches):
+        key, since = None, 0
+        for pdf in batches:
+            hits = []
+            for k, t in zip(pdf["key"], pdf["t"], strict=True):
+                hit = k == key and t - since <= ttl * 1_000_000
+                if not hit:
+                    key, since = k, t
+                hits.append(hit)
+            yield pdf.assign(hit=hits)[["key", "event_id", "hit"]]
+
+    d = requests.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("event_id").cast("long").alias("event_id"))
+    d = d.where("key IS NOT NULL").repartition("key").sortWithinPartitions("key", "t", "event_id")
+    return d.mapInPandas(fold, "key string, event_id long, hit boolean")
 
 
 def hit_rate(replayed: DataFrame) -> DataFrame:
