@@ -101,3 +101,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, carry: list[str] | None
     far = ((F.col("char_js") > most_char_js + short_slack / F.greatest(F.col("n_words"), F.lit(1))) & (F.expr("aggregate(chars, 0L, (s, v) -> s + v)") >= least_chars)) | ((F.col("word_js") > most_word_js) & (F.col("n_words") >= least_words))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return d.select(*carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_js", "word_js", failed.alias("base_failed"), (~failed & ~far).alias("kept"))
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_EVERY = sorted({w for ws in COMMON.values() for w in ws})
+_JS = """sqrt(greatest(0, list_sum(list_transform(list_zip(list_transform({p}, lambda x: x / greatest(1e-9, list_sum({p}))), list_transform({q}, lambda x: x / greatest(1e-9, list_sum({q})))),
+  lambda z: (CASE WHEN z[1] > 0 THEN z[1] * log2(2 * z[1] / (z[1] + z[2])) ELSE 0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(2 * z[2] / (z[1] + z[2])) ELSE 0 END) / 2))))"""
+_PICK = "CASE lang " + " ".join(f"WHEN '{k}' THEN {_list(v)}" for k, v in COMMON.items()) + f" ELSE {_list(_EVERY)} END"
+_GONE = lambda p: f"(length(text) - length(regexp_replace(text, '{p}', '', 'g')))::BIGINT"
+_MEDIANS = lambda c, n: "[" + ", ".join(f"coalesce(quantile_cont(round({c}[{i + 1}] / greatest(1, list_sum({c})), 3), 0.5), 0)" for i in range(n)) + "]"
+#: The query's result in DuckDB's SQL.
+SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, lang FROM documents),
+a AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+        list_filter(regexp_extract_all(lower(text), '\p{{L}}+'), lambda x: list_contains({_list(_EVERY)}, x)) AS c, {_PICK} AS pick,
+        {_GONE(r'[#*$%&|<>]+')} AS n_symbols, [{_GONE(r'\p{Ll}+')}, {_GONE(r'\p{Lu}+')}, {_GONE(r'\p{Nd}+')}, {_GONE(r'[ \t\n\x0B\f\r]+')}, {_GONE(r"[.,;:!?''" + r'"()-]+')}, {_GONE(r'[#*$%&|<>]+')}] AS k FROM t),
+b AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+        list_concat(k, [greatest(0, length(text) - list_sum(k))::BIGINT]) AS chars, list_transform(pick, lambda x: len(list_filter(c, lambda y: y = x))::BIGINT) AS h FROM a),
+h AS (SELECT * EXCLUDE h, list_concat(h, [greatest(0, n_words - list_sum(h))::BIGINT]) AS words FROM b),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM a, unnest(range(1, greatest(len(w) - 6, 1))) u(i) WHERE len(w) >= 8),
+m AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
+s AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM m WHERE n > 1),
+p AS (SELECT doc_id, sum(least(8, coalesce(nx - i, 8)))::BIGINT AS r FROM s GROUP BY doc_id),
+f AS (SELECT lang, {_MEDIANS('chars', len(CLASSES))} AS rc, {_MEDIANS('words', len(_EVERY) + 1)} AS rw FROM h WHERE n_words >= 20 GROUP BY lang),
+j AS (SELECT h.*, coalesce(p.r, 0) AS n_repeat_words, {_JS.format(p='chars', q='rc')} AS cj, {_JS.format(p='words', q='rw[1:len(words)]')} AS wj FROM h LEFT JOIN p USING (doc_id) LEFT JOIN f ON h.lang IS NOT DISTINCT FROM f.lang),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce((cj > 0.15 + 6.0 / greatest(n_words, 1) AND list_sum(chars) >= 100) OR (wj > 0.5 AND n_words >= 50), false) AS far FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept FROM v
+"""

@@ -50,8 +50,12 @@ class Scratch:
     not the steps before.
     """
 
+    #: Folders of this process, for clean().
+    made: list[str] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.made.append(self.at)
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         path = f"{self.at}/{name}"
@@ -59,6 +63,16 @@ class Scratch:
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, f"{self.at}/{name}")
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables of all runs of this process. Results are lazy and read
+    them, so write what is wanted first."""
+    while Scratch.made:
+        _delete(spark, Scratch.made.pop())
