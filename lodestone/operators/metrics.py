@@ -10,30 +10,28 @@ BARS = "▁▂▃▄▅▆▇█"
 COST_PER_MILLION = 0.14
 
 
-def at_share(values: str, share: float, of: str = "n - 1") -> Column:
-    """The sorted values' entry at int(share * (n - 1)), without interpolation.
+def latency_summary(events: DataFrame, key: str, value: str = "value", accuracy: int = 10_000) -> DataFrame:
+    """count, mean, min, max, p50, p95 and p99 of each key; a percentile is the
+    sorted values' entry at int(p * (n - 1) / 100), without interpolation.
 
-    ``of`` "n" takes int(share * n) instead. An order statistic of the group's
-    own values; exact ``percentile_disc`` does not index like this.
+    A mergeable sketch brackets each percentile within a few ranks in
+    ``accuracy``; only values inside the brackets are sorted, and counts of the
+    values below them make the ranks exact. No task sorts a whole key.
     """
-    n = f"size({values})"
-    return F.expr(f"get(sort_array({values}), CAST(floor({share} * ({of.replace('n', n, 1)})) AS INT))")
-
-
-def latency_summary(events: DataFrame, key: str, value: str = "value") -> DataFrame:
-    """count, mean, min, max, p50, p95 and p99 of each key.
-
-    Counting equal values first bounds the shuffle by distinct values, and the
-    wanted places are found from running counts: no group is collected.
-    """
-    d = events.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
-    w = W.partitionBy(key)
-    d = d.withColumn("n", F.sum("c").over(w)).withColumn("upto", F.sum("c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
-    pick = lambda p: F.min(F.when(F.col("upto") > F.floor(F.lit(p) * (F.col("n") - 1) / 100), F.col(value)))
-    return d.groupBy(key).agg(
-        F.sum("c").alias("count"), F.round(F.sum(F.col(value) * F.col("c")) / F.sum("c"), 4).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
-        pick(50).alias("p50"), pick(95).alias("p95"), pick(99).alias("p99"),
-    )
+    shares = (50, 95, 99)
+    d = events.where(F.col(value).isNotNull()).select(F.col(key), F.col(value).alias("v"))
+    cut = lambda p, way: min(1.0, max(0.0, p / 100 + way * 3 / accuracy))
+    wanted = F.array(*[F.lit(cut(p, way)) for p in shares for way in (-1, 1)])
+    base = d.groupBy(key).agg(F.count("*").alias("count"), F.round(F.avg("v"), 4).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile_approx("v", wanted, accuracy).alias("q"))
+    few = F.col("count") <= accuracy  # a bracket would be narrower than a rank
+    part = [F.struct(F.lit(p).alias("p"), F.when(few, F.col("min")).otherwise(F.get("q", F.lit(2 * i))).alias("lo"), F.when(few, F.col("max")).otherwise(F.get("q", F.lit(2 * i + 1))).alias("hi"), F.floor(F.lit(p) * (F.col("count") - 1) / 100).alias("at")) for i, p in enumerate(shares)]
+    brackets = base.select(key, F.array(*part).alias("parts"))
+    near = d.join(brackets, key).select(key, "v", F.explode(F.filter("parts", lambda x: F.col("v") <= x["hi"])).alias("x"))
+    counted = near.groupBy(key, "x.p", "x.at", F.when(F.col("v") >= F.col("x.lo"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(W.partitionBy(key, "p").orderBy(F.asc_nulls_first("v")).rowsBetween(W.unboundedPreceding, 0))
+    found = counted.withColumn("upto", upto).where("v IS NOT NULL AND upto > at")
+    picks = found.groupBy(key).agg(*[F.min(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in shares])
+    return base.drop("q").join(picks, key)
 
 
 def summary(events: DataFrame, recent: int = 50) -> DataFrame:
