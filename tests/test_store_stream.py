@@ -107,3 +107,12 @@ def test_percentiles_take_lower_places(spark):
     d = spark.createDataFrame([("a", float(x)) for x in range(1, 11)] + [("a", 1.0)], "k string, value double")
     r = metrics.latency_summary(d, "k").first()
     assert (r["count"], r.p50, r.p95, r.min, r.max) == (11, 5.0, 9.0, 1.0, 10.0)
+
+
+def test_file_stream(spark, tmp_path):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "sub" / "a.py").write_text("x = 1")
+    (tmp_path / "in" / "b.md").write_text("no")
+    q = watch.file_stream(spark, str(tmp_path / "in"), "*.py").writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [(r.filepath.endswith("in/sub/a.py"), r.text) for r in spark.table("seen").collect()] == [(True, "x = 1")]
