@@ -62,7 +62,8 @@ def features(docs: DataFrame, carry: list[str]) -> DataFrame:
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.expr(f"CASE WHEN size(_w) >= {WINDOW} THEN transform(sequence(1, size(_w) - {WINDOW - 1}), i -> xxhash64(slice(_w, i, {WINDOW}))) ELSE array() END").cast("array<bigint>").alias("_g"),
-        F.array("_lower", "_upper", "_digit", "_space", "_mark", "n_symbols", F.greatest(F.lit(0), F.expr("_n - _lower - _upper - _digit - _space - _mark - n_symbols"))).alias("chars"),
+        # a tenth of a text may be digits: numbers are no sign of poor prose
+        F.array("_lower", "_upper", F.greatest(F.lit(0), F.expr("_digit - _n div 10")), "_space", "_mark", "n_symbols", F.greatest(F.lit(0), F.expr("_n - _lower - _upper - _digit - _space - _mark - n_symbols"))).alias("chars"),
         F.concat(F.expr("transform(_pick, x -> CAST(size(_c) - size(array_remove(_c, x)) AS BIGINT))"), F.array(F.size("_w").cast("long"))).alias("_words"),
     )
     # the last place of the word histogram holds all other words
@@ -74,7 +75,7 @@ def features(docs: DataFrame, carry: list[str]) -> DataFrame:
     return d.withColumn("n_repeat_words", covered).drop("_at")
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, carry: list[str] | None = None, most_char_js: float = 0.15, short_slack: float = 6.0, most_word_js: float = 0.5, least_chars: int = 100, least_words: int = 50, most_languages: int = 10_000) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, carry: list[str] | None = None, most_char_js: float = 0.13, short_slack: float = 4.5, most_word_js: float = 0.5, least_chars: int = 100, least_words: int = 50, most_languages: int = 10_000) -> DataFrame:
     """carry (doc_id unless given), the counts, char_js, word_js, base_failed and
     kept for each row of docs(text, lang, ...).
 
@@ -120,14 +121,14 @@ a AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(
         list_filter(regexp_extract_all(lower(text), '\p{{L}}+'), lambda x: list_contains({_list(_EVERY)}, x)) AS c, {_PICK} AS pick,
         {_GONE(r'[#*$%&|<>]+')} AS n_symbols, [{_GONE(r'\p{Ll}+')}, {_GONE(r'\p{Lu}+')}, {_GONE(r'\p{Nd}+')}, {_GONE(r'[ \t\n\x0B\f\r]+')}, {_GONE(r"[.,;:!?''" + r'"()-]+')}, {_GONE(r'[#*$%&|<>]+')}] AS k FROM t),
 b AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
-        list_concat(k, [greatest(0, length(text) - list_sum(k))::BIGINT]) AS chars, list_transform(pick, lambda x: len(list_filter(c, lambda y: y = x))::BIGINT) AS h FROM a),
-h AS (SELECT * EXCLUDE h, list_concat(h, [greatest(0, n_words - list_sum(h))::BIGINT]) AS words FROM b),
+        length(text) AS size, list_concat(k, [greatest(0, length(text) - list_sum(k))::BIGINT]) AS chars, list_transform(pick, lambda x: len(list_filter(c, lambda y: y = x))::BIGINT) AS h FROM a),
+h AS (SELECT * EXCLUDE (h, chars, size), list_concat(chars[1:2], [greatest(0, chars[3] - size // 10)::BIGINT], chars[4:7]) AS chars, list_concat(h, [greatest(0, n_words - list_sum(h))::BIGINT]) AS words FROM b),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM a, unnest(range(1, greatest(len(w) - 6, 1))) u(i) WHERE len(w) >= 8),
 m AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
 s AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM m WHERE n > 1),
 p AS (SELECT doc_id, sum(least(8, coalesce(nx - i, 8)))::BIGINT AS r FROM s GROUP BY doc_id),
 f AS (SELECT lang, {_MEDIANS('chars', len(CLASSES))} AS rc, {_MEDIANS('words', len(_EVERY) + 1)} AS rw FROM h WHERE n_words >= 20 GROUP BY lang),
 j AS (SELECT h.*, coalesce(p.r, 0) AS n_repeat_words, {_JS.format(p='chars', q='rc')} AS cj, {_JS.format(p='words', q='rw[1:len(words)]')} AS wj FROM h LEFT JOIN p USING (doc_id) LEFT JOIN f ON h.lang IS NOT DISTINCT FROM f.lang),
-v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce((cj > 0.15 + 6.0 / greatest(n_words, 1) AND list_sum(chars) >= 100) OR (wj > 0.5 AND n_words >= 50), false) AS far FROM j)
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce((cj > 0.13 + 4.5 / greatest(n_words, 1) AND list_sum(chars) >= 100) OR (wj > 0.5 AND n_words >= 50), false) AS far FROM j)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept FROM v
 """
