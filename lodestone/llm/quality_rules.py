@@ -55,17 +55,20 @@ def features(docs: DataFrame, carry: list[str]) -> DataFrame:
         pick.alias("_pick"),
         F.length("_text").cast("long").alias("_n"),
         of(r"\p{Ll}+").cast("long").alias("_lower"), of(r"\p{Lu}+").cast("long").alias("_upper"), of(r"\p{Nd}+").cast("long").alias("_digit"),
-        of(r"\s+").cast("long").alias("_space"), of(r"[.,;:!?'\"()-]+").cast("long").alias("_mark"), of(r"[#*$%&|<>]+").cast("long").alias("n_symbols"),
+        of(r"[.,;:!?'\"()-]+").cast("long").alias("_mark"), of(r"[#*$%&|<>]+").cast("long").alias("n_symbols"),
     )
     d = d.select(
         *carry, "_lang", "n_symbols", "_l",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.expr(f"CASE WHEN size(_w) >= {WINDOW} THEN transform(sequence(1, size(_w) - {WINDOW - 1}), i -> xxhash64(slice(_w, i, {WINDOW}))) ELSE array() END").cast("array<bigint>").alias("_g"),
-        # a tenth of a text may be digits: numbers are no sign of poor prose
-        F.array("_lower", "_upper", F.greatest(F.lit(0), F.expr("_digit - _n div 10")), "_space", "_mark", "n_symbols", F.greatest(F.lit(0), F.expr("_n - _lower - _upper - _digit - _space - _mark - n_symbols"))).alias("chars"),
+        "_n", "_lower", "_upper", "_digit", "_mark",
         F.concat(F.expr("transform(_pick, x -> CAST(size(_c) - size(array_remove(_c, x)) AS BIGINT))"), F.array(F.size("_w").cast("long"))).alias("_words"),
     )
+    # what is in no word is space; a tenth of a text may be digits, since numbers are no sign of poor prose
+    space = F.col("_n") - F.col("word_chars")
+    other = F.greatest(F.lit(0), F.expr("word_chars - _lower - _upper - _digit - _mark - n_symbols"))
+    d = d.withColumn("chars", F.array("_lower", "_upper", F.greatest(F.lit(0), F.expr("_digit - _n div 10")), space, "_mark", "n_symbols", other)).drop("_n", "_lower", "_upper", "_digit", "_mark")
     # the last place of the word histogram holds all other words
     d = d.withColumn("words", F.expr("concat(slice(_words, 1, size(_words) - 1), array(greatest(0L, n_words - aggregate(slice(_words, 1, size(_words) - 1), 0L, (s, v) -> s + v))))")).drop("_words")
     d = d.withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long")).drop("_l")
