@@ -2,7 +2,8 @@
 
 Candidates are found by pattern and validated (check digits, ranges, calendar);
 what passes is permuted by a keyed Feistel network within the set of values of
-its own format, so a card stays a card with a right check digit, a date stays a
+its own format. Phones and addresses of the right form outside the ranges that
+are given out are permuted among themselves; 127.0.0.1 stays. So a card stays a card with a right check digit, a date stays a
 date, and equal values get equal pseudonyms in all documents. The permutation
 is one-to-one and can be undone with the key.
 
@@ -31,6 +32,7 @@ from .storage import bounded
 ROUNDS = 8
 #: For tests and demonstrations only; a production run passes its own.
 DEMO_KEY = b"lodestone demonstration key"
+LOCALHOST = 127 << 24 | 1
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 PATTERN = re.compile(
@@ -143,6 +145,16 @@ def _digits(x: int, size: int, alphabet: str = "0123456789") -> str:
     return "".join(reversed(out))
 
 
+def _phone_parts(value: str) -> tuple[str, str, str]:
+    """The country code, what follows it, and the digits of that."""
+    plus = re.match(r"\+\d{1,3}(?=[ .(-])", value)
+    if not plus and value.startswith("+"):
+        plus = re.match(r"\+1(?=\d{10}$)|\+\d\d", value)
+    head = plus.group() if plus else ""
+    body = value[len(head) :]
+    return head, body, "".join(c for c in body if c.isdigit())
+
+
 _CREDENTIAL = re.compile(r"([A-Za-z_-]+[ ]?[=:][ ]?[\"']?)(.+)")
 
 
@@ -167,12 +179,7 @@ def pseudonym(net: Feistel, kind: str, value: str, back: bool = False) -> str |
         x = int(only)
         return _refill(value, _digits(net.within(x, 10**9, b"ssn", _ssn_ok, back), 9)) if _ssn_ok(x) else None
     if kind == "phone":
-        plus = re.match(r"\+\d{1,3}(?=[ .(-])", value)
-        if not plus and value.startswith("+"):
-            plus = re.match(r"\+1(?=\d{10}$)|\+\d\d", value)
-        head = plus.group() if plus else ""
-        body = value[len(head) :]
-        only = "".join(c for c in body if c.isdigit())
+        head, body, only = _phone_parts(value)
         if not 7 <= len(only) <= 13:
             return None
         if head in ("+1", "") and len(only) == 10:
@@ -226,12 +233,32 @@ def pseudonym(net: Feistel, kind: str, value: str, back: bool = False) -> str |
     raise ValueError(kind)
 
 
+def outside(net: Feistel, kind: str, value: str, back: bool = False) -> str | None:
+    """The pseudonym of a well-formed phone or address outside the ranges that
+    ``pseudonym`` takes, from the same rest of its format; None for all else."""
+    if kind == "phone":
+        head, body, only = _phone_parts(value)
+        if head not in ("+1", "") or len(only) != 10 or _phone_ok(int(only)):
+            return None
+        return head + _refill(body, _digits(net.within(int(only), 10**10, b"phone+1", lambda y: not _phone_ok(y), back), 10))
+    if kind == "ip":
+        parts = value.split(".")
+        if any(int(p) > 255 or str(int(p)) != p for p in parts):
+            return None
+        rest = lambda y: not _ip_ok(y) and y != LOCALHOST
+        x = int.from_bytes(bytes(map(int, parts)), "big")
+        return ".".join(map(str, net.within(x, 1 << 32, b"ip", rest, back).to_bytes(4, "big"))) if rest(x) else None
+    return None
+
+
 def replace_all(net: Feistel, text: str, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of each value in the input."""
     out, found, at = [], [], 0
     pos = 0
     while m := PATTERN.search(text, pos):
         new = pseudonym(net, m.lastgroup, m.group(), back)
+        if new is None:
+            new = outside(net, m.lastgroup, m.group(), back)
         if new is None:
             # part of it may still be another kind
             pos = m.start() + 1

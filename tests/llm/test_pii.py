@@ -55,6 +55,22 @@ def test_invalid_values_stay(kind, value):
     assert P.pseudonym(NET, kind, value) is None
 
 
+def test_values_outside_the_plan_are_replaced_in_texts():
+    rng = random.Random(8)
+    for _ in range(200):
+        area, exchange = rng.randint(0, 199), rng.randint(0, 999)
+        phone = f"({area:03d}) {exchange:03d}-{rng.randint(0, 9999):04d}"
+        ip = f"{rng.choice([0, 127, rng.randint(224, 255)])}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(2, 255)}"
+        text = f"call +1 {phone} or {phone} at {ip}."
+        new, found = P.replace_all(NET, text)
+        assert [(k, text[a:b]) for k, a, b in found] == [("phone", f"+1 {phone}"), ("phone", phone), ("ip", ip)]
+        one, two, three = (m.group() for m in P.PATTERN.finditer(new))
+        assert one == f"+1 {two}" and two != phone and three != ip
+        assert P.pseudonym(NET, "phone", one) is None and P.pseudonym(NET, "ip", three) is None  # the sets do not mix
+        assert P.replace_all(NET, new, back=True)[0] == text
+    assert P.replace_all(NET, "127.0.0.1 and 300.1.1.1") == ("127.0.0.1 and 300.1.1.1", [])
+
+
 def test_credentials():
     text = 'password=5de5a6cfe03e09b120 and api_key: "Zx9-qq_77.a" but token = nothing, password=5de5a6cfe03e09b120.'
     new, found = P.replace_all(NET, text)
