@@ -29,9 +29,21 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8); the one with the least id."""
-    groups = near_dedup.near_duplicates(spark, docs, k=5, threshold=80).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.select(*COLUMNS).join(groups, F.col("doc_id") == F.col("_id"), "left_semi")
+    """One document of each group of near copies (five words, 0.8); the one with the least id.
+
+    A row without an id goes if its group has one with an id; otherwise one of
+    the group stays, and so does a text of its own or without words. Rows that
+    repeat (same id and text) count as one row. Rows of one id but different
+    texts are different documents. Rows are told apart by a 64-bit hash of id
+    and text.
+    """
+    keyed = docs.select(F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text").alias("_k"), *COLUMNS)
+    groups = near_dedup.near_duplicates(spark, keyed.select(F.col("_k").alias("doc_id"), "text"), k=5, threshold=80)
+    ids = keyed.select("_k", "doc_id").distinct()
+    members = groups.select(F.col("doc_id").alias("_k"), "component_id").distinct().join(ids, "_k")
+    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k")).alias("least")).select("least._k")
+    rows = keyed.groupBy("_k").agg(F.first(F.struct(*COLUMNS)).alias("row"))
+    return rows.join(kept, "_k", "left_semi").select("row.*")
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

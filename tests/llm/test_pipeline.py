@@ -107,3 +107,15 @@ def test_run_gives_the_stages_result(spark, table):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a.replace("a39", "changed")
+    rows = [(4, a), (4, a), (4, a), (9, near), (None, a), (None, b), (None, b), (None, b + " more"), (None, "x y"), (None, ""), (5, ""), (6, ""), (4, c), (7, None)]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(3)
+    out = pipeline.stage_near(spark, d, "")
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    unowned = [r for r in got if r[0] is None and (r[1] or "").startswith("b0")]
+    assert out.columns == pipeline.COLUMNS and len(unowned) == 1  # b and its near copy: one of them
+    assert [r for r in got if r not in unowned] == sorted([(4, a), (None, "x y"), (None, ""), (5, ""), (6, ""), (4, c), (7, None)], key=str)
