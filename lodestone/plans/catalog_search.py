@@ -226,6 +226,27 @@ s AS (SELECT query_id, r10.id, round(0.7 * len(list_intersect(qk, coalesce(tk, [
 SELECT query_id, id, score, rank::INTEGER AS rank FROM {top_sql('s', 5)}"""
 
 
+@query
+def pagerank_100(spark, d):
+    """The operator's own 100 iterations; ``pagerank`` stops after ten."""
+    h = hosts(spark, d)
+    return graph.pagerank(h.select("id"), graph.mention_edges(h)).select("id", F.round("pr", 8).alias("pr"))
+
+
+SQL["pagerank_100"] = f"WITH {pagerank_sql(100)} SELECT id, round(pr, 8) AS pr FROM r100"
+
+
+@query
+def graph_rank_topk_100(spark, d):
+    return graph.graph_rank(hosts(spark, d), asked(spark, d), 5).select("query_id", "id", "score", "rank")
+
+
+SQL["graph_rank_topk_100"] = f"""WITH {pagerank_sql(100)}, k AS (SELECT src, list(word) AS tk FROM kw GROUP BY src),
+q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*')) AS qk FROM benchmark),
+s AS (SELECT query_id, r100.id, round(0.7 * len(list_intersect(qk, coalesce(tk, []))) / greatest(len(qk), 1) + 0.3 * pr * n.n, 4) AS score FROM r100 CROSS JOIN n LEFT JOIN k ON k.src = r100.id, q)
+SELECT query_id, id, score, rank::INTEGER AS rank FROM {top_sql('s', 5)}"""
+
+
 def vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.concat(F.lit("label"), F.col("label").cast("string"), F.lit("/"), F.col("vec_id").cast("string")).alias("filepath"), "label")
 
