@@ -10,15 +10,19 @@ The seeded order needs no sort of a source: words are summed by ``BINS`` ranges
 of the hash, whole ranges are in or out, and only the range where the target
 ends is ordered.
 
-Edge cases: a null text has size 0 and is taken 0 times; a null source is a
+Edge cases: a null text has size 0 and is taken 0 times, an empty one too; a
+very long text is a document like any other, whose last time may be taken in
+part, so its source ends at its target whatever its length; a null source is a
 source of its own, after all others; rows that repeat are documents of their
-own; an empty table gives no rows; a source without words has target 0; columns
-that ``carry`` does not name are ignored.
+own, and rows that tie in the seeded order (one id and size) are interchangeable:
+which of them is taken in part is open, the counts are not; an empty table gives
+no rows; a source without words has target 0; columns that ``carry`` does not
+name are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -28,19 +32,36 @@ from .storage import Scratch
 BINS = 4096
 
 
-def water_level(sources: DataFrame, total: int, rounds: int = 10_000) -> float:
-    """The level L with sum(min(cap, L * weight)) = total over sources(weight, cap)."""
-    level = -1.0
-    for _ in range(rounds):
-        over = F.col("weight") * F.lit(level) > F.col("cap")
-        held, free = sources.agg(F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0))).first()
-        if not free:
-            return float("inf")
-        after = float(total - held) / float(free)
-        if after == level:
-            break
-        level = after
-    return level
+def _placed(rows: DataFrame, order: list[Column], sums: dict[str, str], scratch: Scratch, name: str) -> DataFrame:
+    """rows with ``_n``, each row's place in the given order from 0, and for each
+    (new: old) of ``sums`` the sum of old over the rows before it.
+
+    Ranges of the order are dealt to tasks, counted and summed; each task adds
+    what lies before its range, so no task holds all rows.
+    """
+    own = W.partitionBy("_range").orderBy(*order)
+    before = own.rowsBetween(W.unboundedPreceding, -1)
+    ranged = scratch.keep(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
+    totals = ranged.groupBy("_range").agg(F.count("*").alias("_rows"), *[F.sum(old).alias(f"_{new}") for new, old in sums.items()])
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each task's range
+    starts = totals.select("_range", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ["_rows", *(f"_{new}" for new in sums)]])
+    placed = ranged.select("*", (F.row_number().over(own) - 1).alias("_n"), *[F.coalesce(F.sum(old).over(before), F.lit(0)).alias(new) for new, old in sums.items()])
+    placed = placed.join(F.broadcast(starts), "_range")
+    return placed.select(*rows.columns, (F.col("_n") + F.col("_rows")).alias("_n"), *[(F.col(new) + F.col(f"_{new}")).alias(new) for new in sums])
+
+
+def water_level(sources: DataFrame, total: int, scratch: Scratch) -> float:
+    """The level L with sum(min(cap, L * weight)) = total over sources(weight, cap).
+
+    In the order of cap / weight, those before some place are clamped; what they
+    leave, shared by the others, gives a level that clamps none of these.
+    """
+    weights = sources.agg(F.sum("weight")).first()[0] or 0
+    sums = {"held": "cap", "ahead": "weight"}
+    d = _placed(sources.select("weight", "cap"), [F.col("cap") / F.col("weight"), F.col("weight")], sums, scratch, "levels")
+    d = d.withColumn("level", (F.lit(total) - F.col("held")).cast("double") / (F.lit(weights) - F.col("ahead")).cast("double"))
+    found = d.where("level * weight <= cap").agg(F.min_by("level", "_n")).first()[0]
+    return float("inf") if found is None else found
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, seed: int = 17, carry: list[str] | None = None, most_sources: int = 100_000) -> DataFrame:
@@ -52,18 +73,19 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2,
     """
     scratch = Scratch(spark, "mix")
     carry = ["doc_id"] if carry is None else carry
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    d = docs.select(*carry, F.col("source").cast("string").alias("_source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), size.alias("size"))
+    size = F.coalesce(F.regexp_count(F.col("_text"), F.lit(WORD)), F.lit(0)).cast("long")
+    d = docs.select(*carry, F.col("source").cast("string").alias("_source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text").cast("string").alias("_text"))
     d = d.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col("_id")))).withColumn("_bin", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
-    d = scratch.keep(d, "sized")
-    bins = scratch.keep(d.groupBy("_source", "_bin").agg(F.sum("size").alias("words")), "bins")
+    if "text" not in carry:  # without texts the rows are small; with them they are read again instead
+        d = scratch.keep(d.withColumn("size", size).drop("_text"), "sized").withColumn("_text", F.lit(None).cast("string"))
+        size = F.col("size")
+    bins = scratch.keep(d.withColumn("size", size).groupBy("_source", "_bin").agg(F.sum("size").alias("words")), "bins")
     sources = bins.groupBy("_source").agg(F.sum("words").alias("source_size"))
-    # one row a source from here: the order of names is a single small sort
-    place = (F.row_number().over(W.orderBy(F.col("_source").asc_nulls_last())) - 1) % len(weights)
-    sources = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), place + 1).cast("long")).withColumn("cap", epochs * F.col("source_size"))
-    sources = scratch.keep(sources, "sources")
+    sources = _placed(sources, [F.col("_source").asc_nulls_last()], {}, scratch, "names")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_n") % len(weights) + 1).cast("int")).cast("long")
+    sources = scratch.keep(sources.select("_source", "source_size", weight.alias("weight"), (epochs * F.col("source_size")).alias("cap")), "sources")
     total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    level = F.lit(water_level(sources, total)) * F.col("weight")
+    level = F.lit(water_level(sources, total, scratch)) * F.col("weight")
     sources = sources.withColumn("target", F.when(level > F.col("cap"), F.col("cap").cast("double")).otherwise(level))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     sources = sources.select("_source", "source_size", "target", whole.alias("_whole"), (F.floor(F.col("target") + 0.5).cast("long") - whole * F.col("source_size")).alias("_rest"))
@@ -77,10 +99,11 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2,
         sources = F.broadcast(sources)
     d = d.join(sources, F.col("_source").eqNullSafe(F.col("_s")))
     ordered = W.partitionBy("_source").orderBy("_h", "_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    at_end = d.where("_bin = _end").withColumn("_sum", F.col("_done") + F.coalesce(F.sum("size").over(ordered), F.lit(0)))
+    at_end = d.where("_bin = _end").withColumn("size", size).drop("_text").withColumn("_sum", F.col("_done") + F.coalesce(F.sum("size").over(ordered), F.lit(0)))
     more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_sum")))
     clear = F.when(F.col("_bin") < F.col("_end"), F.col("size")).otherwise(0)
-    out = d.where("NOT (_bin <=> _end)").withColumn("_more", F.coalesce(clear, F.lit(0)).cast("long")).unionByName(at_end.withColumn("_more", more.cast("long")).drop("_sum"))
+    clear_of = d.where("NOT (_bin <=> _end)").withColumn("size", size).drop("_text")
+    out = clear_of.withColumn("_more", F.coalesce(clear, F.lit(0)).cast("long")).unionByName(at_end.withColumn("_more", more.cast("long")).drop("_sum"))
     out = out.withColumn("taken", F.col("_whole") * F.col("size") + F.col("_more"))
     repeats = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
     return out.select(*carry, "size", "source_size", "target", "taken", repeats.alias("repeats"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import Scratch, bounded
+from .storage import Scratch, bounded, tidy
 
 BANDS, BAND_ROWS = 30, 5
 M = BANDS * BAND_ROWS
@@ -204,7 +204,7 @@ def components(links: DataFrame, scratch: Scratch, name: str, rounds: int = 60)
     Tasks fold their links by union-find; what is left converges by alternating
     large-star and small-star steps (Kiveris et al., 2014).
     """
-    edges = links.mapInArrow(_forest, "a long, b long").distinct()  # b < a
+    edges = links.mapInArrow(tidy(_forest), "a long, b long").distinct()  # b < a
     edges = scratch.keep(edges, f"{name}-0")
     for i in range(1, rounds):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -236,11 +236,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
     bounded(spark)
     scratch = Scratch(spark, "near")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.keep(texts.mapInArrow(_signer(k), SIGNED), "signed")
+    signed = scratch.keep(texts.mapInArrow(tidy(_signer(k)), SIGNED), "signed")
     # one row for each distinct set
     classes = signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("codes").alias("codes")).where("rep IS NOT NULL")
     classes = scratch.keep(classes, "classes")
-    bands = classes.select("rep", "n", "codes").mapInArrow(_bander, "band int, key long, rep long, n long")
+    bands = classes.select("rep", "n", "codes").mapInArrow(tidy(_bander), "band int, key long, rep long, n long")
     shared = bands.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1").select("band", "key")
     bands = scratch.keep(bands.join(shared, ["band", "key"]), "bands")
     body = texts.where("doc_id IS NOT NULL")
@@ -248,7 +248,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
     def verified(pairs: DataFrame) -> DataFrame:
         one = pairs.join(body.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         both = one.join(body.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(k, threshold), "a long, b long")
+        return both.select("a", "b", "text_a", "text_b").mapInArrow(tidy(_verifier(k, threshold)), "a long, b long")
 
     links, comps, open_ = None, None, bands.withColumn("comp", F.col("rep"))
     for t in range(PIVOT_ROUNDS):
@@ -270,7 +270,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
     spread = spread.withColumn("j", F.explode(F.expr("sequence(0, nb - 1)"))).select("band", "key", "g", F.least("own", "j").alias("g1"), F.greatest("own", "j").alias("g2"), "own", "up", "rep", "comp", "n")
     least = signed.where("n_shingles > 0").select(F.col("doc_id").alias("rep"), "h1", "h2", "least").join(classes.select("rep", "h1", "h2"), ["rep", "h1", "h2"], "left_semi").select("rep", "least")
     spread = spread.join(least, "rep")
-    rest = spread.repartition(*order).sortWithinPartitions(*order).select(*order, "own", "up", "rep", "comp", "n", "least").mapInArrow(_blocks(threshold), "a long, b long").distinct()
+    rest = spread.repartition(*order).sortWithinPartitions(*order).select(*order, "own", "up", "rep", "comp", "n", "least").mapInArrow(tidy(_blocks(threshold)), "a long, b long").distinct()
     found = scratch.keep(verified(scratch.keep(rest, "pairs-rest")), "links-rest")
     comps = scratch.keep(components(links.union(found), scratch, "comps-rest"), "comp-rest")
     whole = classes.join(comps, classes.rep == comps.node, "left").select("h1", "h2", F.coalesce("comp", "rep").alias("comp"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .storage import Scratch, bounded
+from .storage import Scratch, bounded, tidy
 from .tokens import tokenizer_path
 
 UNIT = 8
@@ -180,7 +180,7 @@ def pack(spark: SparkSession, docs: DataFrame, size: int = 2048, end: int = 1, j
     unit = max(1, min(UNIT, size // 32))
     room, grain = size // unit, max(1, min(GRAIN, size // 64))
     whole = math.ceil(FULL * room)  # a piece of this class fills a sequence
-    pieces = rows.mapInArrow(_cutter(size, end, (whole - 1) * unit + 1, grain, json_path, ranks_path, fast), PIECES)
+    pieces = rows.mapInArrow(tidy(_cutter(size, end, (whole - 1) * unit + 1, grain, json_path, ranks_path, fast)), PIECES)
     pieces = pieces.withColumn("c", F.least(F.ceil(F.col("length") / unit).cast("int"), F.lit(room)))
     pieces = scratch.keep(pieces.withColumn("b", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int")), "pieces")
     counts = scratch.keep(pieces.groupBy("c", "b").agg(F.count("*").alias("n")), "counts")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import bounded
+from .storage import bounded, tidy
 
 CUT = 0.7
 FEATURES = ["words", "unique", "repeat", "bigrams", "upper", "symbol", "bang", "digit", "mark", "nonascii", "length", "long", "short", "bare", "lines", "duplicate_words", "first_upper", "run"]
@@ -144,7 +144,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labels:
     sample = labels.orderBy(F.xxhash64("_id"), "_id").limit(most_labels)
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     # at most most_labels rows of two numbers
-    found = texts.join(F.broadcast(sample), "_id").select("quality", "text").mapInArrow(_featurer, "quality int, x array<double>")
+    found = texts.join(F.broadcast(sample), "_id").select("quality", "text").mapInArrow(tidy(_featurer), "quality int, x array<double>")
     rows = found.toArrow()
     y = rows.column("quality").to_numpy()
     if len({*y.tolist()} & {0, 1}) < 2:
@@ -158,7 +158,7 @@ def score(spark: SparkSession, docs: DataFrame, model: dict | None) -> DataFrame
     """doc_id and score of each row of docs(doc_id, text)."""
     bounded(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scorer(model), "doc_id long, score double")
+    return rows.mapInArrow(tidy(_scorer(model)), "doc_id long, score double")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import bounded
+from .storage import bounded, tidy
 
 ROUNDS = 8
 #: For tests and demonstrations only; a production run passes its own.
@@ -297,4 +297,4 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, key: bytes = DEMO_KEY, ca
     carry = ["doc_id"] if carry is None else [c for c in carry if c not in ("text", "found")]
     rows = docs.select(*carry, F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(_replacer(key, carry), f"{schema}, found array<struct<kind:string,start:long,end:long>>")
+    return rows.mapInArrow(tidy(_replacer(key, carry)), f"{schema}, found array<struct<kind:string,start:long,end:long>>")

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch; with the longest texts a batch stays within memory.
+#: Rows and bytes in an Arrow batch; with the longest texts a batch stays within memory.
 ARROW_ROWS = 1000
+ARROW_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset (tests, one
-    machine) a local folder is made and set."""
+    """The cluster's ``spark.checkpoint.dir``. Where it is unset and all runs on
+    one machine, as in tests, a folder of our own; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = getattr(shared_dir, "own", None)
         if at is None or not os.path.isdir(at):
             at = shared_dir.own = tempfile.mkdtemp(prefix="lodestone-")
@@ -37,10 +44,30 @@ def ship(spark: SparkSession) -> None:
 
 
 def bounded(spark: SparkSession) -> None:
-    """Keep Arrow batches small: texts can be long."""
+    """Keep Arrow batches small, in rows and bytes: texts can be long.
+
+    The session's settings stay lowered, since results are lazy."""
     ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def tidy(run):
+    """A function over Arrow batches that returns its freed memory to the system
+    when its task ends: workers live on, beside the next stages' tasks."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return tidied
 
 
 class Scratch:

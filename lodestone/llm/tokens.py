@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import bounded
+from .storage import bounded, tidy
 
 PIECE_BYTES = 16 << 10
 GROUP_BYTES = 256 << 10
@@ -125,4 +125,4 @@ def token_counts(spark: SparkSession, docs: DataFrame, tokenizer: str = "piece_b
     """
     bounded(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_counter_of(tokenizer, path), "doc_id long, n_bytes long, n_tokens long")
+    return rows.mapInArrow(tidy(_counter_of(tokenizer, path)), "doc_id long, n_bytes long, n_tokens long")

@@ -1,7 +1,10 @@
+import random
+
 import duckdb
 import pytest
 
 from lodestone.llm import mixing as M
+from lodestone.llm.storage import Scratch
 
 SCHEMA = "doc_id long, text string, source string, size string, target int"
 
@@ -53,14 +56,23 @@ def test_targets_and_words_taken(spark):
     assert sorted(map(str, again)) == sorted(map(str, out))
 
 
-@pytest.mark.parametrize("bins", [4096, 4096])
-def test_sql_says_the_same(spark, bins, tmp_path):
+def test_water_level_of_many_sources(spark):
+    rng = random.Random(8)
+    for _ in range(4):
+        sources = [(rng.choice([1, 2, 3]), rng.choice([0, 3, 30, 300, 3000])) for _ in range(60)]
+        total = sum(c for _, c in sources) // 3
+        level = M.water_level(spark.createDataFrame(sources, "weight long, cap long").repartition(5), total, Scratch(spark, "test"))
+        assert sum(min(c, level * w) for w, c in sources) == pytest.approx(total)
+
+
+@pytest.mark.parametrize("carry", [["doc_id"], ["doc_id", "text"]])
+def test_sql_says_the_same(spark, carry):
     rows = [r for r in docs() if r[0] is not None]
     c = duckdb.connect()
     c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
     c.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
     want = sorted(map(str, c.execute(M.SQL).fetchall()))
-    got = sorted(str((r.doc_id, r.size, r.source_size, r.target, r.taken)) for r in M.mix(spark, frame(spark, rows)).collect())
+    got = sorted(str((r.doc_id, r.size, r.source_size, r.target, r.taken)) for r in M.mix(spark, frame(spark, rows), carry=carry).collect())
     assert got == want
 
 
