@@ -12,7 +12,7 @@ iban, ip, date, secret (access keys, long hexadecimal tokens, and what is given
 as a password, secret, token or key).
 
 Edge cases: a null text stays null with nothing found; an empty text likewise;
-rows that repeat get the same result; an empty table gives no rows; only doc_id
+very long texts and secrets of any length are handled whole; rows that repeat get the same result; an empty table gives no rows; only doc_id
 and text are read unless ``carry`` names more.
 """
 
@@ -30,21 +30,23 @@ from pyspark.sql import functions as F
 from .storage import bounded, tidy
 
 ROUNDS = 8
+#: Characters of a secret that are permuted at once.
+PART = 512
 #: For tests and demonstrations only; a production run passes its own.
 DEMO_KEY = b"lodestone demonstration key"
 LOCALHOST = 127 << 24 | 1
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-]))"
+    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-]))"
     r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w+(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w))"
+    r"|(?P<phone>(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w+(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w))"
     r"|(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w|\.\d))"
-    r"|(?P<credential>(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_+/.-]{6,128}(?<![.]))"
-    r"|(?P<secret>(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?<!\w)[0-9a-f]{32,64}(?!\w))"
+    r"|(?P<credential>(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_+/.-]{6,}(?<![.]))"
+    r"|(?P<secret>(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?<!\w)[0-9a-f]{32,}(?!\w))"
 )
 
 
@@ -52,14 +54,16 @@ class Feistel:
     """A keyed permutation of range(n) for any n."""
 
     def __init__(self, key: bytes):
-        self.key = key
+        if not key:
+            raise ValueError("a key is needed")
+        self.key = key if len(key) <= 64 else hashlib.blake2b(b"long key|" + key).digest()
 
     def _f(self, tweak: bytes, i: int, value: int, n: int) -> int:
         raw = value.to_bytes((value.bit_length() + 8) // 8, "big")
         size = n.bit_length() // 8 + 9  # far more than n: no bias
         out, block = b"", 0
         while len(out) < size:
-            out += hashlib.blake2b(b"%d|%d|" % (i, block) + tweak + b"|" + raw, key=self.key[:64], digest_size=64).digest()
+            out += hashlib.blake2b(b"%d|%d|" % (i, block) + tweak + b"|" + raw, key=self.key, digest_size=64).digest()
             block += 1
         return int.from_bytes(out[:size], "big") % n
 
@@ -116,8 +120,25 @@ def _ssn_ok(x: int) -> bool:
     return 1 <= area <= 899 and area != 666 and group > 0 and serial > 0
 
 
+def _chained(text: str, tweak: bytes, back: bool, one) -> str:
+    """``one(part, tweak)`` for each ``PART`` characters of text; from the second
+    part on, the tweak also holds a hash of what came before, so values that
+    start alike still differ in all later parts."""
+    out, seen = [], b""
+    for at in range(0, len(text), PART):
+        part = text[at : at + PART]
+        new = one(part, tweak + seen)
+        seen = b"|" + hashlib.blake2b(seen + (new if back else part).encode(), digest_size=16).digest()
+        out.append(new)
+    return "".join(out)
+
+
 def _by_class(net: Feistel, text: str, tweak: bytes, back: bool) -> str:
     """Permutes letters among letters and digits among digits, lengths kept."""
+    return _chained(text, tweak, back, lambda part, t: _class_part(net, part, t, back))
+
+
+def _class_part(net: Feistel, text: str, tweak: bytes, back: bool) -> str:
     kinds = {"0": "0123456789", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
     sets = [kinds["0" if c.isdigit() else "a" if c.islower() else "A"] for c in text if c.isascii() and c.isalnum()]
     x, n = 0, 1
@@ -170,8 +191,8 @@ def pseudonym(net: Feistel, kind: str, value: str, back: bool = False) -> str |
         local, _, domain = value.rpartition("@")
         return f"{_by_class(net, local, b'email' + domain.lower().encode(), back)}@{domain}"
     if kind == "card":
-        if not 13 <= len(only) <= 19 or not luhn(only) or len(set(only)) == 1:
-            return None
+        if not 13 <= len(only) <= 19 or not luhn(only) or len(set(only)) == 1 or {" ", "-"} <= set(value):
+            return None  # numbers that stand side by side are separated in more than one way
         first, middle = only[0], only[1:-1]
         middle = _digits(net.permute(int(middle), 10 ** len(middle), b"card" + first.encode(), back), len(middle))
         return _refill(value, next(first + middle + c for c in "0123456789" if luhn(first + middle + c)))
@@ -229,7 +250,8 @@ def pseudonym(net: Feistel, kind: str, value: str, back: bool = False) -> str |
     if kind == "secret":
         alphabet, head = ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", value[:4]) if value[:4] in ("AKIA", "ASIA") else ("0123456789abcdef", "")
         body = value[len(head) :]
-        return head + _digits(net.permute(_base(body, alphabet), len(alphabet) ** len(body), b"secret" + head.encode(), back), len(body), alphabet)
+        part = lambda own, tweak: _digits(net.permute(_base(own, alphabet), len(alphabet) ** len(own), tweak, back), len(own), alphabet)
+        return head + _chained(body, b"secret" + head.encode(), back, part)
     raise ValueError(kind)
 
 
@@ -290,9 +312,10 @@ def _replacer(key: bytes, carry: list[str]):
     return run
 
 
-def pseudonymise(spark: SparkSession, docs: DataFrame, key: bytes = DEMO_KEY, carry: list[str] | None = None) -> DataFrame:
+def pseudonymise(spark: SparkSession, docs: DataFrame, key: bytes, carry: list[str] | None = None) -> DataFrame:
     """carry (doc_id unless given), text with pseudonyms, and found, an array of
-    (kind, start, end) in code points of the input, for each row."""
+    (kind, start, end) in code points of the input, for each row. Who has the key
+    can undo the pseudonyms."""
     bounded(spark)
     carry = ["doc_id"] if carry is None else [c for c in carry if c not in ("text", "found")]
     rows = docs.select(*carry, F.col("text").cast("string").alias("text"))
