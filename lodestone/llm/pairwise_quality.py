@@ -1,6 +1,7 @@
 """A quality score learnt from preference pairs (Bradley-Terry).
 
-Features are computed from whole texts alone. Labelled texts of quality 1 are
+Features are computed from whole texts alone: shapes and repetition of the text,
+and the shares of its words and word pairs in hash buckets. Labelled texts of quality 1 are
 preferred to those of quality 0; the score's weights minimise the logistic loss
 of feature differences over seeded pairs. The threshold is a quantile of the
 scores of the labelled sample, and the score is mapped to 0..1 so that the
@@ -9,7 +10,8 @@ threshold lies at ``CUT``.
 The sample is bounded by ``most_labels`` rows, those with the smallest hash of
 their id; everything else covers all rows.
 
-Edge cases: null and empty texts have all features 0 and get a score; labels
+Edge cases: null and empty texts have all features 0 and get a score; very long
+texts are read whole; of the texts of one labelled id one is learnt from; labels
 without a text, and null labels, are not learnt from; a label that repeats
 counts once; with labels of one kind only, or none, all scores are 0.5; rows
 that repeat get equal scores; an empty table gives no rows; further columns are
@@ -30,6 +32,13 @@ CUT = 0.7
 FEATURES = ["words", "unique", "repeat", "bigrams", "upper", "symbol", "bang", "digit", "mark", "nonascii", "length", "long", "short", "bare", "lines", "duplicate_words", "first_upper", "run"]
 
 
+#: Hash buckets of words and of word pairs.
+WORD_BUCKETS, PAIR_BUCKETS = 128, 64
+WIDTH = len(FEATURES) + WORD_BUCKETS + PAIR_BUCKETS
+#: Pairs whose differences are held at once while learning.
+PAIRS_AT_ONCE = 20_000
+
+
 def _class(chars: str) -> np.ndarray:
     t = np.zeros(256, np.float64)
     t[[ord(c) for c in chars]] = 1
@@ -45,7 +54,7 @@ _HIGH = (np.arange(256) >= 128).astype(np.float64)
 def text_features(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     """(rows, features) of the texts of a slice."""
     rows = len(at) - 1
-    out = np.zeros((rows, len(FEATURES)))
+    out = np.zeros((rows, WIDTH))
     starts, ends, row = K.word_spans(buf, at)
     n = np.bincount(row, minlength=rows).astype(float)
     size = np.maximum(np.diff(at), 1)
@@ -55,6 +64,9 @@ def text_features(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     out[:, 0] = np.log1p(n)
     if len(starts):
         h = K.word_hashes(buf, starts, ends)
+        share = lambda r, h, n: np.sqrt(np.bincount(r * n + (h >> np.uint64(40)).astype(np.int64) % n, minlength=rows * n).reshape(rows, n) / safe[:, None])
+        first = len(FEATURES)
+        out[:, first : first + WORD_BUCKETS] = share(row, h, WORD_BUCKETS)
         order = np.lexsort((h, row))
         r, s = row[order], h[order]
         new = np.concatenate(([True], (r[1:] != r[:-1]) | (s[1:] != s[:-1])))
@@ -68,6 +80,7 @@ def text_features(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
             both = row[1:] == row[:-1]
             g = K.mix(h[:-1] * np.uint64(3) + h[1:])[both]
             pr = row[:-1][both]
+            out[:, first + WORD_BUCKETS :] = share(pr, g, PAIR_BUCKETS)
             order = np.lexsort((g, pr))
             pr, g = pr[order], g[order]
             new = np.concatenate(([True], (pr[1:] != pr[:-1]) | (g[1:] != g[:-1]))) if len(g) else np.zeros(0, bool)
@@ -103,12 +116,15 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = 200_000, ridge: float = 1e-3,
     z = (x - mean) / scale
     good, poor = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     rng = np.random.default_rng(seed)
-    d = z[good[rng.integers(len(good), size=pairs)]] - z[poor[rng.integers(len(poor), size=pairs)]]
+    better, worse = good[rng.integers(len(good), size=pairs)], poor[rng.integers(len(poor), size=pairs)]
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # of the pair told the wrong way
-        grad = -(d * p[:, None]).mean(axis=0) + ridge * w
-        hess = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
+        grad, hess = ridge * w, ridge * np.eye(len(w))
+        for at in range(0, pairs, PAIRS_AT_ONCE):
+            d = z[better[at : at + PAIRS_AT_ONCE]] - z[worse[at : at + PAIRS_AT_ONCE]]
+            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # of the pair told the wrong way
+            grad -= p @ d / pairs
+            hess += (d * (p * (1 - p))[:, None]).T @ d / pairs
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -130,7 +146,8 @@ def _scorer(model: dict | None):
                     score = np.full(hi - lo, 0.5)
                 else:
                     x = text_features(buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-                    s = ((x - model["mean"]) / model["scale"]) @ model["w"] - model["cut"]
+                    # row by row, so that equal texts score alike wherever they stand
+                    s = ((x - model["mean"]) / model["scale"] * model["w"]).sum(axis=1) - model["cut"]
                     score = 1 / (1 + np.exp(-np.clip(model["slope"] * s + np.log(CUT / (1 - CUT)), -30, 30)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(score)], names=["doc_id", "score"])
 
@@ -143,13 +160,13 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labels:
     labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").cast("int").alias("quality"))
     sample = labels.orderBy(F.xxhash64("_id"), "_id").limit(most_labels)
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    # at most most_labels rows of two numbers
-    found = texts.join(F.broadcast(sample), "_id").select("quality", "text").mapInArrow(tidy(_featurer), "quality int, x array<double>")
+    # a label's text counts once, the least if ids repeat: at most most_labels rows come to the driver
+    found = texts.join(F.broadcast(sample), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality")).select("quality", "text").mapInArrow(tidy(_featurer), "quality int, x array<double>")
     rows = found.toArrow()
     y = rows.column("quality").to_numpy()
     if len({*y.tolist()} & {0, 1}) < 2:
         return None
-    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), len(FEATURES))
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), WIDTH)
     order = np.lexsort((*x.T[::-1], y))  # the same model whatever the order of rows
     return fit(x[order], y[order])
 

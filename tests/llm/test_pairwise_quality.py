@@ -56,6 +56,17 @@ def test_one_kind_or_nothing_to_learn_from(spark):
     assert P.score(spark, d.limit(0), None).count() == 0
 
 
+def test_words_alone_can_tell(spark):
+    """Texts of one shape that differ in their words only."""
+    rng = random.Random(4)
+    good, poor = ["river", "garden", "window", "stone"], ["casino", "jackpo", "winner", "pills"]
+    rows = [(i, " ".join(rng.choice((good if i % 2 else poor) + ["house", "morning"]) for _ in range(60))) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = P.train(spark, d, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int"))
+    out = {r.doc_id: r.score for r in P.score(spark, d, model).collect()}
+    assert np.mean([(out[i] >= P.CUT) == bool(i % 2) for i in range(200, 400)]) > 0.98
+
+
 def test_fit_orders_by_preference():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 4))
