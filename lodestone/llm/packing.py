@@ -15,8 +15,9 @@ at these places come with each piece, so nothing is encoded twice.
 Ranks come from counts by class and hash bucket and a sort within each bucket,
 so no class has to pass through one task.
 
-Edge cases: a null or empty text is the end id alone; rows that repeat are
-packed each; rows without doc_id are packed too; an empty table gives no rows;
+Edge cases: a null or empty text is the end id alone; a very long text gives as
+many pieces as it needs, all but its last filling a sequence; ties in length or
+rank are settled by id, start and checksum; rows that repeat are packed each; rows without doc_id are packed too; an empty table gives no rows;
 further columns are ignored.
 """
 
@@ -37,7 +38,8 @@ from .storage import Scratch, bounded, tidy
 from .tokens import tokenizer_path
 
 UNIT = 8
-BUCKETS = 256
+#: Hash buckets of a class at least, and pieces of the table to a bucket.
+BUCKETS, BUCKET_PIECES = 256, 1 << 16
 GRAIN = 16
 #: Share of a sequence that a pattern must fill.
 FULL = 0.985
@@ -182,7 +184,9 @@ def pack(spark: SparkSession, docs: DataFrame, size: int = 2048, end: int = 1, j
     whole = math.ceil(FULL * room)  # a piece of this class fills a sequence
     pieces = rows.mapInArrow(tidy(_cutter(size, end, (whole - 1) * unit + 1, grain, json_path, ranks_path, fast)), PIECES)
     pieces = pieces.withColumn("c", F.least(F.ceil(F.col("length") / unit).cast("int"), F.lit(room)))
-    pieces = scratch.keep(pieces.withColumn("b", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int")), "pieces")
+    pieces = scratch.keep(pieces, "pieces")
+    buckets = max(BUCKETS, pieces.count() // BUCKET_PIECES)  # the more pieces, the more tasks rank them
+    pieces = pieces.withColumn("b", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
     counts = scratch.keep(pieces.groupBy("c", "b").agg(F.count("*").alias("n")), "counts")
     histogram = {r[0]: r[1] for r in counts.groupBy("c").agg(F.sum("n")).collect()}  # at most room rows
     slots, sequences, taken = [], 0, Counter()
