@@ -15,7 +15,10 @@ With ``BANDS`` bands of ``BAND_ROWS`` entries two texts of similarity 0.8 share
 no band with probability (1 - 0.8**5)**30 < 1e-5.
 
 Edge cases: a null or wordless text has an empty set, links with nothing and is
-its own component; a text of fewer than k words is one shingle; rows that
+its own component; a text of fewer than k words is one shingle; a very long
+text has all its shingles in its set and signature and is verified by the whole
+set; texts with equal sets are one class, whatever their order or repeats of
+words; rows that
 repeat a doc_id each give a row; rows without a doc_id never represent a group
 and are never kept when a copy has an id; an empty table gives no rows; further
 columns of the input are ignored.

@@ -7,6 +7,8 @@ non-space on either side: no piece of the vocabulary spans one (which is
 checked), and the dummy space put before each text stands for the one cut off.
 For a byte-level tokenizer no cut is used: its library takes whole texts.
 
+Tasks are balanced by the scan, which deals files out by bytes.
+
 Edge cases: null and empty texts have 0 tokens; repeated rows each give a row;
 an empty table gives no rows; further columns are ignored; a text without a
 safe place is encoded whole.
@@ -107,7 +109,7 @@ def _counter_of(name: str, path: str | None):
                 for p in c.pieces(text) if text else ():
                     group.append(p)
                     who.append(i)
-                    size += len(p)
+                    size += len(p) if p.isascii() else len(p.encode())
                     if size >= GROUP_BYTES:
                         flush()
                         group, who, size = [], [], 0
