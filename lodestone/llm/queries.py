@@ -15,9 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.remove_repeats(spark, table(spark, sf_dir, "documents"), length=400, keep="none")
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns, and n_passage_words: the words that lie in a
+    passage of more than 50 words which another document holds too, in bytes
+    under 400 or not."""
+    out = suffix_dedup.remove_repeats(spark, table(spark, sf_dir, "documents"), length=400, keep="none", passage_words=51)
+    total = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])
+    return out.select("doc_id", "n_bytes", total("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), total("passages").alias("n_passage_words"))
 
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +39,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_found, found and the text with pseudonyms."""
-    out = pii.pseudonymise(spark, table(spark, sf_dir, "documents"))
+    """doc_id, n_found, found and the text with pseudonyms. The key is the
+    session's spark.lodestone.pii.key; without one, that of demonstrations."""
+    key = spark.conf.get("spark.lodestone.pii.key", None)
+    out = pii.pseudonymise(spark, table(spark, sf_dir, "documents"), key.encode() if key else pii.DEMO_KEY)
     return out.select("doc_id", F.size("found").cast("long").alias("n_found"), "found", "text")
 
 

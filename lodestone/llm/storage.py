@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes in an Arrow batch; with the longest texts a batch stays within memory.
 ARROW_ROWS = 1000
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -53,6 +53,49 @@ def test_matches_brute_force(spark, monkeypatch, keep, crowd):
         assert sum(s.hi - s.lo for s in out[i].spans) == f.sum()
 
 
+def passages_brute(rows, n):
+    """Words that lie in a run of n words which another text holds too."""
+    words, seen = [(t or "").split() for _, t in rows], {}
+    for r, w in enumerate(words):
+        for s in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[s : s + n]), []).append((r, s))
+    flags = [np.zeros(len(w), bool) for w in words]
+    for places in seen.values():
+        if len({r for r, _ in places}) > 1:
+            for r, s in places:
+                flags[r][s : s + n] = True
+    return flags
+
+
+@pytest.mark.parametrize("crowd", [256, 2])
+def test_passages_match_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(S, "CROWD", crowd)
+    rows = corpus(crowd)
+    half = " ".join(rows[3][1].split()[:30])
+    rows += [(len(rows) + i, t) for i, t in enumerate([half + "  \n" + half + " tail", "be " * 30, rows[30][1] + " " + rows[31][1] + " " + rows[30][1]])]
+    d = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
+    out = {r.doc_id: r for r in S.remove_repeats(spark, d, 100, "none", passage_words=20).collect()}
+    for (i, _), f in zip(rows, passages_brute(rows, 20), strict=True):
+        got = np.zeros(len(f), bool)
+        for s in out[i].passages:
+            got[s.lo : s.hi] = True
+        assert (got == f).all(), i
+
+
+@pytest.mark.parametrize("stretch", [700, 1000])
+def test_stretches_of_long_texts(spark, monkeypatch, stretch):
+    monkeypatch.setattr(S, "STRETCH", stretch)
+    monkeypatch.setattr(S, "SLICE", 500)  # texts above it are slices of their own, in stretches
+    rows = corpus(9)
+    long = " ".join(t for _, t in rows[:12])
+    rows += [(len(rows), long), (len(rows) + 1, "start " + long[500:] + " end")]
+    out = {r.doc_id: r for r in S.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), 100, "none", passage_words=20).collect()}
+    data, flags = brute(rows, 100, "none")
+    for (i, _), b, f, p in zip(rows, data, flags, passages_brute(rows, 20), strict=True):
+        assert bytes(out[i].kept) == bytes(np.frombuffer(b, np.uint8)[~f]), i
+        assert sum(s.hi - s.lo for s in out[i].passages) == p.sum(), i
+
+
 def test_repeated_rows_and_missing_ids(spark):
     text = " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(10))
     other = " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(50, 60))
