@@ -19,14 +19,15 @@ Edge cases: vectors that are null, or hold null or non-finite components, take
 no part, neither do rows without an id; an empty vector scores 0 with all;
 vectors of different lengths count as filled with zeros; an id that repeats
 is a candidate each time, but never for its own query; a query that repeats is
-answered once; ties go to the smaller id; scores beyond 64 bits are clipped; an empty table or no other vector gives no rows; further columns
-are ignored.
+answered once; ties go to the smaller id; scores beyond 64 bits are clipped; an
+empty table or no other vector gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -40,11 +41,19 @@ CHUNK = 128
 
 
 def _matrix(col) -> np.ndarray:
-    rows = [np.asarray(x, dtype=object if any(abs(v) >= 1 << 53 for v in x) else np.int64) for x in col.to_pylist()]
-    out = np.zeros((len(rows), max(map(len, rows), default=0)), dtype=np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
-    return out
+    """(rows, longest) whole numbers of a list column, filled with zeros."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    size = pa.compute.list_value_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pa.compute.list_flatten(col).to_numpy(zero_copy_only=False).astype(np.int64)
+    wide = int(size.max(initial=0))
+    if len(flat) == len(size) * wide:
+        out = flat.reshape(len(size), wide)
+    else:
+        out = np.zeros((len(size), wide), np.int64)
+        row = np.repeat(np.arange(len(size)), size)
+        out[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
+    return out.astype(object) if len(flat) and (flat.max() >= 1 << 53 or flat.min() <= -(1 << 53)) else out
 
 
 def _partials(q: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
