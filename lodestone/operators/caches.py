@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lodestone.functions import text as X
-from lodestone.functions import vectors as V
+
+from . import scan
 
 
 def unexpired(entries: DataFrame, now: Column, ttl: int) -> DataFrame:
@@ -64,9 +65,9 @@ def semantic_lookup(probes: DataFrame, entries: DataFrame, now: Column, least: f
     live = F.col("expires_at") > now
     exact = p.join(e.select("k", "value", live.alias("live")), "k").groupBy("probe_id").agg(F.max_by("value", F.struct("live", "value")).alias("value"), F.max("live").alias("live"))
     exact = exact.select("probe_id", F.when(F.col("live"), F.col("value")).alias("value"), F.when(F.col("live"), "exact").otherwise("expired").alias("match"))
-    rest = p.join(exact, "probe_id", "left_anti").where(F.size("vector") > 0)
-    near = rest.crossJoin(e.where(live & (F.size("vector") > 0)).select(F.col("vector").alias("ev"), "value"))
-    near = near.withColumn("sim", F.round(V.cosine(F.col("vector"), F.col("ev")), 6)).where(F.col("sim") >= least)
-    best = near.groupBy("probe_id").agg(F.max_by("value", F.struct("sim", "value")).alias("value")).withColumn("match", F.lit("semantic"))
+    rest = p.join(exact, "probe_id", "left_anti").where(F.size("vector") > 0).select(F.col("probe_id").alias("query_id"), "vector")
+    held = e.where(live & (F.size("vector") > 0)).select(F.col("value").alias("id"), "vector")
+    near = scan.nearest_pairs(held, rest, 1, 6, larger_id=True).where(F.col("cos") >= least)
+    best = near.groupBy(F.col("query_id").alias("probe_id")).agg(F.max_by("id", F.struct("cos", "id")).alias("value")).withColumn("match", F.lit("semantic"))
     found = exact.unionByName(best)
     return probes.select("probe_id").join(found, "probe_id", "left").select("probe_id", "value", F.coalesce("match", F.lit("miss")).alias("match"))

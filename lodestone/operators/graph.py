@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.sources.scratch import materialise
+from lodestone.sources.scratch import Tables
 
+from . import scan
 from .lexical import top
 
 
@@ -23,27 +24,42 @@ def mention_edges(blocks: DataFrame) -> DataFrame:
 
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping: float = 0.85, every: int = 10) -> DataFrame:
     """id, pr after a fixed number of iterations; mass of nodes without edges is
-    not handed on. The lineage is cut every few iterations."""
+    not handed on.
+
+    Only nodes that something mentions are carried from step to step; the others
+    keep the base. Edges lie in memory dealt by their source, so a step moves
+    ranks and sums, never edges. The lineage is cut every few iterations, and
+    older tables go.
+    """
     n = nodes.count()
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("pr"))
+    tables, base = Tables(nodes.sparkSession, "pagerank"), (1 - damping) / n
     degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    edges = materialise(edges.join(degree, "src").select("src", "dst", (damping / F.col("deg")).alias("w")), "edges")
-    rank = nodes.select("id", F.lit(1.0 / n).alias("pr"))
+    weighed = tables.keep(edges.join(degree, "src").select("src", "dst", (damping / F.col("deg")).alias("w")), "edges")
+    held = weighed.repartition("src").persist()
+    rank, first = None, F.lit(1.0 / n)
     for i in range(iterations):
-        mass = edges.join(rank, edges.src == rank.id).groupBy("dst").agg(F.sum(F.col("pr") * F.col("w")).alias("m"))
-        rank = nodes.select("id").join(mass, F.col("id") == F.col("dst"), "left").select("id", ((1 - damping) / n + F.coalesce("m", F.lit(0.0))).alias("pr"))
-        if (i + 1) % every == 0:
-            rank = materialise(rank, "rank")
-    return rank
+        given = held.withColumn("pr", first) if rank is None else held.join(rank, held.src == rank.id, "left").withColumn("pr", F.coalesce("pr", F.lit(base)))
+        rank = given.groupBy("dst").agg((F.sum(F.col("pr") * F.col("w")) + base).alias("pr")).select(F.col("dst").alias("id"), "pr")
+        if (i + 1) % every == 0 or i + 1 == iterations:
+            rank = tables.keep(rank, f"rank-{i}")
+            tables.only("edges", f"rank-{i}")
+    held.unpersist()
+    if rank is None:
+        return nodes.select("id", first.alias("pr"))
+    return nodes.select("id").join(rank, "id", "left").select("id", F.coalesce("pr", F.lit(base)).alias("pr"))
 
 
 def graph_rank(blocks: DataFrame, queries: DataFrame, k: int = 10, iterations: int = 100) -> DataFrame:
     """0.7 * share of the query's keywords in the text + 0.3 * pr * n."""
     nodes = blocks.select("id")
-    rank = pagerank(nodes, mention_edges(blocks), iterations)
     n = nodes.count()
+    rank = pagerank(nodes, mention_edges(blocks), iterations)
     q = queries.select("query_id", X.keywords(F.col("query")).alias("qk"))
     b = blocks.select("id", X.keywords(F.col("text")).alias("tk")).join(rank, "id")
+    asked = scan.collected(q, "qk")
+    if asked is not None:
+        return top(scan.best_rows(b, queries, [a for a, _ in asked], k, scan.share_scorer([t for _, t in asked], 0.7, 0.3 * n)), k, "ast_rank")
     share = F.size(F.array_intersect("qk", "tk")) / F.greatest(F.size("qk"), F.lit(1))
     return top(b.crossJoin(q).select("query_id", "id", F.round(0.7 * share + 0.3 * F.col("pr") * n, 4).alias("score")), k, "ast_rank")

@@ -1,8 +1,9 @@
 """BM25 and line-level lexical search, batched over queries.
 
-Only postings of query terms are shuffled: documents are tokenised map-side and
-joined to the distinct query terms before anything is grouped. Joins carry no
-hint; adaptive execution broadcasts the side whose measured size allows it.
+Rankings scan the documents once against all queries (``scan``); beyond the
+sizes that the scan takes, documents are tokenised map-side and joined to the
+distinct query terms before anything is grouped. Joins carry no hint; adaptive
+execution broadcasts the side whose measured size allows it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql.window import Window as W
 
 from lodestone.functions import text as X
 
+from . import scan
+
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """n_docs and avgdl (1.0 without documents)."""
@@ -60,12 +63,29 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float =
     return hits.groupBy("query_id", "id").agg(F.round(F.sum(idf * weight), 4).alias("score"))
 
 
+def lowered(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select("id", *more, F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
+
+
+def bm25_best(docs: DataFrame, queries: DataFrame, k: int, group: str | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query_id, id, score[, group] of scored documents; the k best of each query
+    (and group) are among them."""
+    asked = scan.collected(queries.select("query_id", F.array_distinct(X.word_tokens(F.col("query"))).alias("t")), "t")
+    if asked is None:
+        scored = bm25_scores(docs, queries, k1, b)
+        return scored.join(docs.select("id", group), "id") if group else scored
+    terms = scan.Terms([t for _, t in asked])
+    counts = scan.bm25_counts(lowered(docs), terms.index)
+    return scan.best_rows(lowered(docs, *([group] if group else [])), queries, [q for q, _ in asked], k, scan.bm25_scorer(terms, *counts, k1, b), group)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, fill: bool = True) -> DataFrame:
     """The k best documents(id, text) of each query(query_id, query)."""
-    scored = bm25_scores(docs, queries)
-    if fill:
-        scored = zero_fill(scored, docs, queries, k)
-    return top(scored, k, "bm25")
+    best = top(bm25_best(docs, queries, k), k, "bm25")
+    if not fill:
+        return best
+    # a query with fewer than k scored documents has all of them here
+    return top(zero_fill(best.select("query_id", "id", "score"), docs, queries, k), k, "bm25")
 
 
 def line_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -95,7 +115,11 @@ def map_lines(hits: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def grep(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The k documents with most hit lines for each query."""
-    counted = line_hits(docs, queries).groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score"))
+    asked = scan.collected(queries.select("query_id", X.search_terms(F.col("query")).alias("t")), "t")
+    if asked is None:
+        counted = line_hits(docs, queries).groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score"))
+    else:
+        counted = scan.best_rows(lowered(docs), queries, [q for q, _ in asked], k, scan.grep_scorer([t for _, t in asked]))
     return top(counted, k, "ripgrep")
 
 

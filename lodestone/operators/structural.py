@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 
+from . import scan
 from .lexical import top
 
 
@@ -41,4 +42,10 @@ def structural_scores(blocks: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def structural(blocks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    return top(structural_scores(blocks, queries), k, "structural")
+    asked = scan.collected(queries.select("query_id", F.array_distinct(X.word_tokens(F.col("query"))).alias("q"), X.identifiers(F.col("query")).alias("qi")), "q", "qi")
+    if asked is None:
+        return top(structural_scores(blocks, queries), k, "structural")
+    b = blocks.select("id", X.name_tokens(F.coalesce("name", F.lit(""))).alias("n"), X.identifiers(F.coalesce("text", F.lit(""))).alias("ti"))
+    b = b.select("id", "n", "ti", F.array_distinct(F.flatten(F.transform("ti", X.word_tokens))).alias("tw"))
+    scorer = scan.structural_scorer([q for _, q, _ in asked], [qi for _, _, qi in asked])
+    return top(scan.best_rows(b, queries, [a[0] for a in asked], k, scorer), k, "structural")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
 
+from . import scan
 from .lexical import top
 
 
@@ -21,4 +22,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, prefix: str | N
     """The k nearest of vectors(id, vector[, filepath]) to each query(query_id, vector)."""
     if prefix is not None:
         vectors = vectors.where(F.col("filepath").startswith(prefix))
-    return top(vector_scores(vectors, queries), k, "embeddings")
+    asked = scan.collected(queries.select("query_id", "vector"), "vector")
+    if asked is None:
+        return top(vector_scores(vectors, queries), k, "embeddings")
+    scorer = scan.vector_scorer([v for _, v in asked])
+    return top(scan.best_rows(vectors.select("id", "vector"), queries, [q for q, _ in asked], k, scorer), k, "embeddings")

@@ -202,7 +202,7 @@ SQL["mention_graph_edges"] = f"WITH {EDGES} SELECT src, count(*) AS out_degree F
 @query
 def pagerank(spark, d):
     h = hosts(spark, d)
-    return graph.pagerank(h.select("id"), graph.mention_edges(h), 10).select("id", F.round("pr", 8).alias("pr"))
+    return graph.pagerank(h.select("id"), graph.mention_edges(h)).select("id", F.round("pr", 8).alias("pr"))
 
 
 def pagerank_sql(steps: int) -> str:
@@ -212,36 +212,15 @@ def pagerank_sql(steps: int) -> str:
     return out
 
 
-SQL["pagerank"] = f"WITH {pagerank_sql(10)} SELECT id, round(pr, 8) AS pr FROM r10"
+SQL["pagerank"] = f"WITH {pagerank_sql(100)} SELECT id, round(pr, 8) AS pr FROM r100"
 
 
 @query
 def graph_rank_topk(spark, d):
-    return graph.graph_rank(hosts(spark, d), asked(spark, d), 5, 10).select("query_id", "id", "score", "rank")
-
-
-SQL["graph_rank_topk"] = f"""WITH {pagerank_sql(10)}, k AS (SELECT src, list(word) AS tk FROM kw GROUP BY src),
-q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*')) AS qk FROM benchmark),
-s AS (SELECT query_id, r10.id, round(0.7 * len(list_intersect(qk, coalesce(tk, []))) / greatest(len(qk), 1) + 0.3 * pr * n.n, 4) AS score FROM r10 CROSS JOIN n LEFT JOIN k ON k.src = r10.id, q)
-SELECT query_id, id, score, rank::INTEGER AS rank FROM {top_sql('s', 5)}"""
-
-
-@query
-def pagerank_100(spark, d):
-    """The operator's own 100 iterations; ``pagerank`` stops after ten."""
-    h = hosts(spark, d)
-    return graph.pagerank(h.select("id"), graph.mention_edges(h)).select("id", F.round("pr", 8).alias("pr"))
-
-
-SQL["pagerank_100"] = f"WITH {pagerank_sql(100)} SELECT id, round(pr, 8) AS pr FROM r100"
-
-
-@query
-def graph_rank_topk_100(spark, d):
     return graph.graph_rank(hosts(spark, d), asked(spark, d), 5).select("query_id", "id", "score", "rank")
 
 
-SQL["graph_rank_topk_100"] = f"""WITH {pagerank_sql(100)}, k AS (SELECT src, list(word) AS tk FROM kw GROUP BY src),
+SQL["graph_rank_topk"] = f"""WITH {pagerank_sql(100)}, k AS (SELECT src, list(word) AS tk FROM kw GROUP BY src),
 q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*')) AS qk FROM benchmark),
 s AS (SELECT query_id, r100.id, round(0.7 * len(list_intersect(qk, coalesce(tk, []))) / greatest(len(qk), 1) + 0.3 * pr * n.n, 4) AS score FROM r100 CROSS JOIN n LEFT JOIN k ON k.src = r100.id, q)
 SELECT query_id, id, score, rank::INTEGER AS rank FROM {top_sql('s', 5)}"""
@@ -344,8 +323,7 @@ SQL["separation_gap"] = f"WITH {VECTORS}, a AS (SELECT avg(score) FILTER (WHERE
 
 @query
 def workspace_route(spark, d):
-    b = docs(spark, d)
-    hits = lexical.bm25_scores(b, asked(spark, d)).join(b.select("id", F.col("source").alias("project_id")), "id")
+    hits = lexical.bm25_best(docs(spark, d).withColumnRenamed("source", "project_id"), asked(spark, d), 1, "project_id")
     return workspace.route(hits).select("query_id", "project_id", "best")
 
 
@@ -354,8 +332,7 @@ SQL["workspace_route"] = f"WITH {BM25}, b AS (SELECT query_id, source AS project
 
 @query
 def workspace_search(spark, d):
-    b = docs(spark, d)
-    hits = lexical.bm25_scores(b, asked(spark, d)).join(b.select("id", F.col("source").alias("project_id")), "id")
+    hits = lexical.bm25_best(docs(spark, d).withColumnRenamed("source", "project_id"), asked(spark, d), 5, "project_id")
     return workspace.routed_search(hits, 5).select("query_id", "project_id", "id", "score", "rank")
 
 

@@ -160,23 +160,6 @@ SQL["lru_evict"] = "WITH e AS (SELECT event_type, user_id AS key, max(ts) AS ts
 
 @query
 def semantic_cache_lookup(spark, d):
-    """Entries are vectors of even label; some have expired."""
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("probe_id"), F.concat(F.lit("  Query  "), (F.col("vec_id") % 97).cast("string")).alias("query"), F.col("embedding").alias("vector"), "label")
-    day = F.lit(NOW).cast("timestamp_ntz")
-    entries = v.where("label % 2 = 0").select(F.lower("query").alias("query"), "vector", F.col("probe_id").alias("value"), (day + F.when(F.col("probe_id") % 3 == 0, F.expr("INTERVAL -1 HOUR")).otherwise(F.expr("INTERVAL 1 HOUR"))).alias("expires_at"))
-    return caches.semantic_lookup(v.where("probe_id % 3 = 1 OR label % 2 = 1"), entries, day, 0.3)
-
-
-SQL["semantic_cache_lookup"] = """WITH v AS (SELECT vec_id, 'query ' || (vec_id % 97)::VARCHAR AS q, embedding::DOUBLE[] AS x, label FROM embeddings), p AS (SELECT * FROM v WHERE vec_id % 3 = 1 OR label % 2 = 1), e AS (SELECT *, vec_id % 3 <> 0 AS live FROM v WHERE label % 2 = 0),
-ex AS (SELECT p.vec_id, bool_or(live) AS live, max(e.vec_id) FILTER (WHERE live) AS value FROM p JOIN e USING (q) GROUP BY p.vec_id),
-sm AS (SELECT p.vec_id, e.vec_id AS value, round(list_cosine_similarity(p.x, e.x), 6) AS s FROM p, e WHERE live AND p.vec_id NOT IN (SELECT vec_id FROM ex)),
-b AS (SELECT vec_id, value FROM sm WHERE s >= 0.3 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, value DESC) = 1)
-SELECT p.vec_id AS probe_id, CASE WHEN ex.vec_id IS NOT NULL THEN CASE WHEN ex.live THEN ex.value END ELSE b.value END AS value,
-  CASE WHEN ex.vec_id IS NOT NULL THEN CASE WHEN ex.live THEN 'exact' ELSE 'expired' END WHEN b.vec_id IS NOT NULL THEN 'semantic' ELSE 'miss' END AS match FROM p LEFT JOIN ex USING (vec_id) LEFT JOIN b USING (vec_id)"""
-
-
-@query
-def semantic_cache_all_probes(spark, d):
     """Every vector asks; 97 ids have the text of an entry, the others none, so similarity decides."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("probe_id"), F.col("embedding").alias("vector"), "label")
     day = F.lit(NOW).cast("timestamp_ntz")
@@ -184,7 +167,7 @@ def semantic_cache_all_probes(spark, d):
     return caches.semantic_lookup(v.withColumn("query", F.concat(F.lit("  Query  "), F.col("probe_id").cast("string"))), entries, day, 0.3)
 
 
-SQL["semantic_cache_all_probes"] = """WITH v AS (SELECT vec_id, 'query ' || (vec_id % 97)::VARCHAR AS eq, 'query ' || vec_id::VARCHAR AS q, embedding::DOUBLE[] AS x, label FROM embeddings), e AS (SELECT *, vec_id % 3 <> 0 AS live FROM v WHERE label % 2 = 0),
+SQL["semantic_cache_lookup"] = """WITH v AS (SELECT vec_id, 'query ' || (vec_id % 97)::VARCHAR AS eq, 'query ' || vec_id::VARCHAR AS q, embedding::DOUBLE[] AS x, label FROM embeddings), e AS (SELECT *, vec_id % 3 <> 0 AS live FROM v WHERE label % 2 = 0),
 ex AS (SELECT v.vec_id, bool_or(live) AS live, max(e.vec_id) FILTER (WHERE live) AS value FROM v JOIN e ON e.eq = v.q GROUP BY v.vec_id),
 sm AS (SELECT v.vec_id, e.vec_id AS value, round(list_cosine_similarity(v.x, e.x), 6) AS s FROM v, e WHERE live AND v.vec_id NOT IN (SELECT vec_id FROM ex)),
 b AS (SELECT vec_id, value FROM sm WHERE s >= 0.3 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, value DESC) = 1)

@@ -300,23 +300,11 @@ SQL["last_user_message"] = "SELECT conv_id, arg_max(text, turn) AS text FROM con
 
 @query
 def diff_summary(spark, d):
-    """Documents as diffs that touch files named by their lines."""
-    names = F.transform(F.slice(F.split("text", "\n"), 1, 7), lambda x, i: F.concat(F.lit("diff --git a/x b/src/"), F.length(x).cast("string"), F.when(F.length(x) % 3 == 0, ".md").when(F.length(x) % 3 == 1, "_test.py").otherwise(".yaml"), F.lit("\n+ line")))
-    return ids(spark, d).select("id", X.diff_summary(F.array_join(names, "\n")).alias("summary"))
-
-
-SQL["diff_summary"] = """WITH n AS (SELECT doc_id AS id, list_sort(list_distinct(list_transform(string_split(text, chr(10))[1:7], lambda x: 'src/' || length(x)::VARCHAR || CASE length(x) % 3 WHEN 0 THEN '.md' WHEN 1 THEN '_test.py' ELSE '.yaml' END))) AS f FROM documents),
-h AS (SELECT *, list_filter([CASE WHEN len(list_filter(f, lambda x: contains(x, 'test'))) > 0 THEN 'tests' END, CASE WHEN len(list_filter(f, lambda x: x LIKE '%.md')) > 0 THEN 'documentation' END, CASE WHEN len(list_filter(f, lambda x: x LIKE '%.yaml')) > 0 THEN 'config' END], lambda x: x IS NOT NULL) AS k FROM n)
-SELECT id, 'Modified ' || CASE WHEN len(k) > 0 THEN array_to_string(k, ' + ') ELSE 'code' END || ': ' || array_to_string(f[1:5], '; ') || CASE WHEN len(f) > 5 THEN '; +' || (len(f) - 5)::VARCHAR || ' more' ELSE '' END AS summary FROM h"""
-
-
-@query
-def diff_summary_all_lines(spark, d):
-    """Documents as diffs that touch a file for each of their lines; ``diff_summary`` takes the first seven."""
+    """Documents as diffs that touch a file for each of their lines."""
     names = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("diff --git a/x b/src/"), F.length(x).cast("string"), F.when(F.length(x) % 3 == 0, ".md").when(F.length(x) % 3 == 1, "_test.py").otherwise(".yaml"), F.lit("\n+ line")))
     return ids(spark, d).select("id", X.diff_summary(F.array_join(names, "\n")).alias("summary"))
 
 
-SQL["diff_summary_all_lines"] = """WITH n AS (SELECT doc_id AS id, text, list_sort(list_distinct(list_transform(string_split(text, chr(10)), lambda x: 'src/' || length(x)::VARCHAR || CASE length(x) % 3 WHEN 0 THEN '.md' WHEN 1 THEN '_test.py' ELSE '.yaml' END))) AS f FROM documents),
+SQL["diff_summary"] = """WITH n AS (SELECT doc_id AS id, text, list_sort(list_distinct(list_transform(string_split(text, chr(10)), lambda x: 'src/' || length(x)::VARCHAR || CASE length(x) % 3 WHEN 0 THEN '.md' WHEN 1 THEN '_test.py' ELSE '.yaml' END))) AS f FROM documents),
 h AS (SELECT *, list_filter([CASE WHEN len(list_filter(f, lambda x: contains(x, 'test'))) > 0 THEN 'tests' END, CASE WHEN len(list_filter(f, lambda x: x LIKE '%.md')) > 0 THEN 'documentation' END, CASE WHEN len(list_filter(f, lambda x: x LIKE '%.yaml')) > 0 THEN 'config' END], lambda x: x IS NOT NULL) AS k FROM n)
 SELECT id, CASE WHEN text IS NULL THEN 'No significant changes.' ELSE 'Modified ' || CASE WHEN len(k) > 0 THEN array_to_string(k, ' + ') ELSE 'code' END || ': ' || array_to_string(f[1:5], '; ') || CASE WHEN len(f) > 5 THEN '; +' || (len(f) - 5)::VARCHAR || ' more' ELSE '' END END AS summary FROM h"""

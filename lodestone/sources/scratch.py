@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -12,18 +13,47 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own where unset."""
+    """``spark.checkpoint.dir`` of the session; where it is unset and all runs on
+    one machine, a folder of our own. On a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own or not os.path.isdir(_own[0]):
         _own[:] = [tempfile.mkdtemp(prefix="lodestone-")]
     return _own[0]
 
 
-def materialise(frame: DataFrame, name: str) -> DataFrame:
-    """Write a frame and read it again."""
-    spark = frame.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+def ship(spark: SparkSession) -> None:
+    """Send the package to workers that would not find it by their path."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {os.getcwd()}
+    sc = spark.sparkContext
+    if root in known or getattr(sc, "_lodestone_shipped", False):
+        return
+    at = tempfile.mkdtemp(prefix="lodestone-ship-")  # executors fetch it from the driver
+    sc.addPyFile(shutil.make_archive(os.path.join(at, "lodestone_package"), "zip", root, "lodestone"))
+    sc._lodestone_shipped = True
+
+
+class Tables:
+    """Tables of one run, each written once and read by its later steps."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.at, self.steps = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", []
+
+    def keep(self, frame: DataFrame, step: str) -> DataFrame:
+        path = f"{self.at}/{step}"
+        frame.write.parquet(path)
+        self.steps.append(step)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def only(self, *steps: str) -> None:
+        """Delete all tables but these."""
+        jvm = self.spark.sparkContext._jvm
+        for step in [s for s in self.steps if s not in steps]:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{step}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.steps.remove(step)

@@ -11,7 +11,7 @@ def test_a_chain_needs_more_than_ten_steps(spark, tmp_path):
     for _ in range(29):
         pr.append(0.15 / 30 + 0.85 * pr[-1])
     q = catalog.queries()
-    out = {r.id: r.pr for r in q["pagerank_100"](spark, str(tmp_path)).collect()}
+    out = {r.id: r.pr for r in q["pagerank"](spark, str(tmp_path)).collect()}
     assert all(abs(out[i] - pr[i]) < 1e-7 for i in range(30))
-    best = q["graph_rank_topk_100"](spark, str(tmp_path)).where("rank = 1").first()
+    best = q["graph_rank_topk"](spark, str(tmp_path)).where("rank = 1").first()
     assert (best.id, best.score) == (29, round(0.7 + 0.3 * pr[29] * 30, 4))

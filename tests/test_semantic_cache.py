@@ -9,7 +9,7 @@ def test_similarity_answers_most_probes(spark, tmp_path):
     x[0::11] *= -1
     label = [i % 10 for i in range(220)]
     spark.createDataFrame([(i, x[i].tolist(), label[i]) for i in range(220)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
-    out = {r.probe_id: (r.value, r.match) for r in catalog.queries()["semantic_cache_all_probes"](spark, str(tmp_path)).collect()}
+    out = {r.probe_id: (r.value, r.match) for r in catalog.queries()["semantic_cache_lookup"](spark, str(tmp_path)).collect()}
     entries = [i for i in range(220) if label[i] % 2 == 0]
     live = [i for i in entries if i % 3]
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
