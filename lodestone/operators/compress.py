@@ -137,16 +137,18 @@ def filter_lines(lines: DataFrame, strip: list[str] | None = None, keep: list[st
     return lines if most is None else max_lines(lines, most)
 
 
-def compress(docs: DataFrame, level: str = "minimal", language: str = "python") -> DataFrame:
+def compress(docs: DataFrame, level: str = "minimal", language: str = "python", headers: bool = False) -> DataFrame:
     """id, text, compressed, original_tokens, compressed_tokens, reduction_pct,
-    strategies. Markdown headers are not comments."""
+    strategies. With ``headers``, as in assembled contexts, Markdown headers are
+    not comments."""
     if level == "none":
         out = docs.select("id", "text", F.col("text").alias("compressed")).withColumn("strategies", F.array().cast("array<string>"))
     else:
         names = ["strip_ansi", "remove_comments"]
         lines = lines_of(docs.select("id", X.strip_ansi(F.col("text")).alias("text")))
-        header = r"^#{1,6} "
-        lines = lines.where(F.col("line").rlike(header)).unionByName(remove_comments(lines.where(~F.col("line").rlike(header)), language)) if language == "python" else remove_comments(lines, language)
+        header = F.col("line").rlike(r"^#{1,6} ") if headers else F.lit(False)
+        bare = remove_comments(lines.where(~header) if headers else lines, language)
+        lines = lines.where(header).unionByName(bare) if headers else bare
         text = F.col("text")
         if level == "aggressive":
             text = X.collapse_docstrings(text, language)

@@ -57,11 +57,14 @@ def confidence_guard(hits: DataFrame, threshold: float, signal: str = "rerank_sc
 
 
 def hybrid(lexical: DataFrame, embeddings: DataFrame | None, structural: DataFrame | None, k: int = 10, scorer=None) -> DataFrame:
-    """Legs of 2k each -> fusion -> normalisation -> rerank to k."""
+    """Legs of 2k each -> fusion -> normalisation over all that is fused -> the k
+    best, or the best 4k (40 at least) reranked to k."""
     legs = [(lexical, WEIGHTS[0])]
     if embeddings is not None:
         legs.append((embeddings, WEIGHTS[2]))
     if structural is not None:
         legs.append((structural, WEIGHTS[2]))
-    fused = ranked(reciprocal_rank_fusion(legs), "raw").where(F.col("rank") <= max(4 * k, 40))
-    return rerank(minmax(fused), k, scorer)
+    scaled = minmax(reciprocal_rank_fusion(legs))
+    if scorer is not None:
+        scaled = ranked(scaled, "raw").where(F.col("rank") <= max(4 * k, 40))
+    return rerank(scaled, k, scorer)

@@ -172,14 +172,15 @@ def structural_topk(spark, d):
     return structural.structural(named(spark, d), asked(spark, d), 10).select("query_id", "id", "score", "rank")
 
 
-SQL["structural_topk"] = f"""WITH {NAMED}, {NAME_TOKENS},
+STRUCTURAL = f"""{NAME_TOKENS},
 b AS (SELECT pg.id, n, {idents_sql('text')} AS ti FROM pg JOIN nt ON nt.id = pg.id),
 b2 AS (SELECT *, list_distinct(flatten(list_transform(ti, lambda x: regexp_extract_all(x, '[a-z0-9]+')))) AS tw FROM b),
 q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q, {idents_sql('text')} AS qi FROM benchmark),
 s AS (SELECT query_id, id, (100 * len(list_intersect(n, q)) + 30 * len(list_intersect(qi, ti)) + 25 * len(list_intersect(q, tw))
       + 5 * coalesce(list_sum(list_transform(q, lambda x: len(list_filter(n, lambda y: y <> x AND contains(y, x))))), 0)
       + CASE WHEN len(q) >= 2 AND len(list_intersect(q, n)) = len(q) THEN 15 ELSE 0 END)::DOUBLE AS score FROM b2, q),
-p AS (SELECT * FROM s WHERE score > 0) SELECT query_id, id, score, rank::INTEGER AS rank FROM {top_sql('p', 10)}"""
+p AS (SELECT * FROM s WHERE score > 0)"""
+SQL["structural_topk"] = f"WITH {NAMED}, {STRUCTURAL} SELECT query_id, id, score, rank::INTEGER AS rank FROM {top_sql('p', 10)}"
 
 
 def hosts(spark, d):
@@ -231,12 +232,11 @@ def vectors(spark, d):
 
 
 def probes(spark, d):
-    """One query a label: its first vector."""
-    v = vectors(spark, d).groupBy("label").agg(F.min_by("vector", "id").alias("vector"), F.min("id").alias("query_id"))
-    return v.select("query_id", "vector", "label")
+    """Every vector whose id is divisible by 20 asks."""
+    return vectors(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector", "label")
 
 
-VECTORS = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, label FROM embeddings), q AS (SELECT min(id) AS query_id, arg_min(x, id) AS qx, label AS ql FROM v GROUP BY label),
+VECTORS = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, label FROM embeddings), q AS (SELECT id AS query_id, x AS qx, label AS ql FROM v WHERE id % 20 = 0),
 vs AS (SELECT query_id, id, label, ql, round((1 + list_cosine_similarity(x, qx)) / 2, 4) AS score FROM v, q)"""
 
 
@@ -292,24 +292,32 @@ SELECT query_id, id, round(CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi -
 
 @query
 def hybrid_topk(spark, d):
-    a, b = legs(spark, d, 20)
-    return fusion.hybrid(a, None, b, 10).select("query_id", "id", "score", "similarity", "rank")
-
-
-SQL["hybrid_topk"] = f"""WITH {LEGS}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 12) DESC, id) AS r FROM fused QUALIFY r <= 40),
-m AS (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM o),
+    """Line search, vectors (of ids that have one, asked by the items' own) and names with references."""
+    b, q = docs(spark, d), asked(spark, d)
+    v = vectors(spark, d).select("id", "vector")
+    vq = q.select("query_id").join(v.withColumnRenamed("id", "query_id"), "query_id")
+    return fusion.hybrid(lexical.grep(b, q, 20), vector.nearest(v, vq, 20), structural.structural(b, q, 20), 10).select("query_id", "id", "score", "similarity", "raw_cosine", "rank")
+
+
+SQL["hybrid_topk"] = f"""WITH {TERMS}, g0 AS (SELECT query_id, id, count(*)::DOUBLE AS score FROM lh GROUP BY query_id, id), l1 AS {top_sql('g0', 20)},
+v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings), vq AS (SELECT item_id AS query_id, x AS qx FROM benchmark JOIN v ON v.id = item_id),
+vs AS (SELECT query_id, id, round((1 + list_cosine_similarity(x, qx)) / 2, 4) AS score FROM v, vq), l2 AS {top_sql('vs', 20)},
+pg AS (SELECT doc_id AS id, concat_ws('.', source, lang) AS name, text FROM documents), {STRUCTURAL}, l3 AS {top_sql('p', 20)},
+parts AS (SELECT query_id, id, 0.4 / (60 + rank) AS part, NULL AS cosine FROM l1 UNION ALL SELECT query_id, id, 0.3 / (60 + rank), score FROM l2 UNION ALL SELECT query_id, id, 0.3 / (60 + rank), NULL FROM l3),
+fused AS (SELECT query_id, id, round(sum(part), 4) AS score, coalesce(max(cosine), 0.0) AS raw_cosine FROM parts GROUP BY query_id, id),
+m AS (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM fused),
 n AS (SELECT *, round(CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END, 4) AS similarity FROM m)
-SELECT query_id, id, score, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, score DESC, id)::INTEGER AS rank FROM n QUALIFY rank <= 10"""
+SELECT query_id, id, score, similarity, raw_cosine, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, score DESC, id)::INTEGER AS rank FROM n QUALIFY rank <= 10"""
 
 
 @query
 def confidence_guard(spark, d):
-    """Queries are labels; a label keeps its hits if the best other vector is near enough."""
+    """A vector keeps its hits if the best other vector is near enough."""
     hits = vector.nearest(vectors(spark, d), probes(spark, d), 10).where("id <> query_id")
-    return fusion.confidence_guard(hits, 0.75, "score").select("query_id", "id", "score")
+    return fusion.confidence_guard(hits, 0.69, "score").select("query_id", "id", "score")
 
 
-SQL["confidence_guard"] = f"WITH {VECTORS}, t AS (SELECT * FROM {top_sql('vs', 10)} WHERE id <> query_id) SELECT query_id, id, score FROM t QUALIFY max(score) OVER (PARTITION BY query_id) >= 0.75"
+SQL["confidence_guard"] = f"WITH {VECTORS}, t AS (SELECT * FROM {top_sql('vs', 10)} WHERE id <> query_id) SELECT query_id, id, score FROM t QUALIFY max(score) OVER (PARTITION BY query_id) >= 0.69"
 
 
 @query
@@ -342,10 +350,9 @@ SELECT query_id, project_id, id, score, row_number() OVER (PARTITION BY query_id
 
 
 def gold(spark, d):
-    """Documents that hold the first 80 characters of an item. Its rarest-word
-    join keeps the substring test off all pairs: an item's start shares its
-    words with the document."""
-    q = asked(spark, d).select("query_id", F.substring("query", 1, 80).alias("part"))
+    """Documents that hold an item. A join on its longest inner word keeps the
+    substring test off all pairs: an item shares its words with the document."""
+    q = asked(spark, d).select("query_id", F.col("query").alias("part"))
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0))
     d_ = docs(spark, d).select("id", "text")
     w = d_.select("id", F.explode(words(F.col("text"))).alias("term"))
@@ -356,7 +363,7 @@ def gold(spark, d):
     return q.join(w, "term").join(d_, "id").where(F.col("text").contains(F.col("part"))).select("query_id", F.col("id").cast("string").alias("gold")).distinct()
 
 
-GOLD = "gold AS (SELECT item_id AS query_id, doc_id::VARCHAR AS gold FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 80)))"
+GOLD = "gold AS (SELECT item_id AS query_id, doc_id::VARCHAR AS gold FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
 def metrics_sql(hits: str, prefix: str) -> str:

@@ -222,6 +222,20 @@ def delta_apply(spark, d):
 SQL["delta_apply"] = f"WITH {OLD_NEW}, f AS (SELECT c_custkey AS owner, c_custkey % 2 = 0 AS gone FROM customer WHERE c_custkey % 4 < 2) SELECT * FROM a WHERE owner NOT IN (SELECT owner FROM f) UNION ALL SELECT * FROM b WHERE owner IN (SELECT owner FROM f WHERE NOT gone)"
 
 
+@query
+def delta_apply_projects(spark, d):
+    """The same files in two projects: a feed of one leaves the other's rows."""
+    old, new = versions(spark, d)
+    two = lambda x: x.withColumn("filepath", F.col("owner").cast("string")).withColumn("project_id", F.explode(F.array(F.lit("p1"), F.lit("p2"))))
+    feed = table(spark, d, "customer").select(F.when(F.col("c_custkey") % 3 == 0, "p1").otherwise("p2").alias("project_id"), F.col("c_custkey").cast("string").alias("filepath"), F.when(F.col("c_custkey") % 2 == 0, "deleted").otherwise("modified").alias("change"))
+    return store.applied(two(old), two(new), feed, ("project_id", "filepath")).select("project_id", "id", "owner", "price", "v")
+
+
+SQL["delta_apply_projects"] = f"""WITH {OLD_NEW}, p AS (SELECT unnest(['p1', 'p2']) AS project_id), f AS (SELECT c_custkey AS owner, CASE WHEN c_custkey % 3 = 0 THEN 'p1' ELSE 'p2' END AS project_id, c_custkey % 2 = 0 AS gone FROM customer)
+SELECT p.project_id, a.* FROM a, p WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.owner = a.owner AND f.project_id = p.project_id)
+UNION ALL SELECT p.project_id, b.* FROM b, p WHERE EXISTS (SELECT 1 FROM f WHERE f.owner = b.owner AND f.project_id = p.project_id AND NOT gone)"""
+
+
 @query
 def snapshot_diff(spark, d):
     old, new = versions(spark, d)

@@ -19,10 +19,12 @@ Embedder = Callable[[DataFrame], DataFrame]
 
 class Engine:
     """Searches over one store. Queries come as a frame (query_id, query), so one
-    plan answers many; nothing is collected."""
+    plan answers many; hits are never collected. The blocks of a project stay in
+    memory as long as the store's snapshot does."""
 
     def __init__(self, spark: SparkSession, store: BlockStore, settings: Settings | None = None, embed: Embedder | None = None, scorer: Callable[[DataFrame], DataFrame] | None = None):
         self.spark, self.store, self.settings, self.embed, self.scorer = spark, store, settings or Settings(), embed, scorer
+        self._held: dict[str | None, tuple[str | None, DataFrame]] = {}
 
     def set_profile(self, name: str) -> None:
         self.settings.profile = name
@@ -38,7 +40,23 @@ class Engine:
         return self.store.upsert(rows.drop("method"))
 
     def _blocks(self, project: str | None) -> DataFrame:
-        return self.store.read(project).select("id", "project_id", "filepath", F.col("function").alias("name"), F.col("code").alias("text"), "vector")
+        """The blocks that a search of a project may see: its own, and those of
+        none, which are stamped with it. Read again when the snapshot changes."""
+        snapshot = self.store.snapshot()
+        held = self._held.get(project)
+        if held is None or held[0] != snapshot:
+            if held is not None:
+                held[1].unpersist()
+            rows = self.store.read([project, ""] if project is not None else None)
+            if project is not None:
+                rows = workspace.drop_foreign(rows.withColumn("project_id", F.when(F.col("project_id") != "", F.col("project_id"))), project, self.settings.root)
+            rows = rows.select("id", "project_id", "filepath", F.col("function").alias("name"), F.col("code").alias("text"), "vector").persist()
+            self._held[project] = snapshot, rows
+        return self._held[project][1]
+
+    def _lexical(self, blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        """Line search; BM25 where the settings say so."""
+        return (lexical.grep if self.settings.lexical == "grep" else lexical.bm25)(blocks, queries, k)
 
     def search(self, queries: DataFrame, project: str | None = None, k: int | None = None, mode: str | None = None, guard: bool = True) -> DataFrame:
         """query_id, rank, id, score, similarity, rerank_score, raw_cosine and the block.
@@ -57,7 +75,7 @@ class Engine:
             signal = "raw_cosine" if mode == "embeddings" and vectors else None
         else:
             on = s.spec.legs
-            hits = fusion.hybrid(lexical.bm25(b, queries, 2 * k), leg["embeddings"](2 * k) if vectors and "embeddings" in on else None, structural.structural(b, queries, 2 * k) if "structural" in on else None, k, self.scorer if s.rerank else None)
+            hits = fusion.hybrid(self._lexical(b, queries, 2 * k), leg["embeddings"](2 * k) if vectors and "embeddings" in on else None, structural.structural(b, queries, 2 * k) if "structural" in on else None, k, self.scorer if s.rerank else None)
             signal = "rerank_score" if s.rerank and self.scorer else "raw_cosine" if vectors else None
         if guard and signal:  # the signal that was really produced
             hits = fusion.confidence_guard(hits, s.spec.rerank_least if signal == "rerank_score" else s.least_cosine, signal)
@@ -67,13 +85,18 @@ class Engine:
     def assemble(self, queries: DataFrame, project: str | None = None, memory: DataFrame | None = None) -> DataFrame:
         """query_id, context, tokens after compression and the tool's cap."""
         found = workspace.assemble(self.search(queries, project), memory)
-        small = compress.compress(found.select(F.col("query_id").alias("id"), F.col("context").alias("text")), self.settings.compression)
+        small = compress.compress(found.select(F.col("query_id").alias("id"), F.col("context").alias("text")), self.settings.compression, headers=True)
         text = X.truncate_tokens(F.col("compressed"), self.settings.tool_tokens)
         return small.select(F.col("id").alias("query_id"), text.alias("context"), X.approx_tokens(text).alias("tokens"), "reduction_pct", "strategies")
 
     def route(self, queries: DataFrame, k: int | None = None) -> DataFrame:
-        """Hits of the best project of each query."""
-        return workspace.routed_search(self.search(queries, None, 50), k or self.settings.top_k)
+        """The k best hits of each query within its best project. Each project's
+        k best are found in one pass, so the winner's are complete."""
+        k, b = k or self.settings.top_k, self._blocks(None)
+        hits = workspace.routed_search(lexical.bm25_best(b, queries, k, "project_id"), k)
+        hits = fusion.minmax(hits).withColumn("rerank_score", F.col("similarity")).withColumn("raw_cosine", F.lit(0.0))
+        found = b.select("id", "project_id", "filepath", F.col("name").alias("function"), F.col("text").alias("code"))
+        return hits.select("query_id", "rank", "id", "project_id", "score", "similarity", "rerank_score", "raw_cosine").join(found, ["project_id", "id"])
 
     def orchestrate(self, work: DataFrame, generate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """work_class and chunk bounds of each row (key, text, has_instruction)."""

@@ -40,6 +40,10 @@ class Settings:
     session_window: int = 120_000
     session_share: float = 0.30
     compression: str = "minimal"
+    #: The lexical leg: grep, or bm25.
+    lexical: str = "grep"
+    #: Absolute paths outside it are foreign to a project.
+    root: str | None = None
 
     @property
     def session_cap(self) -> int:

@@ -84,7 +84,12 @@ def read_files(spark: SparkSession, root: str, patterns: list[str], exclude: lis
     d = d.where(~excluded(F.col("filepath"), exclude or []))
     if max_kb:
         d = d.where(F.col("length") <= max_kb * 1024)
-    return d.select("filepath", F.decode(F.col("content"), "UTF-8").alias("text"), F.col("modificationTime").alias("modified"))
+    return d.select("filepath", utf8(F.col("content")).alias("text"), F.col("modificationTime").alias("modified"))
+
+
+def utf8(content: Column) -> Column:
+    """Bytes as text; what is no UTF-8 becomes replacement characters."""
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def census(files: DataFrame) -> DataFrame:

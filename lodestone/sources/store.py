@@ -1,14 +1,19 @@
 """A versioned block store on Parquet.
 
-A version is a folder of its own, partitioned by project; a manifest names the
-current one. Writers build the next version from the current one and switch the
-manifest, so readers never see half a write and a lost job leaves no trace.
+Each project's blocks lie in a folder of their own. A version maps projects to
+folders; a write makes new folders for the projects that it touches and a new
+version that points to them, and to the old folders of all others. Versions are
+numbered files that are created once and never changed, so readers never see
+half a write, a lost job leaves no trace, and of two writers that start from one
+version the second fails.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +21,11 @@ from pyspark.sql.window import Window as W
 
 from lodestone.schemas import STORED
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
+
+
+class ConcurrentWrite(RuntimeError):
+    """Another writer holds, or has written, the next version."""
 
 
 def latest(rows: DataFrame, keys: list[str], order: str = "indexed_at") -> DataFrame:
@@ -30,88 +39,148 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def applied(old: DataFrame, new: DataFrame, feed: DataFrame) -> DataFrame:
-    """old after a change feed (filepath, change): blocks of every named file go,
-    those of files that still exist come from new."""
-    gone = old.join(feed.select("filepath").distinct(), "filepath", "left_anti")
-    return gone.unionByName(new.join(feed.where("change <> 'deleted'").select("filepath").distinct(), "filepath", "left_semi"), allowMissingColumns=True)
+def applied(old: DataFrame, new: DataFrame, feed: DataFrame, keys: tuple[str, ...] = ("filepath",)) -> DataFrame:
+    """old after a change feed (keys, change): blocks of every named file go,
+    those of files that still exist come from new. Files of several projects
+    need project_id among the keys."""
+    keys = list(keys)
+    gone = old.join(feed.select(*keys).distinct(), keys, "left_anti")
+    return gone.unionByName(new.join(feed.where("change <> 'deleted'").select(*keys).distinct(), keys, "left_semi"), allowMissingColumns=True)
 
 
 class BlockStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._jvm, self._path = jvm, jvm.org.apache.hadoop.fs.Path
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _read_json(self, name: str) -> dict | None:
-        p = self._path(f"{self.path}/{name}")
-        if not self._fs.exists(p):
-            return None
-        stream = self._fs.open(p)
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(f"{self.path}/{folder}")
+        return [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def _number(self) -> int:
+        return max([int(n[:-5]) for n in self._names("manifests") if n.endswith(".json")], default=0)
+
+    def manifest(self) -> dict:
+        n = self._number()
+        if not n:
+            return {"current": None, "versions": {}, "schema": SCHEMA_VERSION, "meta": {}}
+        stream = self._fs.open(self._path(f"{self.path}/manifests/{n:09d}.json"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def _write_json(self, name: str, value: dict) -> None:
-        tmp = self._path(f"{self.path}/.{name}-{uuid.uuid4().hex}")
+    def _publish(self, base: int, value: dict) -> None:
+        """Writes manifest base + 1; whoever creates its lock may."""
+        n = base + 1
+        lock = self._path(f"{self.path}/locks/{n:09d}")
+        try:
+            self._fs.create(lock, False).close()
+        except Exception as e:
+            raise ConcurrentWrite(f"version {n} is taken; if its writer died, delete {lock}") from e
+        tmp = self._path(f"{self.path}/locks/{n:09d}.json")
         out = self._fs.create(tmp, True)
         out.write(bytearray(json.dumps(value).encode()))
         out.close()
-        at = self._path(f"{self.path}/{name}")
-        if self._fs.exists(at):
-            self._fs.delete(at, False)
-        self._fs.rename(tmp, at)
-
-    def manifest(self) -> dict:
-        return self._read_json("manifest.json") or {"current": None, "versions": [], "schema": SCHEMA_VERSION}
+        self._fs.mkdirs(self._path(f"{self.path}/manifests"))
+        if not self._fs.rename(tmp, self._path(f"{self.path}/manifests/{n:09d}.json")):
+            raise ConcurrentWrite(f"version {n} could not be published")
 
     def is_stale(self) -> bool:
         return self.manifest().get("schema") != SCHEMA_VERSION
 
-    def read(self, project: str | None = None) -> DataFrame:
-        v = self.manifest()["current"]
-        d = self.spark.createDataFrame([], STORED) if v is None else self.spark.read.schema(STORED).parquet(f"{self.path}/{v}")
-        return d if project is None else d.where(F.col("project_id") == project)
-
-    def _commit(self, rows: DataFrame, meta: dict | None = None) -> str:
+    def _folders(self) -> dict[str, str]:
         m = self.manifest()
-        v = f"v={len(m['versions']) + 1}"
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in STORED.fields]).write.mode("overwrite").partitionBy("project_id").parquet(f"{self.path}/{v}")
-        self._write_json("manifest.json", {"current": v, "versions": [*m["versions"], v], "schema": SCHEMA_VERSION, "meta": meta or m.get("meta", {})})
+        return m["versions"].get(m["current"], {})
+
+    def read(self, project: str | Iterable[str] | None = None) -> DataFrame:
+        """The blocks of a project, of some, or of all; only their folders are read."""
+        folders = self._folders()
+        if project is not None:
+            named = [project] if isinstance(project, str) else list(project)
+            folders = {p: folders[p] for p in named if p in folders}
+        if not folders:
+            return self.spark.createDataFrame([], STORED)
+        return self.spark.read.schema(STORED).parquet(*[f"{self.path}/{at}" for _, at in sorted(folders.items())])
+
+    def projects(self) -> list[str]:
+        return sorted(self._folders())
+
+    def meta(self) -> dict:
+        return self.manifest().get("meta", {})
+
+    def _commit(self, rows: DataFrame, touched: Iterable[str], base: int | None = None, meta: dict | None = None) -> str:
+        """A version in which the touched projects hold ``rows``, the others what they held."""
+        base = self._number() if base is None else base
+        m = self.manifest()
+        folders = {p: at for p, at in m["versions"].get(m["current"], {}).items() if p not in set(touched)}
+        at = f"data/{uuid.uuid4().hex}"
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in STORED.fields])
+        # the folder's name holds the project's; the rows keep it as well
+        rows.withColumn("p", F.concat(F.lit("_"), "project_id")).write.partitionBy("p").parquet(f"{self.path}/{at}")
+        for name in self._names(at):
+            if name.startswith("p="):
+                folders[unquote(name[2:])[1:]] = f"{at}/{name}"
+        v = f"v={base + 1}"
+        self._publish(base, {"current": v, "versions": m["versions"] | {v: folders}, "schema": SCHEMA_VERSION, "meta": m.get("meta", {}) | (meta or {})})
         return v
 
-    def upsert(self, blocks: DataFrame) -> str:
+    def _own(self, rows: DataFrame) -> set[str]:
+        """The projects of rows: names only, one each."""
+        return {r[0] for r in rows.select("project_id").distinct().collect()}
+
+    def upsert(self, blocks: DataFrame, meta: dict | None = None) -> str:
         """Insert or replace by project and id; of equal keys the last indexed wins."""
+        base = self._number()
+        new = latest(self._stored(blocks), ["project_id", "id"])
+        touched = self._own(new)
+        return self._commit(merged(self.read(touched), new, ["project_id", "id"]), touched, base, meta)
+
+    def _stored(self, blocks: DataFrame, project: str = "") -> DataFrame:
         for f in STORED.fields:
             if f.name not in blocks.columns:
                 blocks = blocks.withColumn(f.name, F.current_timestamp() if f.name == "indexed_at" else F.lit(None).cast(f.dataType))
-        new = latest(blocks.select(*STORED.fieldNames()).withColumn("project_id", F.coalesce("project_id", F.lit(""))), ["project_id", "id"])
-        return self._commit(merged(self.read(), new, ["project_id", "id"]))
+        return blocks.select(*STORED.fieldNames()).withColumn("project_id", F.coalesce("project_id", F.lit(project)))
 
     def delete_files(self, filepaths: DataFrame, project: str | None = None) -> str:
-        gone = filepaths.select("filepath").distinct()
-        hit = self.read().join(gone, "filepath", "left_anti")
-        return self._commit(hit if project is None else hit.unionByName(self.read().where(F.col("project_id") != project).join(gone, "filepath", "left_semi")))
-
-    def apply_changes(self, blocks: DataFrame, feed: DataFrame) -> str:
-        return self._commit(applied(self.read(), blocks, feed))
+        base, gone = self._number(), filepaths.select("filepath").distinct()
+        rows = self.read(project)
+        touched = self._own(rows.join(gone, "filepath", "left_semi"))
+        return self._commit(self.read(touched).join(gone, "filepath", "left_anti"), touched, base)
+
+    def apply_changes(self, blocks: DataFrame, feed: DataFrame, project: str | None = None) -> str:
+        """Blocks of every file that the feed (filepath, change[, project_id])
+        names go; those of files that still exist come from ``blocks``. Files of
+        other projects stay. Rows without a project are of ``project``, or of
+        the one project that the blocks and the store know; if they know more,
+        that is an error."""
+        base = self._number()
+        if project is None and "project_id" not in feed.columns:
+            known = {p for p in self._own(blocks) if p is not None} | set(self.projects()) if "project_id" in blocks.columns else set(self.projects())
+            if len(known) > 1:
+                raise ValueError("the feed names no project and the store holds several")
+            project = next(iter(known), "")
+        project = project or ""
+        own = F.coalesce("project_id", F.lit(project)) if "project_id" in feed.columns else F.lit(project)
+        feed = feed.withColumn("project_id", own)
+        touched = self._own(feed)
+        return self._commit(applied(self.read(touched), self._stored(blocks, project), feed, ("project_id", "filepath")), touched, base)
 
     def count(self, project: str | None = None) -> int:
         return self.read(project).count()
 
     def clear(self, project: str | None = None) -> str:
-        return self._commit(self.read().where(F.col("project_id") != project) if project is not None else self.read().limit(0))
+        return self._commit(self.read(()), self.projects() if project is None else [project])
 
     def versions(self) -> list[str]:
-        return self.manifest()["versions"]
+        return list(self.manifest()["versions"])
 
     def snapshot(self) -> str | None:
         return self.manifest()["current"]
 
     def restore(self, version: str) -> None:
-        m = self.manifest()
+        base, m = self._number(), self.manifest()
         if version not in m["versions"]:
             raise ValueError(f"no version {version}")
-        self._write_json("manifest.json", m | {"current": version})
+        self._publish(base, m | {"current": version})

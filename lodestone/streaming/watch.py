@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from lodestone.sources.files import utf8
 from lodestone.sources.store import BlockStore
 
 
@@ -16,7 +17,7 @@ def file_stream(spark: SparkSession, path: str, pattern: str = "*", most: int =
     """filepath, text, ts of files as they are created or modified."""
     d = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     d = d.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", most).load(path)
-    return d.select(F.regexp_replace("path", "^file:/*", "/").alias("filepath"), F.decode("content", "UTF-8").alias("text"), F.col("modificationTime").alias("ts"))
+    return d.select(F.regexp_replace("path", "^file:/*", "/").alias("filepath"), utf8(F.col("content")).alias("text"), F.col("modificationTime").alias("ts"))
 
 
 def debounce(events: DataFrame, gap: str = "500 milliseconds", late: str = "10 seconds", key: str = "filepath") -> DataFrame:
@@ -33,7 +34,8 @@ class TtlCache(StatefulProcessor):
         self.ttl = ttl
 
     def init(self, handle) -> None:
-        self.entry = handle.getValueState("entry", "value string, at double")
+        # an entry that has served its time, by the clock, twice over goes
+        self.entry = handle.getValueState("entry", "value string, at double", max(1, int(2000 * self.ttl)))
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows)).sort_values("ts", kind="stable")
@@ -53,14 +55,14 @@ class TtlCache(StatefulProcessor):
 
 def cached(requests: DataFrame, ttl: float) -> DataFrame:
     """A stream's requests through the cache, a key's state in one place."""
-    return requests.groupBy("key").transformWithStateInPandas(TtlCache(ttl), "key string, ts timestamp, hit boolean, value string", "Append", "None")
+    return requests.groupBy("key").transformWithStateInPandas(TtlCache(ttl), "key string, ts timestamp, hit boolean, value string", "Append", "ProcessingTime")
 
 
-def maintain(changes: DataFrame, store: BlockStore, parse: Callable[[DataFrame], DataFrame], checkpoint: str, every: str | None = None) -> StreamingQuery:
+def maintain(changes: DataFrame, store: BlockStore, parse: Callable[[DataFrame], DataFrame], checkpoint: str, every: str | None = None, project: str | None = None) -> StreamingQuery:
     """Keeps a store up to date with a stream of (filepath, text, change).
 
     Batches run one at a time, so no two syncs overlap; each replaces all blocks
-    of the files it names. ``every`` throttles; without it the stream runs once.
+    of the files it names, in one project. ``every`` throttles; without it the stream runs once.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -68,7 +70,7 @@ def maintain(changes: DataFrame, store: BlockStore, parse: Callable[[DataFrame],
             return
         now = batch.groupBy("filepath").agg(F.max_by(F.struct("text", "change"), "ts").alias("x")).select("filepath", "x.text", "x.change")
         new = parse(now.where("change <> 'deleted'").select("filepath", "text"))
-        store.apply_changes(new, now.select("filepath", "change"))
+        store.apply_changes(new, now.select("filepath", "change"), project)
 
     q = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (q.trigger(processingTime=every) if every else q.trigger(availableNow=True)).start()

@@ -106,7 +106,9 @@ def test_compression_stages(spark):
     code = "import os\nimport sys\n\n\n\n\ndef f():\n    x = '# kept'  # gone\n    # TODO stay\n    # all gone\n    return x\n\x1b[31mred\x1b[0m\n# Title\n"
     d = spark.createDataFrame([("a", code), ("b", None)], "id string, text string")
     out = {r.id: r.compressed for r in compress.compress(d).collect()}
-    assert out["a"] == "# [imports removed - see repo map]\n\ndef f():\n    x = '# kept'\n    # TODO stay\n    return x\nred\n# Title"
+    assert out["a"] == "# [imports removed - see repo map]\n\ndef f():\n    x = '# kept'\n    # TODO stay\n    return x\nred"
+    kept = {r.id: r.compressed for r in compress.compress(d, headers=True).collect()}
+    assert kept["a"] == out["a"] + "\n# Title"
     assert out["b"] == ""
     assert compress.compress(d, "none").where("id = 'a'").first().compressed == code
     long = "def g():\n" + "\n".join(f"    step_{chr(97 + i)}()" for i in range(20)) + "\nend = 1\nend = 2"

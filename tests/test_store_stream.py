@@ -116,3 +116,43 @@ def test_file_stream(spark, tmp_path):
     q = watch.file_stream(spark, str(tmp_path / "in"), "*.py").writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.filepath.endswith("in/sub/a.py"), r.text) for r in spark.table("seen").collect()] == [(True, "x = 1")]
+
+
+def test_a_delta_leaves_other_projects(spark, store):
+    frame = lambda *rows: spark.createDataFrame(list(rows), BLOCK)
+    store.upsert(frame(block("1"), block("2", "b.py"), block("1", code="other", p="p2"), block("3", "c.py", p="p 3/ü")))
+    before = store._folders()
+    feed = lambda *rows: spark.createDataFrame(list(rows), "filepath string, change string")
+    with pytest.raises(ValueError):
+        store.apply_changes(frame(block("9")), feed(("a.py", "modified")))
+    store.apply_changes(frame(block("9")), feed(("a.py", "modified"), ("b.py", "deleted")), "p1")
+    assert {(r.project_id, r.id) for r in store.read().collect()} == {("p1", "9"), ("p2", "1"), ("p 3/ü", "3")}
+    after = store._folders()
+    assert after["p2"] == before["p2"] and after["p 3/ü"] == before["p 3/ü"] and after["p1"] != before["p1"]  # only p1 was written
+    named = spark.createDataFrame([("a.py", "deleted", "p2")], "filepath string, change string, project_id string")
+    store.apply_changes(frame(block("x")).limit(0), named)
+    assert store.projects() == ["p 3/ü", "p1"] and store.read("p 3/ü").count() == 1
+
+
+def test_two_writers_of_one_version(spark, store):
+    from lodestone.sources.store import ConcurrentWrite
+
+    rows = spark.createDataFrame([block("1")], BLOCK)
+    store.upsert(rows)
+    base = store._number()
+    store.upsert(spark.createDataFrame([block("2")], BLOCK))
+    with pytest.raises(ConcurrentWrite):
+        store._commit(store._stored(rows), ["p1"], base)
+    assert store.count() == 2
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    (tmp_path / "good.py").write_text("def fine():\n    return 1\n")
+    (tmp_path / "bad.py").write_bytes(b"def odd():\n    return '\xff\xfe'\n")
+    rows = files.read_files(spark, str(tmp_path), ["*.py"])
+    found = {r.function: r.code for r in parsing.blocks(parsing.parse_files(rows)).collect()}
+    assert set(found) == {"fine", "odd"} and "\ufffd" in found["odd"]
+    stream = watch.file_stream(spark, str(tmp_path), "*.py")
+    q = stream.writeStream.format("memory").queryName("bytes").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted("\ufffd" in r.text for r in spark.table("bytes").collect()) == [False, True]
