@@ -97,3 +97,32 @@ def same_model(installed: str, required: str) -> bool:
     return installed.split(":")[0] == required.split(":")[0]
 
 
+
+
+def remote(url: str, model: str, answer: str = "response", timeout: float = 60.0, threads: int = 4, tries: int = 2) -> Callable[[], Callable[[list[str]], list[str]]]:
+    """A model behind an HTTP address: each prompt is posted as JSON {model,
+    prompt, stream: false}, ``threads`` at a time from each task, and the named
+    field of the JSON answer comes back. What fails after ``tries`` is empty."""
+
+    def load() -> Callable[[list[str]], list[str]]:
+        import json
+        import urllib.request
+        from concurrent.futures import ThreadPoolExecutor
+
+        def ask(prompt: str) -> str:
+            body = json.dumps({"model": model, "prompt": prompt, "stream": False}).encode()
+            for _ in range(tries):
+                try:
+                    with urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json"}), timeout=timeout) as r:
+                        return str(json.loads(r.read()).get(answer, ""))
+                except (OSError, ValueError):
+                    continue
+            return ""
+
+        def call(prompts: list[str]) -> list[str]:
+            with ThreadPoolExecutor(threads) as pool:
+                return list(pool.map(ask, prompts))
+
+        return call
+
+    return load

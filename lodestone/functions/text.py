@@ -44,20 +44,21 @@ def name_tokens(name: Column) -> Column:
     return F.array_distinct(F.array_compact(F.concat(_whole(F.split(low, "[._-]+")), joined)))
 
 
-def _pairs(low: Column, pattern: str) -> Column:
-    return F.arrays_zip(F.regexp_extract_all(low, F.lit(pattern), 1).alias("a"), F.regexp_extract_all(low, F.lit(pattern), 2).alias("b"))
-
-
 def identifiers(text: Column) -> Column:
     """Names and references: declarations, dotted names, prefixed names, kinds."""
     low = F.lower(text)
     declared = r'(?:resource|data)\s+"([a-z_][a-z0-9_]*)"\s+"([a-z_][a-z0-9_-]*)"'
-    dotted = r"([a-z_][a-z0-9_]*)\s*\.\s*([a-z_][a-z0-9_-]*)"
+    # a name is looked for at its start only: no match begins inside one
+    dotted = r"(?<![a-z_])([a-z_][a-z0-9_]*+)\s*+\.\s*+([a-z_][a-z0-9_-]*+)"
     prefixed = r"\b(var|module|data|resource|output|kind|metadata)[\s.]+([a-z_][a-z0-9_-]*)"
-    three = lambda p: F.flatten(F.transform(p, lambda x: F.array(x["0"], x["1"], F.concat(x["0"], F.lit("."), x["1"]))))
-    two = lambda p: F.flatten(F.transform(p, lambda x: F.array(x["1"], F.concat(x["0"], F.lit("."), x["1"]))))
-    zipped = lambda pattern: F.arrays_zip(F.regexp_extract_all(low, F.lit(pattern), 1), F.regexp_extract_all(low, F.lit(pattern), 2))
-    return F.array_distinct(F.concat(three(zipped(declared)), three(zipped(dotted)), two(zipped(prefixed)), F.regexp_extract_all(low, F.lit(r"\bkind\s*:\s*([a-z][a-z0-9-]*)"), 1)))
+
+    def pairs(pattern: str, first: bool) -> Column:
+        """Both names of each match, the first if asked, and both with a dot."""
+        one, two = (lambda m, g=g: F.regexp_extract(m, pattern, g) for g in (1, 2))
+        names = lambda m: F.array(*([one(m)] if first else []), two(m), F.concat(one(m), F.lit("."), two(m)))
+        return F.flatten(F.transform(F.regexp_extract_all(low, F.lit(pattern), 0), names))
+
+    return F.array_distinct(F.concat(pairs(declared, True), pairs(dotted, True), pairs(prefixed, False), F.regexp_extract_all(low, F.lit(r"\bkind\s*:\s*([a-z][a-z0-9-]*)"), 1)))
 
 
 def normalised_query(query: Column) -> Column:

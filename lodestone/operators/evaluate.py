@@ -77,5 +77,6 @@ def profile_rates(queries: DataFrame) -> DataFrame:
     )
 
 
-def ranked_by(hits: DataFrame, order: str) -> DataFrame:
-    return hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(order), "id")))
+def campaign(engine, queries: DataFrame, gold: DataFrame, modes: tuple[str, ...] = ("bm25", "ast", "hybrid"), k: int = 10) -> DataFrame:
+    """Mean metrics of an engine's search modes over the same queries."""
+    return compare({m: engine.search(queries, k=k, mode=m, guard=False) for m in modes}, gold, k)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lodestone.functions import text as X
-from lodestone.sources.scratch import Tables
+from lodestone.sources.scratch import Tables, ship
 
 from . import scan
 from .lexical import top
@@ -22,11 +25,35 @@ def mention_edges(blocks: DataFrame) -> DataFrame:
     return words.join(names, "word").where("src <> dst").select("src", "dst").distinct()
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping: float = 0.85, every: int = 10) -> DataFrame:
+#: Edges (24 bytes each) that one task may hold.
+TASK_EDGES = 4_000_000
+
+
+def _solver(iterations: int, base: float, start: float):
+    """All edges of a small graph in one task -> the ranks of the nodes they name."""
+
+    def run(batches):
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts)
+        both = pa.chunked_array([*t.column("src").chunks, *t.column("dst").chunks]).combine_chunks().dictionary_encode()
+        place, ids = both.indices.to_numpy(zero_copy_only=False).astype(np.int64), both.dictionary
+        src, dst, w = place[: t.num_rows], place[t.num_rows :], t.column("w").to_numpy()
+        pr = np.full(len(ids), start)
+        for _ in range(iterations):
+            pr = base + np.bincount(dst, weights=pr[src] * w, minlength=len(ids))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(pr)], names=["id", "pr"])
+
+    return run
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping: float = 0.85, every: int = 10, task_edges: int = TASK_EDGES) -> DataFrame:
     """id, pr after a fixed number of iterations; mass of nodes without edges is
     not handed on.
 
-    Only nodes that something mentions are carried from step to step; the others
+    A graph of at most ``task_edges`` edges, which are counted, is solved in one
+    task. Of a larger one only nodes that something mentions are carried from step to step; the others
     keep the base. Edges lie in memory dealt by their source, so a step moves
     ranks and sums, never edges. The lineage is cut every few iterations, and
     older tables go.
@@ -37,6 +64,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping:
     tables, base = Tables(nodes.sparkSession, "pagerank"), (1 - damping) / n
     degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
     weighed = tables.keep(edges.join(degree, "src").select("src", "dst", (damping / F.col("deg")).alias("w")), "edges")
+    if weighed.limit(task_edges + 1).count() <= task_edges:
+        ship(nodes.sparkSession)
+        schema = StructType([StructField("id", weighed.schema["src"].dataType)]).add("pr", "double")
+        small = weighed.coalesce(1).mapInArrow(_solver(iterations, base, 1.0 / n), schema)
+        alone = F.lit(1.0 / n if iterations == 0 else base)
+        return nodes.select("id").join(small, "id", "left").select("id", F.coalesce("pr", alone).alias("pr"))
     held = weighed.repartition("src").persist()
     rank, first = None, F.lit(1.0 / n)
     for i in range(iterations):

@@ -91,3 +91,29 @@ def token_reduction(queries: DataFrame, whole: str = "whole_tokens", used: str =
     pick = lambda p: F.expr(f"get(sort_array(v), CAST(floor(n * {p}) AS INT))")
     d = d.select("n", "whole_tokens", pick(0.5).alias("median"), pick(0.25).alias("p25"), pick(0.75).alias("p75"))
     return d.withColumn("reduction_pct", F.when(F.col("whole_tokens") > 0, F.round(100 * (1 - F.col("median") / F.col("whole_tokens")), 1)).otherwise(0.0))
+
+
+def index_latency(events: DataFrame, key: str, value: str = "value") -> DataFrame:
+    """n, p50 and p95 of each key: the sorted values' entries at n div 2 and at
+    int(0.95 n). Values are ranked within their key; none is collected."""
+    d = events.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"))
+    w = W.partitionBy(key)
+    d = d.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy("_v")) - 1)
+    at = lambda place: F.max(F.when(F.col("_r") == place, F.col("_v")))
+    return d.groupBy(key).agg(F.count("*").alias("n"), at(F.floor(F.col("_n") / 2)).alias("p50"), at(F.floor(F.col("_n") * 95 / 100)).alias("p95"))
+
+
+def tree_tokens(files: DataFrame, most: int = 50) -> DataFrame:
+    """files, whole_tokens of all texts, and tree_tokens of the first paths, one a line."""
+    tree = files.select("filepath").orderBy("filepath").limit(most).agg(F.array_join(F.array_sort(F.collect_list("filepath")), "\n").alias("tree"))
+    tokens = lambda c: F.greatest(F.lit(1), F.floor(F.length(c) / 4)).cast("long")
+    return files.agg(F.count("*").alias("files"), F.sum(tokens(F.coalesce("text", F.lit("")))).alias("whole_tokens")).crossJoin(tree.select(tokens("tree").alias("tree_tokens")))
+
+
+def end_to_end(contexts: DataFrame, totals: DataFrame, agent_files: int = 10) -> DataFrame:
+    """reduction of each context's tokens against the whole collection, and against
+    an agent that reads ``agent_files`` files of mean size besides the tree."""
+    d = contexts.crossJoin(totals)
+    agent = F.col("tree_tokens") + agent_files * F.floor(F.col("whole_tokens") / F.greatest(F.col("files"), F.lit(1)))
+    saved = lambda base: F.when(base > 0, F.round(100.0 * (1 - F.col("tokens") / base), 1)).otherwise(0.0)
+    return d.select("query_id", "tokens", saved(F.col("whole_tokens")).alias("whole_pct"), saved(agent).alias("agent_pct"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_search, catalog_tables, catalog_text
+from . import catalog_rules, catalog_search, catalog_tables, catalog_text
 
-_PARTS = (catalog_search, catalog_text, catalog_tables)
+_PARTS = (catalog_search, catalog_text, catalog_tables, catalog_rules)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

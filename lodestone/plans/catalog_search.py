@@ -256,10 +256,6 @@ def vector_prefix_topk(spark, d):
 SQL["vector_prefix_topk"] = f"WITH {VECTORS}, p AS (SELECT * FROM vs WHERE label = 1) SELECT query_id, id, score, rank::INTEGER AS rank FROM {top_sql('p', 10)}"
 
 
-def doc_blocks(spark, d):
-    return docs(spark, d).select("id", "name", "text")
-
-
 def legs(spark, d, k):
     lex = lexical.bm25(docs(spark, d), asked(spark, d), k)
     gr = lexical.grep(docs(spark, d), asked(spark, d), k)

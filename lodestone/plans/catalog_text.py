@@ -114,6 +114,13 @@ def greedy_batches(spark, d):
     return budget.greedy_batches(c, 60)
 
 
+SQL["greedy_batches"] = """WITH RECURSIVE p AS (SELECT conv_id AS key, turn AS seq, greatest(1, length(text) // 4)::BIGINT AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+b AS (SELECT key, seq, tokens, n, 0::BIGINT AS batch, tokens AS used FROM p WHERE n = 1
+      UNION ALL SELECT p.key, p.seq, p.tokens, p.n, CASE WHEN b.used > 0 AND b.used + p.tokens > 60 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.used > 0 AND b.used + p.tokens > 60 THEN p.tokens ELSE b.used + p.tokens END
+      FROM b JOIN p ON p.key = b.key AND p.n = b.n + 1)
+SELECT key, seq, tokens, batch FROM b"""
+
+
 @query
 def token_reduction(spark, d):
     used = budget.budget_prefix(ranked_docs(spark, d), 20_000, ["source"]).groupBy("source").agg(F.max("used").alias("used_tokens"))
@@ -188,9 +195,24 @@ SELECT id, md5(text) AS m, length(text)::INTEGER AS chars FROM t"""
 
 @query
 def truncate_functions(spark, d):
-    """Words one a line, so that declarations are frequent."""
-    t = ids(spark, d).select("id", F.regexp_replace(F.regexp_replace("text", "(?m)^(The|En) ", "def "), " ", "\n  ").alias("text"))
-    return stats_of(compress.truncate_functions(compress.lines_of(t)))
+    """Words one a line, capitalised ones as declarations, so that functions are frequent."""
+    t = ids(spark, d).select("id", F.regexp_replace("text", " ", "\n  ").alias("text"))
+    name = F.col("line").rlike("^ *[A-Z][a-z]*[.,]?$")
+    lines = compress.lines_of(t).withColumn("line", F.when(name, F.concat(F.lit("def "), F.trim("line"))).otherwise(F.col("line")))
+    return stats_of(compress.truncate_functions(lines))
+
+
+SQL["truncate_functions"] = r"""WITH w AS (SELECT doc_id AS id, string_split(replace(text, ' ', chr(10) || '  '), chr(10)) AS l FROM documents),
+x AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM w),
+y AS (SELECT id, pos, CASE WHEN regexp_matches(line, '^ *[A-Z][a-z]*[.,]?$') THEN 'def ' || trim(line) ELSE line END AS line FROM x),
+a AS (SELECT *, regexp_matches(line, '^\s*(def |async def |function |fn |func |class |@\w+)') AS h, CASE WHEN trim(line) <> '' THEN length(line) - length(ltrim(line)) END AS ind FROM y),
+b AS (SELECT *, sum(h::INT) OVER (PARTITION BY id ORDER BY pos) AS fn FROM a),
+c AS (SELECT *, NOT h AND ind <= first_value(ind) OVER (PARTITION BY id, fn ORDER BY pos) AS o FROM b),
+e AS (SELECT *, CASE WHEN fn = 0 THEN true ELSE coalesce(max(o::INT) OVER (PARTITION BY id, fn ORDER BY pos), 0) = 1 END AS out FROM c),
+f AS (SELECT *, count(*) OVER (PARTITION BY id, fn, out) AS n, row_number() OVER (PARTITION BY id, fn, out ORDER BY pos) AS r FROM e),
+t AS (SELECT id, string_agg(CASE WHEN NOT out AND n > 15 AND r = 6 THEN '    # ... (' || (n - 10)::VARCHAR || ' lines omitted) ...' ELSE line END, chr(10) ORDER BY pos) AS text
+      FROM f WHERE out OR n <= 15 OR r <= 6 OR r > n - 5 GROUP BY id)
+SELECT id, md5(text) AS m, length(text)::INTEGER AS chars FROM t"""
 
 
 @query

@@ -82,6 +82,21 @@ class Engine:
         cols = ["query_id", "rank", "id", "score", "similarity", "rerank_score", "raw_cosine"]
         return hits.select(*cols).join(b.select("id", "project_id", "filepath", F.col("name").alias("function"), F.col("text").alias("code")), "id")
 
+    def fused(self, queries: DataFrame, k: int = 5, project: str | None = None, prefix: str | None = None, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """query_id, rank, id, score, similarity, rerank_score: full text and
+        vectors fused over one store; full text alone without an embedder. A hit
+        without a vector has similarity 0.5; rerank_score is null without a scorer."""
+        b = self._blocks(project)
+        if prefix is not None:
+            b = b.where(F.col("filepath").startswith(prefix))
+        legs = [(lexical.bm25(b, queries, 2 * k, fill=False), fusion.WEIGHTS[0])]
+        if self.embed is not None:
+            legs.append((vector.nearest(b.where("vector IS NOT NULL"), self.embed(queries), 2 * k), fusion.WEIGHTS[2]))
+        hits = fusion.ranked(fusion.reciprocal_rank_fusion(legs), "raw").where(F.col("rank") <= k)
+        hits = hits.withColumn("similarity", F.when(F.col("raw_cosine") > 0, F.col("raw_cosine")).otherwise(0.5))
+        scored = scorer(hits) if scorer is not None else hits.withColumn("rerank_score", F.lit(None).cast("double"))
+        return scored.select("query_id", "rank", "id", "score", "similarity", "rerank_score", "raw_cosine")
+
     def assemble(self, queries: DataFrame, project: str | None = None, memory: DataFrame | None = None) -> DataFrame:
         """query_id, context, tokens after compression and the tool's cap."""
         found = workspace.assemble(self.search(queries, project), memory)

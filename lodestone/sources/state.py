@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +79,15 @@ def evaluation_queries(spark: SparkSession, items: list[tuple[str, set[str]]]) -
     queries = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(items)], "query_id long, query string")
     gold = spark.createDataFrame([(i, g) for i, (_, ids) in enumerate(items) for g in sorted(ids)], "query_id long, gold string")
     return queries, gold
+
+
+def index_location(root: str, where: str = "auto", home: str | None = None) -> str:
+    """The folder of a tree's index: within the tree, or in the user's cache
+    under the tree's id. ``auto`` leaves the tree where it is a mount of another
+    system (below /mnt)."""
+    if where not in ("auto", "native", "in_project"):
+        raise ValueError(f"unknown index location: {where}")
+    root = os.path.realpath(root)
+    if where == "native" or (where == "auto" and root.startswith("/mnt/")):
+        return os.path.join(home or os.path.expanduser("~"), ".cache", "lodestone", hashlib.sha1(root.encode()).hexdigest()[:12])
+    return os.path.join(root, ".lodestone")

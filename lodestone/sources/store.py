@@ -184,3 +184,57 @@ class BlockStore:
         if version not in m["versions"]:
             raise ValueError(f"no version {version}")
         self._publish(base, m | {"current": version})
+
+
+class MemoryStore:
+    """The same blocks as a cached frame, for tests and small collections: no
+    versions, nothing is written."""
+
+    def __init__(self, spark: SparkSession, path: str = ""):
+        self.spark, self._rows, self._n = spark, spark.createDataFrame([], STORED), 0
+
+    _stored = BlockStore._stored
+
+    def _set(self, rows: DataFrame) -> str:
+        self._rows, self._n = rows.select(*STORED.fieldNames()).persist(), self._n + 1
+        self._rows.count()
+        return self.snapshot()
+
+    def snapshot(self) -> str | None:
+        return f"v={self._n}" if self._n else None
+
+    def projects(self) -> list[str]:
+        return sorted(r[0] for r in self._rows.select("project_id").distinct().collect())
+
+    def read(self, project: str | Iterable[str] | None = None) -> DataFrame:
+        named = [project] if isinstance(project, str) else project
+        return self._rows if named is None else self._rows.where(F.col("project_id").isin(list(named)))
+
+    def upsert(self, blocks: DataFrame) -> str:
+        new = latest(self._stored(blocks), ["project_id", "id"])
+        return self._set(merged(self._rows, new, ["project_id", "id"]))
+
+    def delete_files(self, filepaths: DataFrame, project: str | None = None) -> str:
+        gone = filepaths.select("filepath").distinct()
+        hit = self._rows.join(gone, "filepath", "left_anti")
+        return self._set(hit if project is None else hit.unionByName(self._rows.where(F.col("project_id") != project).join(gone, "filepath", "left_semi")))
+
+    def apply_changes(self, blocks: DataFrame, feed: DataFrame, project: str = "") -> str:
+        own = F.coalesce("project_id", F.lit(project)) if "project_id" in feed.columns else F.lit(project)
+        return self._set(applied(self._rows, self._stored(blocks, project), feed.withColumn("project_id", own), ("project_id", "filepath")))
+
+    def count(self, project: str | None = None) -> int:
+        return self.read(project).count()
+
+    def clear(self, project: str | None = None) -> str:
+        return self._set(self._rows.limit(0) if project is None else self._rows.where(F.col("project_id") != project))
+
+
+STORES = {"parquet": BlockStore, "memory": MemoryStore}
+
+
+def open_store(spark: SparkSession, path: str, kind: str = "parquet") -> BlockStore | MemoryStore:
+    """The store of a kind that settings name."""
+    if kind not in STORES:
+        raise ValueError(f"unknown store: {kind}")
+    return STORES[kind](spark, path)

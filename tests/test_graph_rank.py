@@ -15,3 +15,16 @@ def test_a_chain_needs_more_than_ten_steps(spark, tmp_path):
     assert all(abs(out[i] - pr[i]) < 1e-7 for i in range(30))
     best = q["graph_rank_topk"](spark, str(tmp_path)).where("rank = 1").first()
     assert (best.id, best.score) == (29, round(0.7 + 0.3 * pr[29] * 30, 4))
+
+
+def test_one_task_and_many_agree(spark):
+    import random
+
+    from lodestone.operators import graph
+
+    rng = random.Random(7)
+    edges = {(rng.randrange(60), rng.randrange(40)) for _ in range(300)}
+    nodes, e = spark.range(70), spark.createDataFrame([x for x in edges if x[0] != x[1]], "src long, dst long")
+    one = {r.id: r.pr for r in graph.pagerank(nodes, e, 25).collect()}
+    many = {r.id: r.pr for r in graph.pagerank(nodes, e, 25, every=5, task_edges=10).collect()}
+    assert len(one) == 70 and all(abs(one[i] - many[i]) < 1e-12 for i in one)
