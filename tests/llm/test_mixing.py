@@ -76,6 +76,17 @@ def test_sql_says_the_same(spark, carry):
     assert got == want
 
 
+def test_ties_and_long_texts(spark):
+    """Rows that tie share what is left; a long text ends its source in part."""
+    rows = [(1, "a b c d", "s")] * 5 + [(2, " ".join(["w"] * 3000), "t"), (3, "x", "t")]
+    out = M.mix(spark, frame(spark, rows), carry=["doc_id", "source"]).collect()
+    size, target = expected_targets(rows)
+    taken = {s: sum(r.taken for r in out if r.source == s) for s in size}
+    assert all(abs(taken[s] - target[s]) <= 0.5 + 1e-6 for s in size) and all(r.taken <= 3 * r.size for r in out)
+    again = M.mix(spark, frame(spark, rows).repartition(4), carry=["doc_id", "source"]).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+
+
 def test_nothing_to_mix(spark):
     assert M.mix(spark, frame(spark, docs()).limit(0)).count() == 0
     only = M.mix(spark, frame(spark, [(1, None, "a"), (2, "", None)])).collect()

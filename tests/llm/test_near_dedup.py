@@ -90,3 +90,20 @@ def test_components_of_a_chain(spark):
     rng.shuffle(links)
     got = {r.node: r.comp for r in N.components(spark.createDataFrame(links, "a long, b long").repartition(4), N.Scratch(spark, "t"), "c").collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in (100, 101, 102, 200)}
+
+
+def test_long_texts_near_the_threshold(spark, monkeypatch):
+    """Sets far above the sketch, on either side of the threshold, left to the blocks."""
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "PIVOT_ROUNDS", 1)
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(4000)}" for _ in range(2500)]
+    rows = []
+    for i in range(48):  # an edit touches k shingles, so some 140 edits part two texts
+        w = list(base)
+        for at in rng.sample(range(len(w)), rng.randint(20, 90)):
+            w[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows.append((90, " ".join(base * 12)))  # 30,000 words
+    out = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert out == brute(rows, 5, 80)

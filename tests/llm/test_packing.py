@@ -58,6 +58,19 @@ def test_every_id_lies_in_one_piece(spark, size):
     assert padding < 0.08, padding
 
 
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_patterns_place_most_pieces(spark, monkeypatch, buckets):
+    """Enough pieces for the plan to matter: little padding, whatever the buckets."""
+    monkeypatch.setattr(P, "BUCKETS", buckets)
+    monkeypatch.setattr(P, "BUCKET_PIECES", 1 << 20)
+    rng = random.Random(3)
+    words = ["river", "house", "garden", "walked", "stone", "evening", "letter", "cloud"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(20, 1500)))) for i in range(700)]
+    d = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
+    padding, _ = check(P.pack(spark, d, 2048).collect(), rows, 2048)
+    assert padding < 0.012, padding  # pieces lie in classes of 8 ids
+
+
 def test_nothing(spark):
     d = spark.createDataFrame([], SCHEMA)
     assert P.pack(spark, d).count() == 0

@@ -119,3 +119,20 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     unowned = [r for r in got if r[0] is None and (r[1] or "").startswith("b0")]
     assert out.columns == pipeline.COLUMNS and len(unowned) == 1  # b and its near copy: one of them
     assert [r for r in got if r not in unowned] == sorted([(4, a), (None, "x y"), (None, ""), (5, ""), (6, ""), (4, c), (7, None)], key=str)
+
+
+def test_odd_tables(spark, tmp_path):
+    """Long texts, clashing names, nulls in every column, and columns that are missing."""
+    rng = random.Random(5)
+    prose = lambda n: " ".join(rng.choice(["the", "of", "river", "house", "and", "garden", "walked", "to", "stone"]) + "." * (i % 9 == 8) for i in range(n))
+    clean = [(i, prose(rng.randint(60, 200)), "en", "s", None, "x", 1, 2.0, True) for i in range(30)]
+    odd = [(50, prose(60_000), "en", None, None, "x", 1, 2.0, None), (51, None, None, None, None, None, None, None, None), (None, prose(90), None, "t", None, "y", 1, 2.0, True), clean[3], (52, "", "en", "s", 0, "x", 1, 2.0, True)]
+    d = spark.createDataFrame(clean + odd, "doc_id long, text string, lang string, source string, n_chars long, rep string, taken int, size double, kept boolean").repartition(2)
+    d.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    out = pipeline.run(spark, str(tmp_path / "a"))
+    found = {r.doc_id for r in out.collect()}
+    assert 50 in found and None in found and not {51, 52} & found
+    longest = out.where("doc_id = 50").agg({"length": "sum", "doc_tokens": "max"}).first()
+    assert longest[0] % longest[1] == 0 and longest[1] > 60_000  # every id of the long text is packed
+    d.select("doc_id", "text").write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    assert {r.doc_id for r in pipeline.run(spark, str(tmp_path / "b")).collect()} >= {0, 1, 50}
