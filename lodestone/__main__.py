@@ -14,7 +14,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     p.add_argument("--project")
     p.add_argument("--profile", default="code")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, args in {"reindex": ["root"], "search": ["query"], "assemble": ["query"], "classify": ["query"], "status": [], "clear": [], "versions": [], "restore": ["version"], "census": ["root"], "token-stats": ["log"], "metrics": ["log"]}.items():
+    for name, args in {"reindex": ["root"], "search": ["query"], "assemble": ["query"], "classify": ["query"], "status": [], "clear": [], "versions": [], "restore": ["version"], "census": ["root"], "token-stats": ["log"], "metrics": ["log"],
+        "init": ["root"], "config": ["root"], "doctor": ["root"], "dry-run": ["root"], "run": ["root"], "janitor": ["root", "since"], "memory": ["root", "log"], "dashboard": ["log"]}.items():
         s = sub.add_parser(name)
         for a in args:
             s.add_argument(a)
@@ -26,6 +27,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from pyspark.sql import functions as F
 
     from lodestone.operators import metrics
+    from lodestone.plans import setup
     from lodestone.plans.engine import Engine
     from lodestone.plans.profiles import Settings
     from lodestone.plans.service import Service
@@ -33,7 +35,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from lodestone.sources.store import BlockStore
 
     spark = spark or SparkSession.builder.appName("lodestone").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    service = Service(Engine(spark, BlockStore(spark, a.store), Settings(profile=a.profile)), a.project)
+    if a.command == "init":
+        print(setup.init(a.root, a.profile))
+        return 0
+    settings = setup.settings(a.root, a.profile) if a.command in ("config", "doctor", "dry-run", "run", "janitor") else Settings(profile=a.profile)
+    service = Service(Engine(spark, BlockStore(spark, a.store), settings), a.project)
     store = service.engine.store
     if a.command == "reindex":
         project = a.project or spark.createDataFrame([(a.root,)], "p string").select(X.project_id(F.col("p"))).first()[0]
@@ -54,12 +60,37 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         store.restore(a.version)
     elif a.command == "census":
         found = files.read_files(spark, a.root, ["*"], service.engine.settings.exclude)
-        for r in files.census(found).orderBy(F.desc("files"), "ext").limit(50).collect():
+        for r in files.census(found).orderBy(F.desc("files"), "ext").collect():  # a row for each ending
             print(r.ext, r.files)
     elif a.command == "token-stats":
         print(json.dumps(metrics.token_stats(state.EventLog(spark, a.log, state.USAGE).read(), F.localtimestamp()).first().asDict()))
     elif a.command == "metrics":
-        for r in metrics.summary(state.EventLog(spark, a.log).read()).orderBy("category").limit(100).collect():
+        for r in metrics.summary(state.EventLog(spark, a.log).read()).orderBy("category").collect():  # a row for each category
+            print(json.dumps(r.asDict(), default=str))
+    elif a.command == "config":
+        print(state.dump_settings(settings))
+    elif a.command == "doctor":
+        found = setup.doctor(spark, a.root, store)
+        print("\n".join(f"{'ok' if ok else 'FAIL'}  {what}" for what, ok in found))
+        return 0 if all(ok for _, ok in found) else 1
+    elif a.command == "dry-run":
+        for r in setup.dry_run(spark, a.root, settings).collect():  # a row for each language
+            print(r.language, r.files, r.bytes)
+    elif a.command == "run":
+        project = a.project or spark.createDataFrame([(a.root,)], "p string").select(X.project_id(F.col("p"))).first()[0]
+        setup.follow(service.engine, a.root, project).awaitTermination()
+        print(store.count(project))
+    elif a.command == "janitor":
+        project = a.project or spark.createDataFrame([(a.root,)], "p string").select(X.project_id(F.col("p"))).first()[0]
+        print(setup.janitor(service.engine, a.root, project, a.since), store.count(project))
+    elif a.command == "memory":
+        from lodestone.plans.jobs import record_changes
+        from lodestone.sources.vcs import Repository
+
+        print(record_changes(spark, Repository(a.root), state.EventLog(spark, a.log)))
+    elif a.command == "dashboard":
+        log = state.EventLog(spark, a.log).read()
+        for r in metrics.summary(log).join(metrics.index_latency(log, "category"), "category", "left").orderBy("category").collect():  # a row for each category
             print(json.dumps(r.asDict(), default=str))
     return 0
 

@@ -119,3 +119,24 @@ def test_command_line(spark, tree, tmp_path, capsys):
     for args, said in ((["reindex", str(tree)], "v=1 2"), (["search", "login_user"], "login_user"), (["status"], '"files": 2'), (["census", str(tree)], ".py 2"), (["versions"], "v=1"), (["classify", "fix typo"], "SIMPLE")):
         assert main([*base, *args], spark) == 0
         assert said in capsys.readouterr().out
+
+
+def test_upkeep_commands(spark, tree, tmp_path, capsys):
+    store, root = ["--store", str(tmp_path / "store"), "--project", "p"], str(tree)
+    run = lambda *a: (main([*store, "--profile", "python", *a], spark), capsys.readouterr().out)
+    assert run("init", root)[1].strip().endswith("settings.json")
+    assert '"profile": "python"' in run("config", root)[1]
+    assert "python 2" in run("dry-run", root)[1]
+    assert run("reindex", root)[0] == 0
+    code, out = run("doctor", root)
+    assert code == 0 and "FAIL" not in out
+    names = lambda: {r.function for r in BlockStore(spark, store[1]).read("p").collect()}
+    assert names() == {"login_user", "old_thing"}
+    old = spark.createDataFrame([("x", "old.py", "gone", "x", 1, 2, "p"), ("y", "auth.py", "stale", "x", 1, 2, "p"), ("z", "auth.py", "other", "x", 1, 2, "q")], "id string, filepath string, function string, code string, line_start int, line_end int, project_id string")
+    BlockStore(spark, store[1]).upsert(old)
+    assert run("janitor", root, "HEAD~1")[0] == 0  # old.py became new.py, auth.py changed
+    assert names() == {"login_user", "old_thing"} and BlockStore(spark, store[1]).count("q") == 1
+    assert run("run", root)[1].strip() == "2"
+    log = str(tmp_path / "log")
+    assert "auth.py" in run("memory", root, log)[1]
+    assert '"category": "memory"' in run("dashboard", log)[1]
