@@ -264,6 +264,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
         now = bands.join(comps, bands.rep == comps.node, "left").select("band", "key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
         mixed = now.groupBy("band", "key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("c")).where("c1 <> c2").select("band", "key", "c")
         open_ = scratch.keep(now.join(mixed, ["band", "key"]), f"open-{t}")
+        for done in (f"pairs-{t}", f"comp-{t}", *([f"open-{t - 1}"] if t else [])):
+            scratch.drop(done)
     # what the pivots left: pairs of different components and like sizes, in blocks, by their least hashes
     step = math.log(100.0 / threshold * 1.0001)  # sizes that may link are of one class or of two next to each other
     spread = open_.withColumn("s", F.floor(F.log("n") / step)).withColumn("g", F.explode(F.expr("array(s, s - 1)"))).withColumn("up", (F.col("g") < F.col("s")).cast("int"))
@@ -276,6 +278,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
     rest = spread.repartition(*order).sortWithinPartitions(*order).select(*order, "own", "up", "rep", "comp", "n", "least").mapInArrow(tidy(_blocks(threshold)), "a long, b long").distinct()
     found = scratch.keep(verified(scratch.keep(rest, "pairs-rest")), "links-rest")
     comps = scratch.keep(components(links.union(found), scratch, "comps-rest"), "comp-rest")
+    for done in ("bands", f"open-{PIVOT_ROUNDS - 1}", "pairs-rest", "links-rest", *(f"links-{t}" for t in range(PIVOT_ROUNDS))):
+        scratch.drop(done)
     whole = classes.join(comps, classes.rep == comps.node, "left").select("h1", "h2", F.coalesce("comp", "rep").alias("comp"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(whole, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
