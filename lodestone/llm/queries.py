@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dedup, packing, pairwise_quality, pii, quality_rules, suffix_dedup, tokens, topk_search
+from . import line_dedup, mixing, near_dedup, packing, pairwise_quality, pii, quality_rules, simhash, suffix_dedup, tokens, topk_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +71,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_topk_search, op3_superminhash, op4_token_counts, op5_pii, op6_mixing, op7_line_dedup, op8_quality_rules, op9_pairwise_quality, op10_packing)
+    for f in (op1_suffix_dedup, op2_topk_search, op3_superminhash, op4_token_counts, op5_pii, op6_mixing, op7_line_dedup, op8_quality_rules, op9_pairwise_quality, op10_packing, op13_simhash)
 }
 SQL: dict[str, str] = {"op2_topk_search": topk_search.SQL, "op3_superminhash": near_dedup.SQL, "op6_mixing": mixing.SQL, "op7_line_dedup": line_dedup.SQL, "op8_quality_rules": quality_rules.SQL}
