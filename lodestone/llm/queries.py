@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dedup, packing, pairwise_quality, pii, quality_rules, runs, simhash, suffix_dedup, tokens, topk_search
+from . import conversations, line_dedup, mixing, near_dedup, packing, pairwise_quality, pii, quality_rules, runs, simhash, suffix_dedup, tokens, topk_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.reports(spark, table(spark, sf_dir, "conversations"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.collapse_runs(spark, table(spark, sf_dir, "documents"), before=runs.planted))
 
@@ -82,6 +86,6 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_topk_search, op3_superminhash, op4_token_counts, op5_pii, op6_mixing, op7_line_dedup, op8_quality_rules, op9_pairwise_quality, op10_packing, op12_periodic_runs, op13_simhash)
+    for f in (op1_suffix_dedup, op2_topk_search, op3_superminhash, op4_token_counts, op5_pii, op6_mixing, op7_line_dedup, op8_quality_rules, op9_pairwise_quality, op10_packing, op11_conversation_repair, op12_periodic_runs, op13_simhash)
 }
 SQL: dict[str, str] = {"op2_topk_search": topk_search.SQL, "op3_superminhash": near_dedup.SQL, "op6_mixing": mixing.SQL, "op7_line_dedup": line_dedup.SQL, "op8_quality_rules": quality_rules.SQL}

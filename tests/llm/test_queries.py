@@ -15,7 +15,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql_says_the_same(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     out = queries.QUERIES[name](spark, DIR)
     want = c.execute(queries.SQL[name])
@@ -24,8 +24,8 @@ def test_sql_says_the_same(spark, name):
     assert sorted(str([r[n] for n in names]) for r in out.collect()) == sorted(str(list(r)) for r in want.fetchall())
 
 
-def test_ten_operators_are_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+def test_every_operator_is_registered():
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_scratch_tables_can_be_cleaned(spark):
