@@ -1,94 +1,121 @@
-"""Symbol-mention graph and its PageRank."""
+"""Symbol-mention graph and its PageRank, factored through the names.
+
+A block points to every other block whose name is among its words. Written out,
+the edges grow with the square of the blocks that share names, so they are not:
+they stay block -> name -> block. A step of PageRank sums rank by name and hands
+each sum to the name's blocks, minus the share that a block which says its own
+name would have given itself. What is stored is linear in the mentions.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from lodestone.functions import text as X
-from lodestone.sources.scratch import Tables, ship
+from lodestone.sources.scratch import Tables
 
 from . import scan
 from .lexical import top
 
+#: Entries of one name above which they are dealt over tasks, and into how many shares at most.
+HOT, SPREAD = 100_000, 32
+
 
 def mention_edges(blocks: DataFrame) -> DataFrame:
     """src -> dst where dst's name is a keyword of src's text, for blocks(id, name, text).
 
-    An equi-join on the keyword in place of comparing all pairs.
-    """
+    For those who want the edges themselves; ranks do not need them."""
     words = blocks.select(F.col("id").alias("src"), F.explode(X.keywords(F.col("text"))).alias("word"))
     names = blocks.select(F.col("id").alias("dst"), F.col("name").alias("word"))
     return words.join(names, "word").where("src <> dst").select("src", "dst").distinct()
 
 
-#: Edges (24 bytes each) that one task may hold.
-TASK_EDGES = 4_000_000
+def mentions(blocks: DataFrame) -> DataFrame:
+    """id, name, deg, own, words of each block that points to another.
 
+    words: its keywords that are names; deg: the blocks it points to; own: whether
+    its own name is among them. A block without a name has the empty one, which
+    nothing mentions. Ids are unique."""
+    named = blocks.select("id", F.coalesce("name", F.lit("")).alias("name"), "text")
+    size = named.where("name <> ''").groupBy(F.col("name").alias("word")).agg(F.count("*").alias("c"))
+    said = named.select("id", "name", F.explode(X.keywords(F.col("text"))).alias("word")).join(size, "word")
+    own = (F.col("word") == F.col("name")).cast("long")
+    out = said.groupBy("id", "name").agg((F.sum("c") - F.sum(own)).alias("deg"), (F.sum(own) > 0).alias("own"), F.collect_list("word").alias("words"))
+    return out.where("deg > 0")
 
-def _solver(iterations: int, base: float, start: float):
-    """All edges of a small graph in one task -> the ranks of the nodes they name."""
 
-    def run(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        both = pa.chunked_array([*t.column("src").chunks, *t.column("dst").chunks]).combine_chunks().dictionary_encode()
-        place, ids = both.indices.to_numpy(zero_copy_only=False).astype(np.int64), both.dictionary
-        src, dst, w = place[: t.num_rows], place[t.num_rows :], t.column("w").to_numpy()
-        pr = np.full(len(ids), start)
-        for _ in range(iterations):
-            pr = base + np.bincount(dst, weights=pr[src] * w, minlength=len(ids))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(pr)], names=["id", "pr"])
+def out_degrees(blocks: DataFrame) -> DataFrame:
+    """src, out_degree of the blocks that point to another."""
+    return mentions(blocks).select(F.col("id").alias("src"), F.col("deg").alias("out_degree"))
 
-    return run
 
+def _share(parts: str, g: str, word: str):
+    """The share of a hot name that an entry goes to: blocks that say their own
+    name by their degree, so each such class has one place; others by word."""
+    key = F.when(F.col(g) > 0, F.xxhash64(F.col(g), F.lit("deg"))).otherwise(F.xxhash64(F.col(word)))
+    return F.pmod(key, F.col(parts)).cast("int")
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping: float = 0.85, every: int = 10, task_edges: int = TASK_EDGES) -> DataFrame:
-    """id, pr after a fixed number of iterations; mass of nodes without edges is
-    not handed on.
 
-    A graph of at most ``task_edges`` edges, which are counted, is solved in one
-    task. Of a larger one only nodes that something mentions are carried from step to step; the others
-    keep the base. Edges lie in memory dealt by their source, so a step moves
-    ranks and sums, never edges. The lineage is cut every few iterations, and
-    older tables go.
+def pagerank(blocks: DataFrame, iterations: int = 100, damping: float = 0.85, every: int = 10) -> DataFrame:
+    """id, pr of blocks(id, name, text) after a fixed number of iterations; the
+    mass of blocks that point nowhere is not handed on.
+
+    Blocks of one name that do not say it have one rank; of those that do, blocks
+    of one name and degree have one rank. So a step works on such classes: an entry
+    (class, word, weight) sums 1 / deg over the class's blocks that say the word.
+    Entries lie in memory dealt by the class's name and never move; a step shuffles
+    one sum for each task and name. With it comes what the classes had before,
+    which they need to take off what they would give themselves. A name with more
+    than ``HOT`` entries is dealt in shares. The lineage is cut every few
+    iterations, and older tables go.
     """
+    nodes = blocks.select("id", F.coalesce("name", F.lit("")).alias("name"))
     n = nodes.count()
-    if n == 0:
-        return nodes.select("id", F.lit(0.0).alias("pr"))
-    tables, base = Tables(nodes.sparkSession, "pagerank"), (1 - damping) / n
-    degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    weighed = tables.keep(edges.join(degree, "src").select("src", "dst", (damping / F.col("deg")).alias("w")), "edges")
-    if weighed.limit(task_edges + 1).count() <= task_edges:
-        ship(nodes.sparkSession)
-        schema = StructType([StructField("id", weighed.schema["src"].dataType)]).add("pr", "double")
-        small = weighed.coalesce(1).mapInArrow(_solver(iterations, base, 1.0 / n), schema)
-        alone = F.lit(1.0 / n if iterations == 0 else base)
-        return nodes.select("id").join(small, "id", "left").select("id", F.coalesce("pr", alone).alias("pr"))
-    held = weighed.repartition("src").persist()
-    rank, first = None, F.lit(1.0 / n)
+    if n == 0 or iterations == 0:
+        return nodes.select("id", F.lit(1.0 / max(n, 1)).alias("pr"))
+    tables, base = Tables(blocks.sparkSession, "pagerank"), (1 - damping) / n
+    source = tables.keep(mentions(blocks), "sources")
+    g = F.when(F.col("own"), F.col("deg")).otherwise(0).alias("g")
+    entries = source.select("name", g, F.explode("words").alias("word"), (1 / F.col("deg")).alias("w")).groupBy("name", "g", "word").agg(F.sum("w").alias("w"))
+    entries = tables.keep(entries, "entries")
+    parts = entries.groupBy("name").agg(F.least(F.lit(SPREAD), F.ceil(F.count("*") / HOT)).cast("int").alias("parts"))
+    parts = tables.keep(parts, "parts")
+    dealt = entries.join(parts, "name").withColumn("part", _share("parts", "g", "word"))
+    # the classes of a share that say their own name, each with its place among them
+    own = dealt.where("g > 0").groupBy("name", "part").agg(F.sort_array(F.collect_set("g")).alias("degs"))
+    own = tables.keep(own, "own")
+    place = own.select("name", "part", F.posexplode("degs").alias("k", "g"))
+    held = dealt.join(place, ["name", "part", "g"], "left").join(parts.select(F.col("name").alias("word"), F.col("parts").alias("to")), "word", "left")
+    held = held.select("name", "part", "word", F.explode(F.sequence(F.lit(0), F.coalesce("to", F.lit(1)) - 1)).alias("to"), "k", "w")
+    # a row for each share with such classes brings on what they had
+    bring = own.select("name", "part", F.col("name").alias("word"), F.col("part").alias("to"), F.lit(-1).alias("k"), F.lit(0.0).alias("w"))
+    held = tables.keep(held.unionByName(bring), "held").repartition("name", "part").persist()
+    every_share = held.select("name", "part").distinct().join(own, ["name", "part"], "left")
+    # sums and former ranks that make every first rank 1 / n
+    frame = every_share.select("name", "part", F.lit(1.0 / n).alias("s"), F.transform("degs", lambda d: F.struct((damping / d).alias("c"), F.lit(0.0).alias("pr"))).alias("had"))
+    s = F.coalesce("s", F.lit(0.0))
+    less = lambda k: F.coalesce(F.col("had")[k]["c"] * F.col("had")[k]["pr"], F.lit(0.0))
     for i in range(iterations):
-        given = held.withColumn("pr", first) if rank is None else held.join(rank, held.src == rank.id, "left").withColumn("pr", F.coalesce("pr", F.lit(base)))
-        rank = given.groupBy("dst").agg((F.sum(F.col("pr") * F.col("w")) + base).alias("pr")).select(F.col("dst").alias("id"), "pr")
+        given = held.join(frame, ["name", "part"], "left")
+        now = base + damping * s - F.when(F.col("k") >= 0, less(F.col("k"))).otherwise(0.0)
+        had = F.when(F.col("k") == -1, F.transform("had", lambda x: F.struct(x["c"].alias("c"), (base + damping * s - x["c"] * x["pr"]).alias("pr"))))
+        given = given.select(F.col("word").alias("name"), F.col("to").alias("part"), (F.col("w") * now).alias("v"), had.alias("had"))
+        frame = given.groupBy("name", "part").agg(F.sum("v").alias("s"), F.first("had", ignorenulls=True).alias("had"))
         if (i + 1) % every == 0 or i + 1 == iterations:
-            rank = tables.keep(rank, f"rank-{i}")
-            tables.only("edges", f"rank-{i}")
+            frame = tables.keep(frame, f"frame-{i}")
+            tables.only("sources", "parts", "own", "held", f"frame-{i}")
     held.unpersist()
-    if rank is None:
-        return nodes.select("id", first.alias("pr"))
-    return nodes.select("id").join(rank, "id", "left").select("id", F.coalesce("pr", F.lit(base)).alias("pr"))
+    said = source.where("own").select("id", F.col("deg").alias("g"))
+    where = nodes.join(said, "id", "left").join(parts, "name", "left").withColumn("part", F.when(F.col("g") > 0, _share("parts", "g", "name")).otherwise(0))
+    ranked = where.join(place, ["name", "part", "g"], "left").join(frame, ["name", "part"], "left")
+    return ranked.select("id", (base + damping * s - less(F.col("k"))).alias("pr"))
 
 
 def graph_rank(blocks: DataFrame, queries: DataFrame, k: int = 10, iterations: int = 100) -> DataFrame:
     """0.7 * share of the query's keywords in the text + 0.3 * pr * n."""
-    nodes = blocks.select("id")
-    n = nodes.count()
-    rank = pagerank(nodes, mention_edges(blocks), iterations)
+    n = blocks.count()
+    rank = pagerank(blocks, iterations)
     q = queries.select("query_id", X.keywords(F.col("query")).alias("qk"))
     b = blocks.select("id", X.keywords(F.col("text")).alias("tk")).join(rank, "id")
     asked = scan.collected(q, "qk")

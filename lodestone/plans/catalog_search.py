@@ -194,7 +194,7 @@ e AS (SELECT DISTINCT src, nd.id AS dst FROM kw JOIN nd ON nd.name = word WHERE
 
 @query
 def mention_graph_edges(spark, d):
-    return graph.mention_edges(hosts(spark, d)).groupBy("src").agg(F.count("*").alias("out_degree"))
+    return graph.out_degrees(hosts(spark, d))
 
 
 SQL["mention_graph_edges"] = f"WITH {EDGES} SELECT src, count(*) AS out_degree FROM e GROUP BY src"
@@ -202,8 +202,7 @@ SQL["mention_graph_edges"] = f"WITH {EDGES} SELECT src, count(*) AS out_degree F
 
 @query
 def pagerank(spark, d):
-    h = hosts(spark, d)
-    return graph.pagerank(h.select("id"), graph.mention_edges(h)).select("id", F.round("pr", 8).alias("pr"))
+    return graph.pagerank(hosts(spark, d)).select("id", F.round("pr", 8).alias("pr"))
 
 
 def pagerank_sql(steps: int) -> str:

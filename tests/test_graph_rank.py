@@ -1,3 +1,9 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.operators import graph
 from lodestone.plans import catalog
 
 
@@ -17,14 +23,50 @@ def test_a_chain_needs_more_than_ten_steps(spark, tmp_path):
     assert (best.id, best.score) == (29, round(0.7 + 0.3 * pr[29] * 30, 4))
 
 
-def test_one_task_and_many_agree(spark):
-    import random
+def plain_ranks(rows, steps):
+    edges = {(a, b) for a, _, text in rows for b, name, _ in rows if a != b and name and name in (text or "").split()}
+    deg = {a: sum(e[0] == a for e in edges) for a, _, _ in rows}
+    pr = {a: 1 / len(rows) for a, _, _ in rows}
+    for _ in range(steps):
+        now = dict.fromkeys(pr, 0.15 / len(rows))
+        for a, b in edges:
+            now[b] += 0.85 * pr[a] / deg[a]
+        pr = now
+    return pr, {a: n for a, n in deg.items() if n}
+
+
+@pytest.mark.parametrize("hot, spread", [(100_000, 32), (2, 3)])
+def test_factored_graph_equals_the_edges(spark, monkeypatch, hot, spread):
+    """Names that blocks share, that blocks say themselves, that only one has, and none."""
+    monkeypatch.setattr(graph, "HOT", hot)
+    monkeypatch.setattr(graph, "SPREAD", spread)
+    rng = random.Random(hot)
+    names = ["main", "init", "run", "get", "set_", "x1", "lone", None, ""]
+    rows = []
+    for i in range(90):
+        name = rng.choices(names, [9, 4, 3, 2, 2, 2, 0.2, 1, 1])[0]
+        said = rng.choices([*(n for n in names if n), "other", "words"], k=rng.randint(0, 6))
+        rows.append((i, name, None if rng.random() < 0.05 else " ".join(said + ([name] if name and rng.random() < 0.5 else []))))
+    blocks = spark.createDataFrame(rows, "id long, name string, text string")
+    want, degrees = plain_ranks(rows, 12)
+    assert {r.src: r.out_degree for r in graph.out_degrees(blocks).collect()} == degrees
+    edges = graph.mention_edges(blocks).groupBy("src").count()
+    assert {r.src: r["count"] for r in edges.collect()} == degrees
+    got = {r.id: r.pr for r in graph.pagerank(blocks, 12, every=5).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+
+
+def test_what_is_stored_is_linear_in_mentions(spark):
+    """Each of many blocks of a few names says them all: the edges would be quadratic."""
+    rows = [(i, f"n{i % 5}", " ".join(f"n{j}" for j in range(5))) for i in range(2000)]
+    blocks = spark.createDataFrame(rows, "id long, name string, text string")
+    assert graph.mentions(blocks).select(F.sum(F.size("words"))).first()[0] == 5 * 2000
+    got = {round(r.pr, 12) for r in graph.pagerank(blocks, 20).collect()}
+    assert got == {round(1 / 2000, 12)}
 
-    from lodestone.operators import graph
 
-    rng = random.Random(7)
-    edges = {(rng.randrange(60), rng.randrange(40)) for _ in range(300)}
-    nodes, e = spark.range(70), spark.createDataFrame([x for x in edges if x[0] != x[1]], "src long, dst long")
-    one = {r.id: r.pr for r in graph.pagerank(nodes, e, 25).collect()}
-    many = {r.id: r.pr for r in graph.pagerank(nodes, e, 25, every=5, task_edges=10).collect()}
-    assert len(one) == 70 and all(abs(one[i] - many[i]) < 1e-12 for i in one)
+def test_no_blocks_and_no_steps(spark):
+    empty = spark.createDataFrame([], "id long, name string, text string")
+    assert graph.pagerank(empty).collect() == []
+    two = spark.createDataFrame([(1, "a", "b"), (2, "b", "a")], "id long, name string, text string")
+    assert [r.pr for r in graph.pagerank(two, 0).collect()] == [0.5, 0.5]
