@@ -16,6 +16,9 @@ from lodestone.functions import text as X
 
 from . import scan
 
+#: Lines of a bin in which lines and blocks meet.
+BIN = 64
+
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """n_docs and avgdl (1.0 without documents)."""
@@ -79,9 +82,10 @@ def bm25_best(docs: DataFrame, queries: DataFrame, k: int, group: str | None = N
     return scan.best_rows(lowered(docs, *([group] if group else [])), queries, [q for q, _ in asked], k, scan.bm25_scorer(terms, *counts, k1, b), group)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, fill: bool = True) -> DataFrame:
-    """The k best documents(id, text) of each query(query_id, query)."""
-    best = top(bm25_best(docs, queries, k), k, "bm25")
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, fill: bool = True, index=None) -> DataFrame:
+    """The k best documents(id, text) of each query(query_id, query); from the
+    stored ``index`` of these documents (``postings.Postings``), if there is one."""
+    best = top(bm25_best(docs, queries, k) if index is None else index.search(queries, k), k, "bm25")
     if not fill:
         return best
     # a query with fewer than k scored documents has all of them here
@@ -106,9 +110,12 @@ def line_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 def map_lines(hits: DataFrame, blocks: DataFrame) -> DataFrame:
     """Each hit line (query_id, filepath, line) with the block around it: functions
-    before methods, then the one that starts first. An equi-join on the file
-    bounds the range condition to the file's own blocks."""
-    joined = hits.join(blocks, "filepath").where("line BETWEEN line_start AND line_end")
+    before methods, then the one that starts first. Lines and blocks meet by file
+    and bin of lines: a block stands in each bin that it reaches into, a line in
+    one, so a line meets only the blocks near it, however large the file."""
+    reach = F.sequence(F.floor(F.col("line_start") / BIN), F.floor(F.col("line_end") / BIN))
+    binned = blocks.where("line_start <= line_end").withColumn("_bin", F.explode(reach))
+    joined = hits.withColumn("_bin", F.floor(F.col("line") / BIN)).join(binned, ["filepath", "_bin"]).where("line BETWEEN line_start AND line_end").drop("_bin")
     order = W.partitionBy("query_id", "filepath", "line").orderBy(F.col("method").cast("int"), "line_start", "id")
     return joined.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 

@@ -10,6 +10,8 @@ from pyspark.sql.window import Window as W
 
 from lodestone.functions import text as X
 from lodestone.operators import evaluate, fusion, graph, lexical, structural, vector, workspace
+from lodestone.operators.postings import Postings
+from lodestone.sources import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +35,13 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def index(spark: SparkSession, d: str) -> Postings:
+    """The stored postings of documents: built by the first query of a snapshot, read by all."""
+    path = f"{d}/documents.parquet"
+    at = f"{scratch.shared_dir(spark)}/postings-{scratch.signature(spark, path)}"
+    return Postings(spark, scratch.built(spark, at, lambda to: Postings.build(docs(spark, d), to, "source")))
+
+
 #: Common table expressions of the oracles.
 TOKENS = "tok AS (SELECT doc_id AS id, source, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents)"
 POSTINGS = f"""{TOKENS},
@@ -76,7 +85,7 @@ SQL["document_frequency"] = f"WITH {TOKENS}, w AS (SELECT id, unnest(t) AS term
 
 @query
 def bm25_topk(spark, d):
-    return lexical.bm25(docs(spark, d), asked(spark, d), 10).select("query_id", "id", "score", "rank")
+    return lexical.bm25(docs(spark, d), asked(spark, d), 10, index=index(spark, d)).select("query_id", "id", "score", "rank")
 
 
 FILLED = "(SELECT * FROM bm UNION ALL SELECT item_id, z.id, 0.0 FROM benchmark, (SELECT id FROM dl ORDER BY id LIMIT {n}) z WHERE NOT EXISTS (SELECT 1 FROM bm WHERE bm.query_id = item_id AND bm.id = z.id))"
@@ -256,7 +265,7 @@ SQL["vector_prefix_topk"] = f"WITH {VECTORS}, p AS (SELECT * FROM vs WHERE label
 
 
 def legs(spark, d, k):
-    lex = lexical.bm25(docs(spark, d), asked(spark, d), k)
+    lex = lexical.bm25(docs(spark, d), asked(spark, d), k, index=index(spark, d))
     gr = lexical.grep(docs(spark, d), asked(spark, d), k)
     return lex, gr
 
@@ -326,7 +335,7 @@ SQL["separation_gap"] = f"WITH {VECTORS}, a AS (SELECT avg(score) FILTER (WHERE
 
 @query
 def workspace_route(spark, d):
-    hits = lexical.bm25_best(docs(spark, d).withColumnRenamed("source", "project_id"), asked(spark, d), 1, "project_id")
+    hits = index(spark, d).search(asked(spark, d), 1, by_group=True).withColumnRenamed("grp", "project_id")
     return workspace.route(hits).select("query_id", "project_id", "best")
 
 
@@ -335,7 +344,7 @@ SQL["workspace_route"] = f"WITH {BM25}, b AS (SELECT query_id, source AS project
 
 @query
 def workspace_search(spark, d):
-    hits = lexical.bm25_best(docs(spark, d).withColumnRenamed("source", "project_id"), asked(spark, d), 5, "project_id")
+    hits = index(spark, d).search(asked(spark, d), 5, by_group=True).withColumnRenamed("grp", "project_id")
     return workspace.routed_search(hits, 5).select("query_id", "project_id", "id", "score", "rank")
 
 
@@ -371,7 +380,7 @@ def metrics_sql(hits: str, prefix: str) -> str:
 
 @query
 def recall_mrr_ndcg(spark, d):
-    return evaluate.per_query(lexical.bm25(docs(spark, d), asked(spark, d), 10), gold(spark, d))
+    return evaluate.per_query(lexical.bm25(docs(spark, d), asked(spark, d), 10, index=index(spark, d)), gold(spark, d))
 
 
 SQL["recall_mrr_ndcg"] = f"WITH {BM25}, {GOLD}, s AS {FILLED.format(n=20)}, h AS {top_sql('s', 10)}, {metrics_sql('h', 'a')} SELECT * FROM a_q"
@@ -420,7 +429,7 @@ SQL["first_hit_rank"] = f"WITH {VECTORS}, t AS {top_sql('vs', 8)} SELECT query_i
 
 @query
 def context_assembly(spark, d):
-    hits = lexical.bm25(docs(spark, d), asked(spark, d), 5)
+    hits = lexical.bm25(docs(spark, d), asked(spark, d), 5, index=index(spark, d))
     hits = fusion.minmax(hits).join(docs(spark, d).select("id", F.col("name").alias("function"), F.col("source").alias("filepath"), F.col("text").alias("code")), "id")
     return workspace.assemble(hits).select("query_id", F.md5("context").alias("context_md5"), "tokens")
 

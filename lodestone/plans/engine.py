@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import budget, compress, fusion, graph, lexical, structural, vector, workspace
-from lodestone.sources import files, parsing
+from lodestone.operators.postings import Postings
+from lodestone.sources import files, parsing, scratch
 from lodestone.sources.store import BlockStore
 
 from .profiles import Settings
@@ -54,9 +56,19 @@ class Engine:
             self._held[project] = snapshot, rows
         return self._held[project][1]
 
-    def _lexical(self, blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    def _postings(self, project: str | None) -> Postings:
+        """The stored postings of what ``_blocks`` gives, built once a snapshot and
+        kept beside the store; those of a store in memory lie in the shared folder."""
+        root = getattr(self.store, "path", None) or f"{scratch.shared_dir(self.spark)}/{id(self.store):x}"
+        what = hashlib.sha256(repr((project, self.settings.root)).encode()).hexdigest()[:16]
+        at = f"{root}/postings/{self.store.snapshot()}/{what}"
+        return Postings(self.spark, scratch.built(self.spark, at, lambda to: Postings.build(self._blocks(project), to, "project_id")))
+
+    def _lexical(self, blocks: DataFrame, queries: DataFrame, k: int, project: str | None) -> DataFrame:
         """Line search; BM25 where the settings say so."""
-        return (lexical.grep if self.settings.lexical == "grep" else lexical.bm25)(blocks, queries, k)
+        if self.settings.lexical == "grep":
+            return lexical.grep(blocks, queries, k)
+        return lexical.bm25(blocks, queries, k, index=self._postings(project))
 
     def search(self, queries: DataFrame, project: str | None = None, k: int | None = None, mode: str | None = None, guard: bool = True) -> DataFrame:
         """query_id, rank, id, score, similarity, rerank_score, raw_cosine and the block.
@@ -67,7 +79,7 @@ class Engine:
         s, b = self.settings, self._blocks(project)
         k, mode = k or s.top_k, mode or s.mode
         vectors = self.embed is not None and s.spec.embeddings
-        leg = {"bm25": lambda n: lexical.bm25(b, queries, n), "ast": lambda n: graph.graph_rank(b, queries, n), "embeddings": lambda n: vector.nearest(b, self.embed(queries), n)}
+        leg = {"bm25": lambda n: lexical.bm25(b, queries, n, index=self._postings(project)), "ast": lambda n: graph.graph_rank(b, queries, n), "embeddings": lambda n: vector.nearest(b, self.embed(queries), n)}
         if mode != "hybrid":
             hits = leg[mode if mode in leg and (mode != "embeddings" or vectors) else "bm25"](k)
             hits = hits.withColumn("raw_cosine", F.when(F.col("source") == "embeddings", F.col("score")).otherwise(0.0))
@@ -75,7 +87,7 @@ class Engine:
             signal = "raw_cosine" if mode == "embeddings" and vectors else None
         else:
             on = s.spec.legs
-            hits = fusion.hybrid(self._lexical(b, queries, 2 * k), leg["embeddings"](2 * k) if vectors and "embeddings" in on else None, structural.structural(b, queries, 2 * k) if "structural" in on else None, k, self.scorer if s.rerank else None)
+            hits = fusion.hybrid(self._lexical(b, queries, 2 * k, project), leg["embeddings"](2 * k) if vectors and "embeddings" in on else None, structural.structural(b, queries, 2 * k) if "structural" in on else None, k, self.scorer if s.rerank else None)
             signal = "rerank_score" if s.rerank and self.scorer else "raw_cosine" if vectors else None
         if guard and signal:  # the signal that was really produced
             hits = fusion.confidence_guard(hits, s.spec.rerank_least if signal == "rerank_score" else s.least_cosine, signal)
@@ -89,7 +101,7 @@ class Engine:
         b = self._blocks(project)
         if prefix is not None:
             b = b.where(F.col("filepath").startswith(prefix))
-        legs = [(lexical.bm25(b, queries, 2 * k, fill=False), fusion.WEIGHTS[0])]
+        legs = [(lexical.bm25(b, queries, 2 * k, fill=False, index=self._postings(project) if prefix is None else None), fusion.WEIGHTS[0])]
         if self.embed is not None:
             legs.append((vector.nearest(b.where("vector IS NOT NULL"), self.embed(queries), 2 * k), fusion.WEIGHTS[2]))
         hits = fusion.ranked(fusion.reciprocal_rank_fusion(legs), "raw").where(F.col("rank") <= k)
@@ -108,7 +120,7 @@ class Engine:
         """The k best hits of each query within its best project. Each project's
         k best are found in one pass, so the winner's are complete."""
         k, b = k or self.settings.top_k, self._blocks(None)
-        hits = workspace.routed_search(lexical.bm25_best(b, queries, k, "project_id"), k)
+        hits = workspace.routed_search(self._postings(None).search(queries, k, by_group=True).withColumnRenamed("grp", "project_id"), k)
         hits = fusion.minmax(hits).withColumn("rerank_score", F.col("similarity")).withColumn("raw_cosine", F.lit(0.0))
         found = b.select("id", "project_id", "filepath", F.col("name").alias("function"), F.col("text").alias("code"))
         return hits.select("query_id", "rank", "id", "project_id", "score", "similarity", "rerank_score", "raw_cosine").join(found, ["project_id", "id"])

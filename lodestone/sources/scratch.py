@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +59,34 @@ class Tables:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{step}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
             self.steps.remove(step)
+
+
+def signature(spark: SparkSession, path: str) -> str:
+    """Tells one state of a table's files from another: names, sizes and times."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, todo = [], [at]
+    while todo:
+        for f in fs.listStatus(todo.pop()):
+            if f.isDirectory():
+                todo.append(f.getPath())
+            else:
+                found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:32]
+
+
+def built(spark: SparkSession, at: str, build: Callable[[str], object]) -> str:
+    """The folder ``at``, which ``build`` fills if it does not exist. It is filled
+    under another name and renamed, so it is there whole or not at all."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path(at)):
+        tmp = f"{at}-{uuid.uuid4().hex}"
+        build(tmp)
+        fs.mkdirs(path(at).getParent())
+        # of two that build at once, the one that comes second finds the folder taken, or comes to lie inside it
+        if not fs.exists(path(at)):
+            fs.rename(path(tmp), path(at))
+        else:
+            fs.delete(path(tmp), True)
+    return at
