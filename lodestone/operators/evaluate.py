@@ -59,6 +59,13 @@ def separation_gap(scores: DataFrame) -> DataFrame:
     return d.select(F.round("a", 4).alias("relevant_mean"), F.round("b", 4).alias("other_mean"), F.round(F.col("a") - F.col("b"), 4).alias("gap"))
 
 
+def gap_of_means(means: DataFrame) -> DataFrame:
+    """The same from (relevant, pairs, total): how many pairs there are, and their sum."""
+    one = lambda on: F.sum(F.when(on, F.col("total"))) / F.sum(F.when(on & (F.col("pairs") > 0), F.col("pairs")))
+    d = means.agg(one(F.col("relevant")).alias("a"), one(~F.col("relevant")).alias("b"))
+    return d.select(F.round("a", 4).alias("relevant_mean"), F.round("b", 4).alias("other_mean"), F.round(F.col("a") - F.col("b"), 4).alias("gap"))
+
+
 def first_hit(hits: DataFrame, wanted: DataFrame, k: int = 8) -> DataFrame:
     """hit_rank: the first of k hits (query_id, rank, filepath) whose path holds
     the wanted part; null without one."""

@@ -351,23 +351,29 @@ def vector_scorer(vectors: list[list[float]]):
     return make
 
 
-#: Vectors and asking vectors in one task of ``nearest_pairs``.
+#: Vectors and asking vectors in one block.
 PAIR_ROWS, PAIR_QUERIES = 8192, 16_384
 
 
+def blocks_of(rows: DataFrame, queries: DataFrame, run: Callable, schema: StructType, more: tuple[str, ...] = ()) -> DataFrame:
+    """``run`` over each block of rows(id, vector) and block of queries(query_id,
+    vector), as Arrow tables with columns own and asked: both sides are dealt to
+    blocks of bounded size, whatever their number."""
+    ship(rows.sparkSession)
+    counts = [max(1, -(-d.count() // most)) for d, most in ((rows, PAIR_ROWS), (queries, PAIR_QUERIES))]
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("long")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    anew = lambda *cs: [F.col(c).alias(c) for c in cs]  # noqa: E731  # both sides may come from one table
+    left = rows.select(*anew("id", *more), F.col("vector").alias("own"), deal("id", counts[0]).alias("_r"), each(counts[1]).alias("_q"))
+    right = queries.select(*anew("query_id", *more), F.col("vector").alias("asked"), each(counts[0]).alias("_r"), deal("query_id", counts[1]).alias("_q"))
+    return left.groupBy("_r", "_q").cogroup(right.groupBy("_r", "_q")).applyInArrow(run, schema)
+
+
 def nearest_pairs(rows: DataFrame, queries: DataFrame, k: int, places: int, larger_id: bool = False) -> DataFrame:
     """query_id, id, cos of rows(id, vector) and queries(query_id, vector): in each
-    block of rows the k of highest cosine, rounded, ties to the smaller or larger
-    id. Both sides are dealt to blocks of bounded size, whatever their number."""
-    ship(rows.sparkSession)
+    block of rows the k of highest cosine, rounded, ties to the smaller or larger id."""
     schema = StructType([queries.schema["query_id"]]).add("id", rows.schema["id"].dataType).add("cos", "double")
     arrow = to_arrow_schema(schema)
-    blocks = [max(1, -(-d.count() // most)) for d, most in ((rows, PAIR_ROWS), (queries, PAIR_QUERIES))]
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("long")
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    # new names throughout: both sides may come from one table
-    left = rows.select(F.col("id").alias("id"), F.col("vector").alias("own"), deal("id", blocks[0]).alias("_r"), each(blocks[1]).alias("_q"))
-    right = queries.select(F.col("query_id").alias("query_id"), F.col("vector").alias("asked"), each(blocks[0]).alias("_r"), deal("query_id", blocks[1]).alias("_q"))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         a = a.take(pc.sort_indices(a, [("id", "descending" if larger_id else "ascending")]))  # argsort is stable: ties in this order
@@ -386,4 +392,56 @@ def nearest_pairs(rows: DataFrame, queries: DataFrame, k: int, places: int, larg
         query, row, cos = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.Table.from_arrays([b.column("query_id").take(pa.array(query)).combine_chunks(), a.column("id").take(pa.array(row)).combine_chunks(), pa.array(cos)], schema=arrow)
 
-    return left.groupBy("_r", "_q").cogroup(right.groupBy("_r", "_q")).applyInArrow(run, schema)
+    return blocks_of(rows, queries, run, schema)
+
+
+def _block_scores(rows: list, asked: list):
+    """(first query, queries x rows scores) of some queries at a time; 0.5 without a cosine."""
+    own = unit_rows(rows)
+    for at in range(0, len(asked), ROW_BLOCK):
+        some = asked[at : at + ROW_BLOCK]
+        score = np.full((len(some), len(rows)), 0.5)
+        for dim, (i, unit) in unit_rows(some).items():
+            if dim in own:
+                j, m = own[dim]
+                score[np.ix_(i, j)] = np.round(np.clip((1 + unit @ m.T) / 2, 0, 1), 4)
+        yield at, score
+
+
+def block_best(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score: the k best rows of each query in each block."""
+    schema = StructType([queries.schema["query_id"]]).add("id", rows.schema["id"].dataType).add("score", "double")
+    arrow = to_arrow_schema(schema)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return arrow.empty_table()
+        a, out = a.take(pc.sort_indices(a, [("id", "ascending")])), []
+        for at, score in _block_scores(a.column("own").to_pylist(), b.column("asked").to_pylist()):
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            out.append((np.repeat(np.arange(len(score)) + at, best.shape[1]), best.reshape(-1), np.take_along_axis(score, best, axis=1).reshape(-1)))
+        q, row, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.Table.from_arrays([b.column("query_id").take(pa.array(q)).combine_chunks(), a.column("id").take(pa.array(row)).combine_chunks(), pa.array(score)], schema=arrow)
+
+    return blocks_of(rows, queries, run, schema)
+
+
+def block_sums(rows: DataFrame, queries: DataFrame, same: str) -> DataFrame:
+    """relevant, pairs, total of each block: its pairs that agree in a column, and those that do not."""
+    schema = StructType().add("relevant", "boolean").add("pairs", "long").add("total", "double")
+    arrow = to_arrow_schema(schema)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        pairs, total = [0, 0], [0.0, 0.0]
+        mine, theirs = (t.column(same).to_pylist() for t in (a, b))
+        code = {v: i for i, v in enumerate(dict.fromkeys([*mine, *theirs]))}
+        mine, theirs = (np.array([-1 - s if v is None else code[v] for v in t], np.int64) for s, t in enumerate((mine, theirs)))
+        for at, score in _block_scores(a.column("own").to_pylist(), b.column("asked").to_pylist()) if a.num_rows else ():
+            agree = theirs[at : at + len(score), None] == mine[None]
+            known = (theirs[at : at + len(score), None] >= 0) & (mine[None] >= 0)  # null agrees with nothing and differs from nothing
+            for i, which in enumerate((known & ~agree, known & agree)):
+                pairs[i] += int(which.sum())
+                total[i] += float(score[which].sum())
+        return pa.Table.from_arrays([pa.array([False, True]), pa.array(pairs), pa.array(total)], schema=arrow)
+
+    return blocks_of(rows, queries, run, schema, (same,))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from lodestone.functions import text as X
 from lodestone.operators import evaluate, fusion, graph, lexical, structural, vector, workspace
+from lodestone.operators.cells import Cells
 from lodestone.operators.postings import Postings
 from lodestone.sources import scratch
 
@@ -239,6 +240,12 @@ def vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.concat(F.lit("label"), F.col("label").cast("string"), F.lit("/"), F.col("vec_id").cast("string")).alias("filepath"), "label")
 
 
+def cells(spark: SparkSession, d: str) -> Cells:
+    """The stored cells of embeddings: built by the first query of a snapshot, read by all."""
+    at = f"{scratch.shared_dir(spark)}/cells-{scratch.signature(spark, f'{d}/embeddings.parquet')}"
+    return Cells(spark, scratch.built(spark, at, lambda to: Cells.build(vectors(spark, d), to)))
+
+
 def probes(spark, d):
     """Every vector whose id is divisible by 20 asks."""
     return vectors(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector", "label")
@@ -250,7 +257,7 @@ vs AS (SELECT query_id, id, label, ql, round((1 + list_cosine_similarity(x, qx))
 
 @query
 def vector_topk(spark, d):
-    return vector.nearest(vectors(spark, d), probes(spark, d), 10).select("query_id", "id", "score", "rank")
+    return vector.nearest(vectors(spark, d), probes(spark, d), 10, index=cells(spark, d)).select("query_id", "id", "score", "rank")
 
 
 SQL["vector_topk"] = f"WITH {VECTORS} SELECT query_id, id, score, rank::INTEGER AS rank FROM {top_sql('vs', 10)}"
@@ -258,7 +265,7 @@ SQL["vector_topk"] = f"WITH {VECTORS} SELECT query_id, id, score, rank::INTEGER
 
 @query
 def vector_prefix_topk(spark, d):
-    return vector.nearest(vectors(spark, d), probes(spark, d), 10, prefix="label1/").select("query_id", "id", "score", "rank")
+    return vector.nearest(vectors(spark, d), probes(spark, d), 10, prefix="label1/", index=cells(spark, d)).select("query_id", "id", "score", "rank")
 
 
 SQL["vector_prefix_topk"] = f"WITH {VECTORS}, p AS (SELECT * FROM vs WHERE label = 1) SELECT query_id, id, score, rank::INTEGER AS rank FROM {top_sql('p', 10)}"
@@ -300,7 +307,7 @@ def hybrid_topk(spark, d):
     b, q = docs(spark, d), asked(spark, d)
     v = vectors(spark, d).select("id", "vector")
     vq = q.select("query_id").join(v.withColumnRenamed("id", "query_id"), "query_id")
-    return fusion.hybrid(lexical.grep(b, q, 20), vector.nearest(v, vq, 20), structural.structural(b, q, 20), 10).select("query_id", "id", "score", "similarity", "raw_cosine", "rank")
+    return fusion.hybrid(lexical.grep(b, q, 20), vector.nearest(v, vq, 20, index=cells(spark, d)), structural.structural(b, q, 20), 10).select("query_id", "id", "score", "similarity", "raw_cosine", "rank")
 
 
 SQL["hybrid_topk"] = f"""WITH {TERMS}, g0 AS (SELECT query_id, id, count(*)::DOUBLE AS score FROM lh GROUP BY query_id, id), l1 AS {top_sql('g0', 20)},
@@ -317,7 +324,7 @@ SELECT query_id, id, score, similarity, raw_cosine, row_number() OVER (PARTITION
 @query
 def confidence_guard(spark, d):
     """A vector keeps its hits if the best other vector is near enough."""
-    hits = vector.nearest(vectors(spark, d), probes(spark, d), 10).where("id <> query_id")
+    hits = vector.nearest(vectors(spark, d), probes(spark, d), 10, index=cells(spark, d)).where("id <> query_id")
     return fusion.confidence_guard(hits, 0.69, "score").select("query_id", "id", "score")
 
 
@@ -326,8 +333,7 @@ SQL["confidence_guard"] = f"WITH {VECTORS}, t AS (SELECT * FROM {top_sql('vs', 1
 
 @query
 def separation_gap(spark, d):
-    s = vector.vector_scores(vectors(spark, d), probes(spark, d)).join(vectors(spark, d).select("id", "label"), "id").join(probes(spark, d).select("query_id", F.col("label").alias("ql")), "query_id")
-    return evaluate.separation_gap(s.select((F.col("label") == F.col("ql")).alias("relevant"), "score"))
+    return evaluate.gap_of_means(vector.score_means(vectors(spark, d), probes(spark, d), "label"))
 
 
 SQL["separation_gap"] = f"WITH {VECTORS}, a AS (SELECT avg(score) FILTER (WHERE label = ql) AS r, avg(score) FILTER (WHERE label <> ql) AS o FROM vs) SELECT round(r, 4) AS relevant_mean, round(o, 4) AS other_mean, round(r - o, 4) AS gap FROM a"
@@ -400,7 +406,10 @@ SELECT strategy, count(*) AS queries, round(avg(recall), 4) AS recall, round(avg
 @query
 def rerank_ab(spark, d):
     """Arms: similarity alone, and with a penalty on vectors of odd ids; right is the probe's label."""
-    s = vector.vector_scores(vectors(spark, d), probes(spark, d)).where("id <> query_id").join(vectors(spark, d).select("id", "label"), "id").join(probes(spark, d).select("query_id", F.col("label").alias("ql")), "query_id")
+    v, q = vectors(spark, d), probes(spark, d)
+    # within a parity the penalty is the same, so its best other vector is all that an arm needs: two, since one may be the probe
+    s = vector.nearest(v.where("id % 2 = 0"), q, 2).unionByName(vector.nearest(v.where("id % 2 <> 0"), q, 2)).where("id <> query_id")
+    s = s.select("query_id", "id", "score").join(v.select("id", "label"), "id").join(q.select("query_id", F.col("label").alias("ql")), "query_id")
     arms = None
     for arm, score in (("off", F.col("score")), ("on", F.col("score") - 0.05 * (F.col("id") % 2))):
         w = W.partitionBy("query_id").orderBy(F.desc("s"), "id")
@@ -420,7 +429,7 @@ SELECT t0 AS top1_pct_off, p0 AS suppressed_pct_off, t1 AS top1_pct_on, p1 AS su
 
 @query
 def first_hit_rank(spark, d):
-    hits = vector.nearest(vectors(spark, d), probes(spark, d), 8).where("id <> query_id").join(vectors(spark, d).select("id", "filepath"), "id")
+    hits = vector.nearest(vectors(spark, d), probes(spark, d), 8, index=cells(spark, d)).where("id <> query_id").join(vectors(spark, d).select("id", "filepath"), "id")
     return evaluate.first_hit(hits, probes(spark, d).select("query_id", F.concat(F.lit("label"), F.col("label").cast("string"), F.lit("/")).alias("part")))
 
 

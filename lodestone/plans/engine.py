@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import budget, compress, fusion, graph, lexical, structural, vector, workspace
+from lodestone.operators.cells import Cells
 from lodestone.operators.postings import Postings
 from lodestone.sources import files, parsing, scratch
 from lodestone.sources.store import BlockStore
@@ -26,6 +28,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, store: BlockStore, settings: Settings | None = None, embed: Embedder | None = None, scorer: Callable[[DataFrame], DataFrame] | None = None):
         self.spark, self.store, self.settings, self.embed, self.scorer = spark, store, settings or Settings(), embed, scorer
+        self._own = f"engine-{uuid.uuid4().hex}"
         self._held: dict[str | None, tuple[str | None, DataFrame]] = {}
 
     def set_profile(self, name: str) -> None:
@@ -56,13 +59,18 @@ class Engine:
             self._held[project] = snapshot, rows
         return self._held[project][1]
 
-    def _postings(self, project: str | None) -> Postings:
-        """The stored postings of what ``_blocks`` gives, built once a snapshot and
+    def _index(self, kind: str, project: str | None, build: Callable[[str], object]) -> str:
+        """The folder of an index of what ``_blocks`` gives, built once a snapshot and
         kept beside the store; those of a store in memory lie in the shared folder."""
-        root = getattr(self.store, "path", None) or f"{scratch.shared_dir(self.spark)}/{id(self.store):x}"
+        root = getattr(self.store, "path", None) or f"{scratch.shared_dir(self.spark)}/{self._own}"
         what = hashlib.sha256(repr((project, self.settings.root)).encode()).hexdigest()[:16]
-        at = f"{root}/postings/{self.store.snapshot()}/{what}"
-        return Postings(self.spark, scratch.built(self.spark, at, lambda to: Postings.build(self._blocks(project), to, "project_id")))
+        return scratch.built(self.spark, f"{root}/{kind}/{self.store.snapshot()}/{what}", build)
+
+    def _postings(self, project: str | None) -> Postings:
+        return Postings(self.spark, self._index("postings", project, lambda to: Postings.build(self._blocks(project), to, "project_id")))
+
+    def _cells(self, project: str | None) -> Cells:
+        return Cells(self.spark, self._index("cells", project, lambda to: Cells.build(self._blocks(project), to)))
 
     def _lexical(self, blocks: DataFrame, queries: DataFrame, k: int, project: str | None) -> DataFrame:
         """Line search; BM25 where the settings say so."""
@@ -79,7 +87,7 @@ class Engine:
         s, b = self.settings, self._blocks(project)
         k, mode = k or s.top_k, mode or s.mode
         vectors = self.embed is not None and s.spec.embeddings
-        leg = {"bm25": lambda n: lexical.bm25(b, queries, n, index=self._postings(project)), "ast": lambda n: graph.graph_rank(b, queries, n), "embeddings": lambda n: vector.nearest(b, self.embed(queries), n)}
+        leg = {"bm25": lambda n: lexical.bm25(b, queries, n, index=self._postings(project)), "ast": lambda n: graph.graph_rank(b, queries, n), "embeddings": lambda n: vector.nearest(b, self.embed(queries), n, index=self._cells(project))}
         if mode != "hybrid":
             hits = leg[mode if mode in leg and (mode != "embeddings" or vectors) else "bm25"](k)
             hits = hits.withColumn("raw_cosine", F.when(F.col("source") == "embeddings", F.col("score")).otherwise(0.0))
