@@ -20,6 +20,8 @@ from .lexical import top
 
 #: Entries of one name above which they are dealt over tasks, and into how many shares at most.
 HOT, SPREAD = 100_000, 32
+#: Entries in a task of a step.
+PART_ROWS = 50_000
 
 
 def mention_edges(blocks: DataFrame) -> DataFrame:
@@ -57,7 +59,7 @@ def _share(parts: str, g: str, word: str):
     return F.pmod(key, F.col(parts)).cast("int")
 
 
-def pagerank(blocks: DataFrame, iterations: int = 100, damping: float = 0.85, every: int = 10) -> DataFrame:
+def pagerank(blocks: DataFrame, iterations: int = 100, damping: float = 0.85, every: int = 25) -> DataFrame:
     """id, pr of blocks(id, name, text) after a fixed number of iterations; the
     mass of blocks that point nowhere is not handed on.
 
@@ -90,22 +92,30 @@ def pagerank(blocks: DataFrame, iterations: int = 100, damping: float = 0.85, ev
     held = held.select("name", "part", "word", F.explode(F.sequence(F.lit(0), F.coalesce("to", F.lit(1)) - 1)).alias("to"), "k", "w")
     # a row for each share with such classes brings on what they had
     bring = own.select("name", "part", F.col("name").alias("word"), F.col("part").alias("to"), F.lit(-1).alias("k"), F.lit(0.0).alias("w"))
-    held = tables.keep(held.unionByName(bring), "held").repartition("name", "part").persist()
+    held = tables.keep(held.unionByName(bring), "held")
+    # many small steps in one job: nothing to plan again between them, hot names are dealt already
+    quiet = blocks.sparkSession.newSession()
+    quiet.conf.set("spark.sql.adaptive.enabled", "false")
+    quiet.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
+    most, rows = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), held.count()
+    quiet.conf.set("spark.sql.shuffle.partitions", str(min(most, max(4, rows // PART_ROWS))))
+    own, held = tables.read("own", quiet), tables.read("held", quiet).repartition("name", "part").persist()
     every_share = held.select("name", "part").distinct().join(own, ["name", "part"], "left")
     # sums and former ranks that make every first rank 1 / n
     frame = every_share.select("name", "part", F.lit(1.0 / n).alias("s"), F.transform("degs", lambda d: F.struct((damping / d).alias("c"), F.lit(0.0).alias("pr"))).alias("had"))
     s = F.coalesce("s", F.lit(0.0))
     less = lambda k: F.coalesce(F.col("had")[k]["c"] * F.col("had")[k]["pr"], F.lit(0.0))
     for i in range(iterations):
-        given = held.join(frame, ["name", "part"], "left")
+        given = held.join(frame.hint("shuffle_hash"), ["name", "part"], "left")  # a share's sums fit in its task
         now = base + damping * s - F.when(F.col("k") >= 0, less(F.col("k"))).otherwise(0.0)
         had = F.when(F.col("k") == -1, F.transform("had", lambda x: F.struct(x["c"].alias("c"), (base + damping * s - x["c"] * x["pr"]).alias("pr"))))
         given = given.select(F.col("word").alias("name"), F.col("to").alias("part"), (F.col("w") * now).alias("v"), had.alias("had"))
-        frame = given.groupBy("name", "part").agg(F.sum("v").alias("s"), F.first("had", ignorenulls=True).alias("had"))
+        frame = given.groupBy("name", "part").agg(F.sum("v").alias("s"), F.get(F.collect_list("had"), F.lit(0)).alias("had"))
         if (i + 1) % every == 0 or i + 1 == iterations:
-            frame = tables.keep(frame, f"frame-{i}")
+            frame = tables.keep(frame, f"frame-{i}", quiet)
             tables.only("sources", "parts", "own", "held", f"frame-{i}")
     held.unpersist()
+    frame = tables.read(f"frame-{iterations - 1}")
     said = source.where("own").select("id", F.col("deg").alias("g"))
     where = nodes.join(said, "id", "left").join(parts, "name", "left").withColumn("part", F.when(F.col("g") > 0, _share("parts", "g", "name")).otherwise(0))
     ranked = where.join(place, ["name", "part", "g"], "left").join(frame, ["name", "part"], "left")

@@ -45,12 +45,17 @@ class Tables:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at, self.steps = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", []
+        self.schemas = {}
 
-    def keep(self, frame: DataFrame, step: str) -> DataFrame:
-        path = f"{self.at}/{step}"
-        frame.write.parquet(path)
+    def keep(self, frame: DataFrame, step: str, session: SparkSession | None = None) -> DataFrame:
+        frame.write.parquet(f"{self.at}/{step}")
         self.steps.append(step)
-        return self.spark.read.schema(frame.schema).parquet(path)
+        self.schemas[step] = frame.schema
+        return self.read(step, session)
+
+    def read(self, step: str, session: SparkSession | None = None) -> DataFrame:
+        """A table again, by another session if one is given."""
+        return (session or self.spark).read.schema(self.schemas[step]).parquet(f"{self.at}/{step}")
 
     def only(self, *steps: str) -> None:
         """Delete all tables but these."""
