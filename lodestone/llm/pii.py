@@ -8,8 +8,14 @@ date, and equal values get equal pseudonyms in all documents. The permutation
 is one-to-one and can be undone with the key.
 
 kinds: email (local part), phone (digits after the country code), card, ssn,
-iban, ip, date, secret (access keys, long hexadecimal tokens, and what is given
-as a password, secret, token or key).
+iban, ip (of both versions), date, secret (access keys, tokens of known form, long
+hexadecimal numbers, and what is given under a name that ends in password, secret,
+token, key or the like, up to the closing quote or the next blank). Letters and
+digits change, signs stay; letters are those of ASCII, Latin-1, Greek and Cyrillic,
+others stay as they are. Not taken for a secret: a lone word without digits, of less
+than 16 characters, after ``key:``, ``token:`` or ``secret:`` in running text, and
+values of under 6 characters after such a name (after a password's, all are). An
+address of version 6 in mixed case comes out in lower case.
 
 Edge cases: a null text stays null with nothing found; an empty text likewise;
 very long texts and secrets of any length are handled whole; rows that repeat get the same result; an empty table gives no rows; only doc_id
@@ -20,6 +26,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import math
 import re
 
@@ -37,17 +44,35 @@ DEMO_KEY = b"lodestone demonstration key"
 LOCALHOST = 127 << 24 | 1
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
-PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-]))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))"
-    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<phone>(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w+(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w))"
-    r"|(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w|\.\d))"
-    r"|(?P<credential>(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_+/.-]{6,}(?<![.]))"
-    r"|(?P<secret>(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?<!\w)[0-9a-f]{32,}(?!\w))"
-)
+#: Names that end so say that a secret follows; the first kind needs no further sign.
+_PASSWORD, _KEYLIKE = "password|passwd|passphrase|pwd", "secret|token|key|credential"
+
+_KINDS = {
+    # one start for each run of local characters, so long runs are read once
+    "email": r"(?<![\w.%+-])[\w.%+-]++@(?:[\w-]{1,63}+\.){1,8}[^\W\d_]{2,24}(?![\w-])",
+    "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)",
+    "ip6": r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)",
+    "iban": r"(?<!\w)[A-Za-z]{2}\d{2}(?:[A-Za-z0-9]{11,30}|(?: [A-Za-z0-9]{4}){2,7}(?: [A-Za-z0-9]{1,3})?)(?!\w)",
+    "phone": r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w+(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)",
+    "card": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w|\.\d)",
+    # a name, a sign, and all up to the closing quote or, unquoted, to the next blank
+    "credential": rf"(?<![A-Za-z0-9_-])[\"']?[A-Za-z0-9_-]*?(?i:{_PASSWORD}|{_KEYLIKE})[\"']?[ ]?(?:=>|[=:])[ ]?(?:\"[^\"\n]+\"|'[^'\n]+'|[^\s\"']+(?<![.,;:)\]}}>]))",
+    "secret": r"(?<!\w)(?:(?:AKIA|ASIA)[A-Z0-9]{16}|[0-9a-f]{32,}|[0-9A-F]{32,}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{20,}|glpat-[\w-]{20,}|xox[abprs]-[\w-]{10,}|sk-[\w-]{20,}|AIza[\w-]{30,})(?!\w)",
+}
+PATTERN = re.compile("|".join(f"(?P<{kind}>{form})" for kind, form in _KINDS.items()))
+#: What else may begin where a kind's form is found that turns out not to be valid.
+_LATER = {kind: [(k, re.compile(_KINDS[k])) for k in list(_KINDS)[i + 1 :]] for i, kind in enumerate(_KINDS)}
+#: The same forms alone, each with the part that stays.
+_TOKEN = re.compile(r"((?:AKIA|ASIA)(?=[A-Z0-9]{16}\Z)|(?=[0-9a-f]{32,}\Z)|(?=[0-9A-F]{32,}\Z)|gh[pousr]_(?=[A-Za-z0-9]{30,}\Z)|github_pat_(?=\w{20,}\Z)|glpat-(?=[\w-]{20,}\Z)|xox[abprs]-(?=[\w-]{10,}\Z)|sk-(?=[\w-]{20,}\Z)|AIza(?=[\w-]{30,}\Z))(.+)")
+#: Letters that are permuted among themselves, besides digits.
+_ALPHABETS = [
+    "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])), "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xDF)])),
+    "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x410, 0x430))), "".join(map(chr, range(0x3B1, 0x3CA))), "".join(map(chr, [*range(0x391, 0x3A2), *range(0x3A3, 0x3AA)])),
+]
+_SETS = {c: a for a in _ALPHABETS for c in a}
 
 
 class Feistel:
@@ -100,10 +125,15 @@ def _iban_rest(country: str, rest: str) -> int:
     return int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
 
 
+def _iban_ok(value: str) -> bool:
+    whole = value.replace(" ", "").upper()
+    return re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}", whole) is not None and 98 - _iban_rest(whole[:2], whole[4:]) == int(whole[2:4])
+
+
 def _refill(text: str, chars: str) -> str:
     """text with its letters and digits replaced in turn by chars."""
     it = iter(chars)
-    return "".join(next(it) if c.isascii() and c.isalnum() else c for c in text)
+    return "".join(next(it) if c in _SETS else c for c in text)
 
 
 def _phone_ok(x: int) -> bool:  # numbers of the North American plan
@@ -139,10 +169,10 @@ def _by_class(net: Feistel, text: str, tweak: bytes, back: bool) -> str:
 
 
 def _class_part(net: Feistel, text: str, tweak: bytes, back: bool) -> str:
-    kinds = {"0": "0123456789", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-    sets = [kinds["0" if c.isdigit() else "a" if c.islower() else "A"] for c in text if c.isascii() and c.isalnum()]
+    own = [c for c in text if c in _SETS]
+    sets = [_SETS[c] for c in own]
     x, n = 0, 1
-    for c, s in zip([c for c in text if c.isascii() and c.isalnum()], sets, strict=True):
+    for c, s in zip(own, sets, strict=True):
         x, n = x * len(s) + s.index(c), n * len(s)
     x, out = net.permute(x, n, tweak, back), []
     for s in reversed(sets):
@@ -176,16 +206,38 @@ def _phone_parts(value: str) -> tuple[str, str, str]:
     return head, body, "".join(c for c in body if c.isdigit())
 
 
-_CREDENTIAL = re.compile(r"([A-Za-z_-]+[ ]?[=:][ ]?[\"']?)(.+)")
+_CREDENTIAL = re.compile(r"([\"']?[A-Za-z0-9_-]*?[\"']?[ ]?(?:=>|[=:])[ ]?[\"']?)(.+?)([\"']?)", re.S)
+_SURE = re.compile(rf"(?i:[\"']?[A-Za-z0-9_-]*?(?:{_PASSWORD})[\"']?[ ]?(?:=>|[=:]))")
+
+
+def _says_secret(head: str, body: str) -> bool:
+    """Whether what follows a name is a secret: after a password's always; after
+    a key, token or secret a lone word of running text (``the key: patience``) is not."""
+    if _SURE.match(head):
+        return True
+    digit, prose = any(c.isdigit() for c in body), head.endswith(": ") and not head.lstrip().startswith(("\"", "'"))
+    if len(body) < (6 if digit else 8) or " " in body and not digit:
+        return False
+    return digit or len(body) >= 16 or not prose and re.search("(?i)(?:[_-]|api|access|secret|auth)(?:key|token|secret|credential)", head) is not None
+
+
+def _walk(value: str, step, valid) -> str:
+    """A permutation of values, kept to those that are ``valid``."""
+    while True:
+        value = step(value)
+        if valid(value):
+            return value
 
 
 def pseudonym(net: Feistel, kind: str, value: str, back: bool = False) -> str | None:
     """The value's pseudonym, or None if the value is not valid."""
     if kind == "credential":
-        head, body = _CREDENTIAL.fullmatch(value).groups()
-        if re.fullmatch("[0-9a-f]+", body) or re.fullmatch("(?:AKIA|ASIA)[A-Z0-9]{16}", body):
-            return head + pseudonym(net, "secret", body, back)
-        return head + _by_class(net, body, b"credential", back) if re.search("[0-9]", body) else None
+        head, body, tail = _CREDENTIAL.fullmatch(value).groups()
+        if not _says_secret(head, body):
+            return None
+        if _TOKEN.fullmatch(body):  # the same pseudonym as without a name before it
+            return head + pseudonym(net, "secret", body, back) + tail
+        return head + _walk(body, lambda v: _by_class(net, v, b"credential", back), lambda v: not _TOKEN.fullmatch(v)) + tail
     only = "".join(c for c in value if c.isascii() and c.isdigit())
     if kind == "email":
         local, _, domain = value.rpartition("@")
@@ -214,17 +266,43 @@ def pseudonym(net: Feistel, kind: str, value: str, back: bool = False) -> str |
             return None
         x = int.from_bytes(bytes(map(int, parts)), "big")
         return ".".join(map(str, net.within(x, 1 << 32, b"ip", _ip_ok, back).to_bytes(4, "big"))) if _ip_ok(x) else None
+    if kind == "ip6":
+        try:
+            address = ipaddress.IPv6Address(value)
+        except ValueError:
+            return None
+        if address.is_loopback or address.is_unspecified or not only:
+            return None
+        # the written digits are permuted where they stand, so the form stays; mixed case becomes lower
+        upper = any(c in "ABCDEF" for c in value) and not any(c in "abcdef" for c in value)
+        alphabet = "0123456789ABCDEF" if upper else "0123456789abcdef"
+        digits = "".join(c for c in (value if upper else value.lower()) if c != ":")
+
+        def step(own: str) -> str:
+            return _digits(net.permute(_base(own, alphabet), 16 ** len(own), b"ip6" + alphabet[-1:].encode(), back), len(own), alphabet)
+
+        def written(own: str) -> str:
+            it = iter(own)
+            return "".join(c if c == ":" else next(it) for c in value)
+
+        def valid(own: str) -> bool:
+            a = ipaddress.IPv6Address(written(own))
+            return any(c.isdigit() for c in own) and not a.is_loopback and not a.is_unspecified and (not upper or any(c in "ABCDEF" for c in own))
+
+        return written(_walk(digits, step, valid))
     if kind == "iban":
-        whole = value.replace(" ", "")
+        whole = value.replace(" ", "").upper()
         country, rest = whole[:2], whole[4:]
-        if not 15 <= len(whole) <= 34 or 98 - _iban_rest(country, rest) != int(whole[2:4]):
+        if not _iban_ok(value):
             return None
         rest = _by_class(net, rest, b"iban" + country.encode(), back)
-        return _refill(value, f"{country}{98 - _iban_rest(country, rest):02d}{rest}")
+        new = _refill(value, f"{country}{98 - _iban_rest(country, rest):02d}{rest}")
+        return "".join(c.lower() if old.islower() else c for c, old in zip(new, value, strict=True))
     if kind == "date":
         sign = next(c for c in value if not c.isdigit())
         a, b, c = map(int, value.split(sign))
-        orders = [(a, b, c)] if sign == "-" else [(c, a, b), (c, b, a)] if sign == "/" else [(c, b, a)]
+        first = a > 31  # the year
+        orders = [(a, b, c)] if sign == "-" or first else [(c, a, b), (c, b, a)] if sign == "/" else [(c, b, a)]
         for i, order in enumerate(orders):
             try:
                 x = datetime.date(*order).toordinal() - FIRST_DAY
@@ -238,20 +316,24 @@ def pseudonym(net: Feistel, kind: str, value: str, back: bool = False) -> str |
             valid = lambda y: not twin(datetime.date.fromordinal(FIRST_DAY + y)) and (padded or len(write(datetime.date.fromordinal(FIRST_DAY + y))) == len(value))  # noqa: E731, B023
 
             def write(d: datetime.date) -> str:
-                if sign == "-":
-                    return d.isoformat()
+                if sign == "-" or first:  # noqa: B023
+                    return d.isoformat().replace("-", sign)  # noqa: B023
                 p, q = (d.month, d.day) if sign == "/" and i == 0 else (d.day, d.month)  # noqa: B023
                 return f"{p:02d}{sign}{q:02d}{sign}{d.year:04d}" if padded else f"{p}{sign}{q}{sign}{d.year:04d}"  # noqa: B023
 
             if not padded and write(datetime.date.fromordinal(FIRST_DAY + x)) != value:
                 return None
-            return write(datetime.date.fromordinal(FIRST_DAY + net.within(x, LAST_DAY - FIRST_DAY + 1, f"date{sign}{i}{len(value)}".encode(), valid, back)))
+            return write(datetime.date.fromordinal(FIRST_DAY + net.within(x, LAST_DAY - FIRST_DAY + 1, f"date{sign}{i}{len(value)}{'y' * (sign == '/' and first)}".encode(), valid, back)))
         return None
     if kind == "secret":
-        alphabet, head = ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", value[:4]) if value[:4] in ("AKIA", "ASIA") else ("0123456789abcdef", "")
-        body = value[len(head) :]
+        head, body = _TOKEN.fullmatch(value).groups()
+        lower, upper = re.fullmatch("[0-9a-f]+", value), re.fullmatch("[0-9A-F]+", value)
+        alphabet = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ" if head in ("AKIA", "ASIA") else "0123456789abcdef" if lower else "0123456789ABCDEF" if upper else None
+        if alphabet is None:
+            return _walk(value, lambda v: head + _by_class(net, v[len(head) :], b"secret" + head.encode(), back), lambda v: _TOKEN.fullmatch(v)[1] == head)
         part = lambda own, tweak: _digits(net.permute(_base(own, alphabet), len(alphabet) ** len(own), tweak, back), len(own), alphabet)
-        return head + _chained(body, b"secret" + head.encode(), back, part)
+        tweak = b"secret" + head.encode() + (b"upper" if upper and not lower else b"")
+        return head + _walk(body, lambda v: _chained(v, tweak, back, part), lambda v: head or not _iban_ok(v) and (lower or not v.isdigit()))
     raise ValueError(kind)
 
 
@@ -278,23 +360,28 @@ def replace_all(net: Feistel, text: str, back: bool = False) -> tuple[str, list[
     out, found, at = [], [], 0
     pos = 0
     while m := PATTERN.search(text, pos):
-        new = pseudonym(net, m.lastgroup, m.group(), back)
-        if new is None:
-            new = outside(net, m.lastgroup, m.group(), back)
+        kind, new = m.lastgroup, None
+        for kind, m in [(m.lastgroup, m), *((k, form.match(text, m.start())) for k, form in _LATER[m.lastgroup])]:
+            if m is not None:
+                begin, end = m.span()
+                new = pseudonym(net, kind, m.group(), back)
+                new = outside(net, kind, m.group(), back) if new is None else new
+                if new is not None:
+                    break
         if new is None:
             # part of it may still be another kind
-            pos = m.start() + 1
-            while pos < m.end() and text[pos - 1].isalnum() and text[pos].isalnum():
+            pos = begin + 1
+            while pos < len(text) and text[pos - 1].isalnum() and text[pos].isalnum():
                 pos += 1
             continue
-        out += [text[at : m.start()], new]
-        inner = len(_CREDENTIAL.fullmatch(m.group())[1]) if m.lastgroup == "credential" else 0
-        found.append(("secret" if inner else m.lastgroup, m.start() + inner, m.end()))
-        at = pos = m.end()
+        out += [text[at:begin], new]
+        inner, after = map(len, _CREDENTIAL.fullmatch(m.group()).group(1, 3)) if kind == "credential" else (0, 0)
+        found.append(("secret" if inner else "ip" if kind == "ip6" else kind, begin + inner, end - after))
+        at = pos = end
     return "".join([*out, text[at:]]), found
 
 
-_MAY_HOLD = re.compile(r"\d|@")
+_MAY_HOLD = re.compile(rf"\d|@|(?i:{_PASSWORD}|{_KEYLIKE})")
 
 
 def _replacer(key: bytes, carry: list[str]):

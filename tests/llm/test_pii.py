@@ -1,5 +1,6 @@
 import datetime
 import random
+import time
 
 import pytest
 
@@ -152,3 +153,45 @@ def test_operator(spark):
         back, _ = P.replace_all(P.Feistel(P.DEMO_KEY), r.text or "", back=True)
         assert back == (source[r.doc_id] or "")
     assert P.pseudonymise(spark, d.limit(0), P.DEMO_KEY).count() == 0
+
+
+SECRETS = [
+    ('{"user": "x", "password": "hunter22abc"}', "hunter22abc"), ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
+    ("use ghp_0123456789abcdefghijABCDEFGHIJ0123 now", "0123456789abcdefghijABCDEFGHIJ0123"), ("password=Tr0ub4dor&3!zz99", "Tr0ub4dor&3!zz99"), ("password: correcthorse", "correcthorse"), ("pwd: ab12", "ab12"),
+    ("'api_key' => 'plainlettersonly'", "plainlettersonly"), ("DEADBEEF0123456789ABCDEF0123456789ABCDEF", "DEADBEEF0123456789ABCDEF0123456789ABCDEF"), ("db-passphrase = 'two words here 77'", "two words here 77"),
+    ("SESSION_TOKEN=ABCDEFGHijklmnop", "ABCDEFGHijklmnop"), ("secret: pässwört9", "pässwört9"), ("token: 00000000000000000000000000000000", "0" * 32), ("from 2001:0db8:85a3:0000:0000:8a2e:0370:7334 on", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"),
+    ("at FE80::1FF:FE23:4567:890A", "FE80::1FF:FE23:4567:890A"), ("iban de89370400440532013000.", "de89370400440532013000"), ("mail jöhn@exämple.de", "jöhn"), ("on 2020/05/12 he", "2020/05/12"), ("-a.b@x.org", "a.b"),
+]
+
+
+@pytest.mark.parametrize("text, value", SECRETS)
+def test_secrets_change_whole_and_can_be_undone(text, value):
+    new, found = P.replace_all(NET, text)
+    assert len(found) == 1 and value not in new and len(new) == len(text)
+    at = text.index(value)
+    assert new[:at] == text[:at] and new[at + len(value) :] == text[at + len(value) :]
+    changed = sum(a != b for a, b in zip(value, new[at : at + len(value)], strict=True))
+    assert changed >= 0.5 * sum(c.isalnum() for c in value)
+    assert P.replace_all(NET, new, back=True)[0] == text
+
+
+@pytest.mark.parametrize("text", ["the key: patience and time", "a token of thanks", "Secret: nothing", "keys = many", "monkey: banana", "at 12:30:45 and std::vector", "::1", "turkey=bird", "key: a"])
+def test_running_text_stays(text):
+    assert P.replace_all(NET, text) == (text, [])
+
+
+def test_many_secrets_of_every_form_can_be_undone():
+    rng = random.Random(12)
+    letters = "abcxyzABCXYZ0123456789_/+&!é"
+    for _ in range(300):
+        body = "".join(rng.choice(letters) for _ in range(rng.randint(8, 60)))
+        hexed = "".join(rng.choice("0123456789") for _ in range(31)) + rng.choice("azAF")
+        for text in (f'"my_token": "{body}"', f"PASSWORD={body.strip('_/+&!')}", f"x {hexed} y", f"secret = {hexed}"):
+            assert P.replace_all(NET, P.replace_all(NET, text)[0], back=True)[0] == text, text
+
+
+def test_long_runs_take_linear_time():
+    began = time.time()
+    for text in ("%41%42" * 170_000, "a.b+c-" * 170_000, "1:2:" * 250_000, "key_" * 250_000, "password=" * 100_000, "- " * 500_000, "'key" * 200_000):
+        P.replace_all(NET, text)
+    assert time.time() - began < 20
