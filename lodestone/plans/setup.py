@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.sources import files, parsing, state
+from lodestone.sources import files, listing, parsing, state
 from lodestone.sources.scratch import shared_dir
 from lodestone.sources.store import BlockStore
 from lodestone.sources.vcs import Repository
@@ -64,12 +64,12 @@ def dry_run(spark: SparkSession, root: str, s: Settings) -> DataFrame:
 
 
 def follow(engine: Engine, root: str, project: str, every: str | None = None) -> StreamingQuery:
-    """Keeps a project's blocks up to date with its tree; once, or every so often."""
-    s, base = engine.settings, root.rstrip("/") + "/"
-    stream = watch.file_stream(engine.spark, root, "{" + ",".join(s.spec.patterns) + "}")
-    named = stream.withColumn("filepath", F.regexp_replace("filepath", "^" + base, "")).where(~files.excluded(F.col("filepath"), s.exclude))
+    """Keeps a project's blocks up to date with its tree, deletions included; once,
+    or every so often."""
+    s, own = engine.settings, os.path.join(state.index_location(root), "stream")
+    stream = listing.tree_changes(engine.spark, root, f"{own}/listings", list(s.spec.patterns), s.exclude)
     parse = lambda d: parsing.blocks(parsing.parse_files(d, s.max_file_kb)).drop("method").withColumn("project_id", F.lit(project))
-    return watch.maintain(named.withColumn("change", F.lit("modified")), engine.store, parse, os.path.join(state.index_location(root), "stream"), every, project)
+    return watch.maintain(stream, engine.store, parse, f"{own}/checkpoint", every, project)
 
 
 def janitor(engine: Engine, root: str, project: str, since: str) -> str:

@@ -11,6 +11,7 @@ version the second fails.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterable
 from urllib.parse import unquote
@@ -58,22 +59,31 @@ class BlockStore:
         at = self._path(f"{self.path}/{folder}")
         return [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
 
+    def _manifests(self) -> dict[int, str]:
+        """Number -> file name. A version's is ``n.json``, that of a return to version v ``n-v.json``."""
+        return {int(n[:9]): n for n in self._names("manifests") if n.endswith(".json")}
+
     def _number(self) -> int:
-        return max([int(n[:-5]) for n in self._names("manifests") if n.endswith(".json")], default=0)
+        return max(self._manifests(), default=0)
 
-    def manifest(self) -> dict:
-        n = self._number()
-        if not n:
-            return {"current": None, "versions": {}, "schema": SCHEMA_VERSION, "meta": {}}
-        stream = self._fs.open(self._path(f"{self.path}/manifests/{n:09d}.json"))
+    def _load(self, name: str) -> dict:
+        stream = self._fs.open(self._path(f"{self.path}/manifests/{name}"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def _publish(self, base: int, value: dict) -> None:
+    def manifest(self) -> dict:
+        """The newest manifest: the current version and its folders, no others'."""
+        held = self._manifests()
+        if not held:
+            return {"current": None, "folders": {}, "schema": SCHEMA_VERSION, "meta": {}}
+        return self._load(held[max(held)])
+
+    def _publish(self, base: int, value: dict, back_to: int | None = None) -> None:
         """Writes manifest base + 1; whoever creates its lock may."""
         n = base + 1
+        name = f"{n:09d}.json" if back_to is None else f"{n:09d}-{back_to:09d}.json"
         lock = self._path(f"{self.path}/locks/{n:09d}")
         try:
             self._fs.create(lock, False).close()
@@ -84,15 +94,14 @@ class BlockStore:
         out.write(bytearray(json.dumps(value).encode()))
         out.close()
         self._fs.mkdirs(self._path(f"{self.path}/manifests"))
-        if not self._fs.rename(tmp, self._path(f"{self.path}/manifests/{n:09d}.json")):
+        if not self._fs.rename(tmp, self._path(f"{self.path}/manifests/{name}")):
             raise ConcurrentWrite(f"version {n} could not be published")
 
     def is_stale(self) -> bool:
         return self.manifest().get("schema") != SCHEMA_VERSION
 
     def _folders(self) -> dict[str, str]:
-        m = self.manifest()
-        return m["versions"].get(m["current"], {})
+        return self.manifest()["folders"]
 
     def read(self, project: str | Iterable[str] | None = None) -> DataFrame:
         """The blocks of a project, of some, or of all; only their folders are read."""
@@ -114,7 +123,7 @@ class BlockStore:
         """A version in which the touched projects hold ``rows``, the others what they held."""
         base = self._number() if base is None else base
         m = self.manifest()
-        folders = {p: at for p, at in m["versions"].get(m["current"], {}).items() if p not in set(touched)}
+        folders = {p: at for p, at in m["folders"].items() if p not in set(touched)}
         at = f"data/{uuid.uuid4().hex}"
         rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in STORED.fields])
         # the folder's name holds the project's; the rows keep it as well
@@ -123,7 +132,7 @@ class BlockStore:
             if name.startswith("p="):
                 folders[unquote(name[2:])[1:]] = f"{at}/{name}"
         v = f"v={base + 1}"
-        self._publish(base, {"current": v, "versions": m["versions"] | {v: folders}, "schema": SCHEMA_VERSION, "meta": m.get("meta", {}) | (meta or {})})
+        self._publish(base, {"current": v, "folders": folders, "schema": SCHEMA_VERSION, "meta": m.get("meta", {}) | (meta or {})})
         return v
 
     def _own(self, rows: DataFrame) -> set[str]:
@@ -156,16 +165,19 @@ class BlockStore:
         the one project that the blocks and the store know; if they know more,
         that is an error."""
         base = self._number()
+        feed, project = self._named(blocks, feed, project)
+        touched = self._own(feed)
+        return self._commit(applied(self.read(touched), self._stored(blocks, project), feed, ("project_id", "filepath")), touched, base)
+
+    def _named(self, blocks: DataFrame, feed: DataFrame, project: str | None) -> tuple[DataFrame, str]:
+        """The feed with a project in each row, and the project of rows without one."""
         if project is None and "project_id" not in feed.columns:
             known = {p for p in self._own(blocks) if p is not None} | set(self.projects()) if "project_id" in blocks.columns else set(self.projects())
             if len(known) > 1:
                 raise ValueError("the feed names no project and the store holds several")
             project = next(iter(known), "")
         project = project or ""
-        own = F.coalesce("project_id", F.lit(project)) if "project_id" in feed.columns else F.lit(project)
-        feed = feed.withColumn("project_id", own)
-        touched = self._own(feed)
-        return self._commit(applied(self.read(touched), self._stored(blocks, project), feed, ("project_id", "filepath")), touched, base)
+        return feed.withColumn("project_id", F.coalesce("project_id", F.lit(project)) if "project_id" in feed.columns else F.lit(project)), project
 
     def count(self, project: str | None = None) -> int:
         return self.read(project).count()
@@ -174,16 +186,47 @@ class BlockStore:
         return self._commit(self.read(()), self.projects() if project is None else [project])
 
     def versions(self) -> list[str]:
-        return list(self.manifest()["versions"])
+        """Those that can be read, in order; told by file names."""
+        return [f"v={n}" for n, name in sorted(self._manifests().items()) if "-" not in name]
 
     def snapshot(self) -> str | None:
-        return self.manifest()["current"]
+        held = self._manifests()
+        if not held:
+            return None
+        n = max(held)
+        return f"v={int(held[n][10:19])}" if "-" in held[n] else f"v={n}"
 
     def restore(self, version: str) -> None:
-        base, m = self._number(), self.manifest()
-        if version not in m["versions"]:
+        held = self._manifests()
+        base = max(held, default=0)
+        n = int(version[2:]) if version[:2] == "v=" and version[2:].isdigit() else 0
+        if "-" in held.get(n, "-"):
             raise ValueError(f"no version {version}")
-        self._publish(base, m | {"current": version})
+        self._publish(base, self._load(held[n]), n)
+
+    def retain(self, last: int, grace: int = 3600) -> list[str]:
+        """Drops all versions but the ``last`` ones and the current, and the folders
+        that no kept version names. Folders younger than ``grace`` seconds stay: a
+        writer may be about to publish them. Returns the versions that went."""
+        held = self._manifests()
+        if not held:
+            return []
+        named = self.versions()
+        kept = set(named[-last:] if last > 0 else []) | {self.snapshot()}
+        gone = [v for v in named if v not in kept]
+        newest = max(held)  # the newest manifest stays: it says what is current, and numbers go on from it
+        used = {newest} | {int(v[2:]) for v in kept if int(v[2:]) in held}
+        folders = {at.split("/")[1] for n in used for at in self._load(held[n])["folders"].values()}
+        for n in sorted(held):
+            if n not in used:
+                self._fs.delete(self._path(f"{self.path}/manifests/{held[n]}"), False)
+                self._fs.delete(self._path(f"{self.path}/locks/{n:09d}"), False)
+        at = self._path(f"{self.path}/data")
+        before = (time.time() - grace) * 1000
+        for f in self._fs.listStatus(at) if self._fs.exists(at) else []:
+            if f.getPath().getName() not in folders and f.getModificationTime() < before:
+                self._fs.delete(f.getPath(), True)
+        return gone
 
 
 class MemoryStore:
@@ -193,11 +236,13 @@ class MemoryStore:
     def __init__(self, spark: SparkSession, path: str = ""):
         self.spark, self._rows, self._n = spark, spark.createDataFrame([], STORED), 0
 
-    _stored = BlockStore._stored
+    _stored, _named, _own = BlockStore._stored, BlockStore._named, BlockStore._own
 
     def _set(self, rows: DataFrame) -> str:
-        self._rows, self._n = rows.select(*STORED.fieldNames()).persist(), self._n + 1
-        self._rows.count()
+        old, self._n = self._rows, self._n + 1
+        self._rows = rows.select(*STORED.fieldNames()).persist()
+        self._rows.count()  # before what it was made of goes
+        old.unpersist()
         return self.snapshot()
 
     def snapshot(self) -> str | None:
@@ -219,9 +264,9 @@ class MemoryStore:
         hit = self._rows.join(gone, "filepath", "left_anti")
         return self._set(hit if project is None else hit.unionByName(self._rows.where(F.col("project_id") != project).join(gone, "filepath", "left_semi")))
 
-    def apply_changes(self, blocks: DataFrame, feed: DataFrame, project: str = "") -> str:
-        own = F.coalesce("project_id", F.lit(project)) if "project_id" in feed.columns else F.lit(project)
-        return self._set(applied(self._rows, self._stored(blocks, project), feed.withColumn("project_id", own), ("project_id", "filepath")))
+    def apply_changes(self, blocks: DataFrame, feed: DataFrame, project: str | None = None) -> str:
+        feed, project = self._named(blocks, feed, project)
+        return self._set(applied(self._rows, self._stored(blocks, project), feed, ("project_id", "filepath")))
 
     def count(self, project: str | None = None) -> int:
         return self.read(project).count()

@@ -68,9 +68,13 @@ def maintain(changes: DataFrame, store: BlockStore, parse: Callable[[DataFrame],
     def apply(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        now = batch.groupBy("filepath").agg(F.max_by(F.struct("text", "change"), "ts").alias("x")).select("filepath", "x.text", "x.change")
-        new = parse(now.where("change <> 'deleted'").select("filepath", "text"))
-        store.apply_changes(new, now.select("filepath", "change"), project)
+        now = batch.groupBy("filepath").agg(F.max_by(F.struct("text", "change"), "ts").alias("x")).select("filepath", "x.text", "x.change").persist()
+        new = parse(now.where("change <> 'deleted'").select("filepath", "text")).persist()  # files are read and parsed once a batch
+        try:
+            store.apply_changes(new, now.select("filepath", "change"), project)
+        finally:
+            new.unpersist()
+            now.unpersist()
 
     q = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (q.trigger(processingTime=every) if every else q.trigger(availableNow=True)).start()
