@@ -10,28 +10,52 @@ BARS = "▁▂▃▄▅▆▇█"
 COST_PER_MILLION = 0.14
 
 
-def latency_summary(events: DataFrame, key: str, value: str = "value", accuracy: int = 10_000) -> DataFrame:
-    """count, mean, min, max, p50, p95 and p99 of each key; a percentile is the
-    sorted values' entry at int(p * (n - 1) / 100), without interpolation.
+def entries_at(events: DataFrame, key: str, value: str, places: dict[str, Column], accuracy: int = 10_000) -> DataFrame:
+    """key, count and, by name, entries of each key's sorted values: ``places`` has
+    the entry's number, from 0, made of column ``count``.
 
-    A mergeable sketch brackets each percentile within a few ranks in
-    ``accuracy``; only values inside the brackets are sorted, and counts of the
-    values below them make the ranks exact. No task sorts a whole key.
+    A mergeable sketch brackets each entry within a few ranks in ``accuracy``; only
+    values inside the brackets are sorted, and counts of the values below them
+    make the ranks exact. No task sorts, or collects, a whole key.
     """
-    shares = (50, 95, 99)
     d = events.where(F.col(value).isNotNull()).select(F.col(key), F.col(value).alias("v"))
-    cut = lambda p, way: min(1.0, max(0.0, p / 100 + way * 3 / accuracy))
-    wanted = F.array(*[F.lit(cut(p, way)) for p in shares for way in (-1, 1)])
-    base = d.groupBy(key).agg(F.count("*").alias("count"), F.round(F.avg("v"), 4).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile_approx("v", wanted, accuracy).alias("q"))
+    # the sketch in steps of a few ranks; an entry lies between the steps around it
+    steps = accuracy // 20
+    grid = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
+    base = d.groupBy(key).agg(F.count("*").alias("count"), F.min("v").alias("_min"), F.max("v").alias("_max"), F.percentile_approx("v", grid, accuracy).alias("_q"))
     few = F.col("count") <= accuracy  # a bracket would be narrower than a rank
-    part = [F.struct(F.lit(p).alias("p"), F.when(few, F.col("min")).otherwise(F.get("q", F.lit(2 * i))).alias("lo"), F.when(few, F.col("max")).otherwise(F.get("q", F.lit(2 * i + 1))).alias("hi"), F.floor(F.lit(p) * (F.col("count") - 1) / 100).alias("at")) for i, p in enumerate(shares)]
-    brackets = base.select(key, F.array(*part).alias("parts"))
-    near = d.join(brackets, key).select(key, "v", F.explode(F.filter("parts", lambda x: F.col("v") <= x["hi"])).alias("x"))
+    step = lambda at, way: F.greatest(F.lit(0), F.least(F.lit(steps), F.floor(at / F.col("count") * steps) + way)).cast("int")
+    part = [F.struct(F.lit(n).alias("p"), F.when(few, F.col("_min")).otherwise(F.get("_q", step(at, -1))).alias("lo"), F.when(few, F.col("_max")).otherwise(F.get("_q", step(at, 2))).alias("hi"), at.alias("at")) for n, at in places.items()]
+    brackets = base.select(F.col(key).alias("_k"), F.array(*part).alias("parts"))
+    near = d.join(brackets, F.col(key).eqNullSafe(F.col("_k"))).select(key, "v", F.explode(F.filter("parts", lambda x: F.col("v") <= x["hi"])).alias("x"))
     counted = near.groupBy(key, "x.p", "x.at", F.when(F.col("v") >= F.col("x.lo"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
     upto = F.sum("c").over(W.partitionBy(key, "p").orderBy(F.asc_nulls_first("v")).rowsBetween(W.unboundedPreceding, 0))
     found = counted.withColumn("upto", upto).where("v IS NOT NULL AND upto > at")
-    picks = found.groupBy(key).agg(*[F.min(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in shares])
-    return base.drop("q").join(picks, key)
+    picks = found.groupBy(F.col(key).alias("_k")).agg(*[F.min(F.when(F.col("p") == n, F.col("v"))).alias(n) for n in places])
+    return base.select(key, "count").join(picks, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+
+
+def percentile_place(p: int) -> Column:
+    """int(p * (n - 1) / 100) of column ``count``: no interpolation."""
+    return F.floor(F.lit(p) * (F.col("count") - 1) / 100)
+
+
+def latency_summary(events: DataFrame, key: str, value: str = "value", accuracy: int = 10_000) -> DataFrame:
+    """count, mean, min, max, p50, p95 and p99 of each key."""
+    picks = entries_at(events, key, value, {f"p{p}": percentile_place(p) for p in (50, 95, 99)}, accuracy).drop("count").withColumnRenamed(key, "_key")
+    base = events.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("count"), F.round(F.avg(value), 4).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return base.join(picks, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+
+
+def cold_and_warm(runs: DataFrame, key: str, query: str, order: list[str], value: str = "value", accuracy: int = 10_000) -> DataFrame:
+    """key, phase, count, p50 and p95: a query's first run by ``order`` is cold, the
+    later ones are warm. First runs come from one aggregate; no key is sorted."""
+    d = runs.where(F.col(value).isNotNull()).withColumn("_o", F.struct(*order))
+    first = d.groupBy(F.col(key).alias("_k"), F.col(query).alias("_q")).agg(F.min("_o").alias("_f"))
+    d = d.join(first, F.col(key).eqNullSafe(F.col("_k")) & F.col(query).eqNullSafe(F.col("_q")))
+    d = d.select(F.struct(F.col(key).alias("key"), F.when(F.col("_o") == F.col("_f"), "cold").otherwise("warm").alias("phase")).alias("part"), F.col(value).alias("value"))
+    out = entries_at(d, "part", "value", {f"p{p}": percentile_place(p) for p in (50, 95)}, accuracy)
+    return out.select(F.col("part.key").alias(key), "part.phase", "count", "p50", "p95")
 
 
 def summary(events: DataFrame, recent: int = 50) -> DataFrame:
@@ -87,20 +111,18 @@ def sparkline(points: DataFrame, key: str) -> DataFrame:
 def token_reduction(queries: DataFrame, whole: str = "whole_tokens", used: str = "used_tokens") -> DataFrame:
     """Median and quartiles (lower order statistics) of the tokens used, and the
     reduction against the whole."""
-    d = queries.agg(F.count("*").alias("n"), F.collect_list(used).alias("v"), F.max(whole).alias("whole_tokens"))
-    pick = lambda p: F.expr(f"get(sort_array(v), CAST(floor(n * {p}) AS INT))")
-    d = d.select("n", "whole_tokens", pick(0.5).alias("median"), pick(0.25).alias("p25"), pick(0.75).alias("p75"))
+    every = queries.withColumn("_all", F.lit(0))
+    picks = entries_at(every, "_all", used, {n: F.floor(F.col("count") * p) for n, p in (("median", 0.5), ("p25", 0.25), ("p75", 0.75))})
+    d = queries.agg(F.max(whole).alias("whole_tokens")).withColumn("_all", F.lit(0)).join(picks, "_all", "left")
+    d = d.select(F.coalesce("count", F.lit(0)).alias("n"), "whole_tokens", "median", "p25", "p75")
     return d.withColumn("reduction_pct", F.when(F.col("whole_tokens") > 0, F.round(100 * (1 - F.col("median") / F.col("whole_tokens")), 1)).otherwise(0.0))
 
 
 def index_latency(events: DataFrame, key: str, value: str = "value") -> DataFrame:
     """n, p50 and p95 of each key: the sorted values' entries at n div 2 and at
-    int(0.95 n). Values are ranked within their key; none is collected."""
-    d = events.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"))
-    w = W.partitionBy(key)
-    d = d.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy("_v")) - 1)
-    at = lambda place: F.max(F.when(F.col("_r") == place, F.col("_v")))
-    return d.groupBy(key).agg(F.count("*").alias("n"), at(F.floor(F.col("_n") / 2)).alias("p50"), at(F.floor(F.col("_n") * 95 / 100)).alias("p95"))
+    int(0.95 n)."""
+    out = entries_at(events, key, value, {"p50": F.floor(F.col("count") / 2), "p95": F.floor(F.col("count") * 95 / 100)})
+    return out.withColumnRenamed("count", "n")
 
 
 def tree_tokens(files: DataFrame, most: int = 50) -> DataFrame:

@@ -80,10 +80,10 @@ SELECT project_id, bool_or(yaml AND contains(head, 'kind:') AND contains(head, '
 def context_judged(spark, d):
     """Texts as contexts, held against their source's number and their language."""
     t = docs(spark, d)
-    return t.select("doc_id", X.gold_in_context(F.col("text"), F.col("lang")).alias("shown"), X.plausible(F.col("lang"), F.col("source"), F.substring("text", 1, 40)).alias("plausible"))
+    return t.select("doc_id", X.gold_in_context(F.col("text"), F.col("lang")).alias("shown"), X.plausible(F.col("lang"), F.col("source"), F.col("text")).alias("plausible"))
 
 
-SQL["context_judged"] = """SELECT doc_id, CASE WHEN contains(lower(text), 'no relevant') OR length(text) < 50 THEN false ELSE contains(text, lang) END AS shown, contains(lower(source || ' ' || substr(text, 1, 40)), lower(lang)) AS plausible FROM documents"""
+SQL["context_judged"] = """SELECT doc_id, CASE WHEN contains(lower(text), 'no relevant') OR length(text) < 50 THEN false ELSE contains(text, lang) END AS shown, contains(lower(source || ' ' || text), lower(lang)) AS plausible FROM documents"""
 
 
 @query
@@ -107,6 +107,17 @@ SQL["index_latency"] = """WITH r AS (SELECT event_type, value, row_number() OVER
 SELECT event_type, count(*) AS n, max(value) FILTER (WHERE r = n // 2) AS p50, max(value) FILTER (WHERE r = n * 95 // 100) AS p95 FROM r GROUP BY event_type"""
 
 
+@query
+def cold_warm_latency(spark, d):
+    """Events as runs: a user's first of a kind is cold."""
+    return metrics.cold_and_warm(table(spark, d, "events"), "event_type", "user_id", ["ts", "event_id"])
+
+
+SQL["cold_warm_latency"] = """WITH r AS (SELECT event_type, value, CASE WHEN row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) = 1 THEN 'cold' ELSE 'warm' END AS phase FROM events WHERE value IS NOT NULL),
+s AS (SELECT *, row_number() OVER (PARTITION BY event_type, phase ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type, phase) AS n FROM r)
+SELECT event_type, phase, count(*) AS count, max(value) FILTER (WHERE i = floor(50 * (n - 1) / 100)) AS p50, max(value) FILTER (WHERE i = floor(95 * (n - 1) / 100)) AS p95 FROM s GROUP BY event_type, phase"""
+
+
 def doc_files(spark, d):
     return docs(spark, d).select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("filepath"), "text")
 

@@ -28,6 +28,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, store: BlockStore, settings: Settings | None = None, embed: Embedder | None = None, scorer: Callable[[DataFrame], DataFrame] | None = None):
         self.spark, self.store, self.settings, self.embed, self.scorer = spark, store, settings or Settings(), embed, scorer
+        self.parsed = 0
         self._own = f"engine-{uuid.uuid4().hex}"
         self._held: dict[str | None, tuple[str | None, DataFrame]] = {}
 
@@ -36,10 +37,13 @@ class Engine:
         _ = self.settings.spec  # raises on an unknown name
 
     def index_tree(self, root: str, project: str) -> str:
-        """Read, parse and store the files below root."""
+        """Read, parse and store the files below root. Texts that were parsed before,
+        for whatever version or project, are not parsed again; ``parsed`` says how
+        many were."""
         s = self.settings
         found = files.read_files(self.spark, root, list(s.spec.patterns), s.exclude, s.max_file_kb)
-        rows = parsing.blocks(parsing.parse_files(found, s.max_file_kb)).withColumn("project_id", F.lit(project))
+        done, self.parsed = parsing.parse_unseen(found, f"{self._root()}/parsed", s.max_file_kb)
+        rows = parsing.blocks(done).withColumn("project_id", F.lit(project))
         if self.embed is not None and s.spec.embeddings:
             rows = self.embed(rows)  # adds vector
         return self.store.upsert(rows.drop("method"))
@@ -59,12 +63,15 @@ class Engine:
             self._held[project] = snapshot, rows
         return self._held[project][1]
 
+    def _root(self) -> str:
+        """Where what is derived from the blocks lies."""
+        return getattr(self.store, "path", None) or f"{scratch.shared_dir(self.spark)}/{self._own}"
+
     def _index(self, kind: str, project: str | None, build: Callable[[str], object]) -> str:
         """The folder of an index of what ``_blocks`` gives, built once a snapshot and
         kept beside the store; those of a store in memory lie in the shared folder."""
-        root = getattr(self.store, "path", None) or f"{scratch.shared_dir(self.spark)}/{self._own}"
         what = hashlib.sha256(repr((project, self.settings.root)).encode()).hexdigest()[:16]
-        return scratch.built(self.spark, f"{root}/{kind}/{self.store.snapshot()}/{what}", build)
+        return scratch.built(self.spark, f"{self._root()}/{kind}/{self.store.snapshot()}/{what}", build)
 
     def _postings(self, project: str | None) -> Postings:
         return Postings(self.spark, self._index("postings", project, lambda to: Postings.build(self._blocks(project), to, "project_id")))

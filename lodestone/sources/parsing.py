@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import ast
 import re
-import time
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from lodestone.schemas import FILE
@@ -215,17 +215,18 @@ def parse(code: str, lang: str) -> tuple[list[Row], list[Row]]:
     return PARSERS[lang](code) if lang in PARSERS else parse_patterns(code, lang)
 
 
-def parse_files(files: DataFrame, most_kb: int = 0, slow_s: float = 10.0) -> DataFrame:
+def parse_files(files: DataFrame, most_kb: int = 0) -> DataFrame:
     """A row of functions and classes for each file (filepath, text).
 
-    A file that is too large, fails, or took too long has an error and no blocks.
+    A file that is too large or fails has an error and no blocks; how long one
+    takes makes no difference, so results do not depend on the machine.
     """
 
     def run(batches):
         for pdf in batches:
             out = []
             for path, text, lang in pdf[["filepath", "text", "lang"]].itertuples(index=False):
-                functions, classes, error, began = [], [], None, time.monotonic()
+                functions, classes, error = [], [], None
                 if text is None:
                     error = "unreadable"
                 elif most_kb and len(text.encode()) > most_kb * 1024:
@@ -235,14 +236,50 @@ def parse_files(files: DataFrame, most_kb: int = 0, slow_s: float = 10.0) -> Dat
                         functions, classes = parse(text, lang)
                     except Exception as e:  # a bad file must not end the job
                         error = f"{type(e).__name__}: {e}"[:200]
-                if error is None and time.monotonic() - began > slow_s:
-                    functions, classes, error = [], [], "too slow"
                 out.append((path, functions, classes, error))
             yield pd.DataFrame(out, columns=["filepath", "functions", "classes", "error"])
 
     return files.select("filepath", "text", language(F.col("filepath")).alias("lang")).mapInPandas(run, FILE)
 
 
+#: Goes up when parsers give other results; part of the key of what is kept.
+PARSER_VERSION = 1
+
+
+def parse_unseen(files: DataFrame, kept: str, most_kb: int = 0) -> tuple[DataFrame, int]:
+    """What ``parse_files`` gives, and how many texts had to be parsed for it.
+
+    Results are kept in the folder ``kept`` by a hash of text and language, so
+    versions, projects and copies of a file share them; only texts that no earlier
+    call has seen are parsed, each once. The parsed files (filepath, text, ..) are
+    those given; what they look like is read from the folder.
+    """
+    spark = files.sparkSession
+    lang = language(F.col("filepath"))
+    key = F.sha2(F.concat_ws("|", F.lit(str(PARSER_VERSION)), F.lit(str(most_kb)), lang, F.when(F.col("text").isNull(), "unreadable").otherwise(F.concat(F.lit("text|"), "text"))), 256)
+    keyed = files.select("filepath", "text", lang.alias("lang"), key.alias("key")).persist()
+    kind = StructType([StructField("key", StringType()), *[f for f in FILE if f.name != "filepath"]])
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept)
+    known = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    held = lambda: spark.read.schema(kind).parquet(kept)
+    try:
+        new = keyed.groupBy("key").agg(F.min_by(F.struct("filepath", "text"), "filepath").alias("x")).select("key", "x.filepath", "x.text")
+        if known:
+            new = new.join(held().select("key"), "key", "left_anti")
+        new = new.persist()
+        count = new.count()
+        if count or not known:
+            # the key goes along in the path
+            done = parse_files(new.select(F.concat_ws("/", "key", "filepath").alias("filepath"), "text"), most_kb)
+            done.withColumn("key", F.substring("filepath", 1, 64)).select(*kind.names).write.mode("append").parquet(kept)
+        new.unpersist()
+        # two that parse the same at once may both keep it
+        once = held().dropDuplicates(["key"])
+        return files.select("filepath", key.alias("key")).join(once, "key").select(*FILE.names), count
+    finally:
+        keyed.unpersist()
+
+
 def blocks(parsed: DataFrame) -> DataFrame:
     """One row a block: functions, then methods as Class.method; ``method`` tells which."""
     f = parsed.select("filepath", F.explode("functions").alias("f"), F.lit(False).alias("method"))
