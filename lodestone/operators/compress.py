@@ -2,14 +2,13 @@
 
 A text is exploded once into (id, pos, line); stages are filters and windows
 within one text, so they share its partitioning by id, and the lines are put
-together again at the end. Only comment stripping, which must know what lies
-inside a string literal, runs in Python, on Arrow batches.
+together again at the end. All of it stays in the JVM, comment stripping too:
+a line is cut into strings and what lies between them.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -35,41 +34,42 @@ def text_of(lines: DataFrame) -> DataFrame:
     return lines.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
-def strip_line_comment(line: str, mark: str) -> str | None:
-    """The line without its comment; None if it is nothing else."""
-    bare = line.strip()
-    if mark in bare and any(m in bare for m in MARKERS):
-        return line
-    quote, escaped, cut = "", False, -1
-    for i, c in enumerate(line):
-        if not quote and line.startswith(mark, i):
-            cut = i
-        if escaped:
-            escaped = False
-        elif c == "\\":
-            escaped = bool(quote)
-        elif quote:
-            quote = "" if c == quote else quote
-        elif c in "'\"":
-            quote = c
-    if cut < 0:
-        return line
-    if line.lstrip().startswith(mark):
-        return None
-    return line[:cut].rstrip() or line
+#: Pieces of a line: what is outside quotes, a whole string, a string without end.
+#: Strings are unrolled and possessive: no piece is read twice.
+_PIECES = r"""[^'"]++|'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|['"].*"""
+_EDGE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def comment_place(line: Column, mark: str) -> Column:
+    """Characters before the last comment mark outside quotes; -1 without one."""
+    size = len(mark)
+
+    def step(state: Column, piece: Column) -> Column:
+        bare = ~(piece.startswith("'") | piece.startswith('"')) & piece.contains(mark)
+        at = state["pos"] + F.length(piece) - F.instr(F.reverse(piece), mark[::-1]) - size + 1
+        return F.struct((state["pos"] + F.length(piece)).alias("pos"), F.when(bare, at).otherwise(state["cut"]).alias("cut"))
+
+    start = F.struct(F.lit(0).alias("pos"), F.lit(-1).alias("cut"))
+    return F.aggregate(F.regexp_extract_all(line, F.lit(f"(?s){_PIECES}"), 0), start, step, lambda s: s["cut"])
+
+
+def without_comment(line: Column, mark: str) -> Column:
+    """The line without its comment; null if it is nothing else. A comment with a
+    word that marks it as wanted stays."""
+    cut, left = comment_place(line, mark), F.regexp_replace(line, f"^{_EDGE}", "")
+    wanted = F.lit(False)
+    for m in MARKERS:
+        wanted = wanted | line.contains(m)
+    rest = F.regexp_replace(F.substring(line, F.lit(1), cut), f"(?<!{_EDGE[:-1]}){_EDGE}$", "")
+    short = F.when(left.startswith(mark), F.lit(None)).otherwise(F.when(rest == "", line).otherwise(rest))
+    return F.when(~line.contains(mark) | wanted, line).when(cut < 0, line).otherwise(short)
 
 
 def remove_comments(lines: DataFrame, language: str = "python") -> DataFrame:
     mark = COMMENT.get(language)
     if mark is None:
         return lines
-
-    def run(batches):
-        for pdf in batches:
-            pdf = pdf.assign(line=pd.Series([strip_line_comment(x, mark) if mark in x else x for x in pdf["line"]], index=pdf.index, dtype=object))
-            yield pdf[pdf["line"].notna()]
-
-    return lines.mapInPandas(run, lines.schema)
+    return lines.withColumn("line", without_comment(F.col("line"), mark)).where("line IS NOT NULL")
 
 
 def remove_imports(lines: DataFrame, language: str = "python") -> DataFrame:

@@ -220,6 +220,38 @@ def compress_text(spark, d):
     return compress.compress(ids(spark, d), "aggressive").select("id", F.md5("compressed").alias("m"), "original_tokens", "compressed_tokens", "reduction_pct")
 
 
+#: A line's strings and what lies between them.
+PIECES = r"""(?s)[^'"]+|'[^'\\]*(?:\\.[^'\\]*)*'|"[^"\\]*(?:\\.[^"\\]*)*"|['"].*""".replace("'", "''")
+SQL["compress_text"] = rf"""WITH a AS (SELECT doc_id AS id, regexp_replace(coalesce(text, ''), '\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])', '', 'g') AS t FROM documents),
+l0 AS (SELECT id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM a),
+l1 AS (SELECT *, CASE WHEN contains(line, '#') AND NOT regexp_matches(line, '{"|".join(compress.MARKERS)}') THEN regexp_extract_all(line, '{PIECES}') END AS p FROM l0),
+l2 AS (SELECT *, list_max(list_filter(range(1, len(p) + 1), lambda i: p[i][1] <> '''' AND p[i][1] <> '"' AND contains(p[i], '#'))) AS k FROM l1),
+l3 AS (SELECT *, regexp_replace(substr(line, 1, length(array_to_string(p[1:k - 1], '')) + length(p[k]) - strpos(reverse(p[k]), '#')), '\s+$', '') AS cut FROM l2),
+l4 AS (SELECT id, pos, CASE WHEN k IS NULL OR cut = '' THEN line ELSE cut END AS line FROM l3 WHERE k IS NULL OR NOT regexp_matches(line, '^\s*#')),
+t1 AS (SELECT id, string_agg(line, chr(10) ORDER BY pos) AS t FROM l4 GROUP BY id),
+t2 AS (SELECT id, regexp_replace(regexp_replace(t, '"{{3}}[\s\S]*?"{{3}}', repeat('"', 3) || '...' || repeat('"', 3), 'g'), '''{{3}}[\s\S]*?''{{3}}', repeat('''', 3) || '...' || repeat('''', 3), 'g') AS t FROM t1),
+t3 AS (SELECT id, regexp_replace(regexp_replace(t, '\n\s*\n\s*\n', chr(10) || chr(10), 'g'), '(?m)[ \t\x0B\f\r]+$', '', 'g') AS t FROM t2),
+t4 AS (SELECT id, string_split(regexp_replace(regexp_replace(t, '^(?:[ \t\x0B\f\r]*\n)+', ''), '(?:\n[ \t\x0B\f\r]*)+$', ''), chr(10)) AS t FROM t3),
+m0 AS (SELECT id, unnest(t) AS line, generate_subscripts(t, 1) AS pos FROM t4),
+m1 AS (SELECT *, (starts_with(trim(line), 'import ') OR starts_with(trim(line), 'from ')) AND NOT starts_with(trim(line), 'importlib') AND NOT starts_with(trim(line), 'import_string') AS i FROM m0),
+m2 AS (SELECT *, coalesce(lag(i) OVER (PARTITION BY id ORDER BY pos), false) AS was FROM m1),
+m3 AS (SELECT id, pos, CASE WHEN i THEN '{compress.IMPORT_NOTE}' ELSE line END AS line FROM m2 WHERE NOT i OR NOT was),
+f0 AS (SELECT *, regexp_matches(line, '^\s*(def |async def |function |fn |func |class |@\w+)') AS h, CASE WHEN trim(line) <> '' THEN length(line) - length(ltrim(line)) END AS ind FROM m3),
+f1 AS (SELECT *, sum(h::INT) OVER (PARTITION BY id ORDER BY pos) AS fn FROM f0),
+f2 AS (SELECT *, NOT h AND ind <= first_value(ind) OVER (PARTITION BY id, fn ORDER BY pos) AS o FROM f1),
+f3 AS (SELECT *, CASE WHEN fn = 0 THEN true ELSE coalesce(max(o::INT) OVER (PARTITION BY id, fn ORDER BY pos), 0) = 1 END AS out FROM f2),
+f4 AS (SELECT *, count(*) OVER (PARTITION BY id, fn, out) AS n, row_number() OVER (PARTITION BY id, fn, out ORDER BY pos) AS r FROM f3),
+f5 AS (SELECT id, pos, CASE WHEN NOT out AND n > 15 AND r = 6 THEN '    # ... (' || (n - 10)::VARCHAR || ' lines omitted) ...' ELSE line END AS line FROM f4 WHERE out OR n <= 15 OR r <= 6 OR r > n - 5),
+d0 AS (SELECT *, regexp_replace(regexp_replace(trim(line), '\d+', 'N', 'g'), '[''"][^''"]*[''"]', '"..."', 'g') AS p, trim(line) = '' AS blank FROM f5),
+d1 AS (SELECT *, NOT blank AND row_number() OVER (PARTITION BY id, p ORDER BY pos) > 1 AS again FROM d0),
+d2 AS (SELECT *, coalesce(lag(again) OVER (PARTITION BY id ORDER BY pos), false) AS was FROM d1),
+d3 AS (SELECT id, pos, CASE WHEN again THEN '    # [duplicate pattern (1)]' ELSE line END AS line FROM d2 WHERE NOT again OR NOT was),
+x AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS r, count(*) OVER (PARTITION BY id) AS n FROM d3),
+c AS (SELECT id, string_agg(line, chr(10) ORDER BY pos) || CASE WHEN max(n) > 100 THEN chr(10) || chr(10) || '# ... (' || (max(n) - 100)::VARCHAR || ' more lines omitted) ...' ELSE '' END AS text FROM x WHERE r <= 100 GROUP BY id),
+z AS (SELECT doc_id AS id, coalesce(c.text, '') AS m, greatest(1, length(coalesce(d.text, '')) // 4)::BIGINT AS o, greatest(1, length(coalesce(c.text, '')) // 4)::BIGINT AS k FROM documents d LEFT JOIN c ON c.id = d.doc_id)
+SELECT id, md5(m) AS m, o AS original_tokens, k AS compressed_tokens, CASE WHEN o > 0 THEN round(100.0 * (1 - k / o), 1) ELSE 0.0 END AS reduction_pct FROM z"""
+
+
 @query
 def yaml_split(spark, d):
     f = ids(spark, d).select(F.col("id").cast("string").alias("filepath"), F.regexp_replace("text", r"\n([A-Z][a-z]) ", "\n---\nkind: $1\n").alias("text"))
