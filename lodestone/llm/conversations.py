@@ -472,3 +472,46 @@ def reports(spark: SparkSession, conversations: DataFrame, most_bytes: int | Non
     every = conversations.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
     none = {"audit": "", "repaired_sha256": hashlib.sha256().hexdigest()}
     return every.join(done, F.col("conv_id").eqNullSafe(F.col("c")), "left").select("conv_id", *[F.coalesce(F.col(c), F.lit(none.get(c, 0))).alias(c) for c in done.columns[1:]])
+
+
+def _plus(value: str, cost: str, letter: str) -> str:
+    """SQL of a chart value, eight digits of cost and the audit, after one more edit."""
+    return f"(lpad((substr({value}, 1, 8)::INTEGER + {cost})::VARCHAR, 8, '0') || substr({value}, 9) || '{letter}')"
+
+
+def _oracle() -> str:
+    """The chart as a recursion over rows; s0 .. s3: nothing said, a system row,
+    an open exchange, whole pairs."""
+    can = "r.fault NOT IN ('blank', 'duplicate')"
+    stay = "CASE WHEN r.fault = 'truncated' THEN 3 ELSE 0 END"
+
+    def say(states: str, role: str) -> str:
+        kept, other = (", ".join(_plus(f"st.{s}", stay + more, letter) for s in states.split()) for more, letter in (("", "K"), (" + 3", "R")))
+        return f"CASE WHEN {can} THEN CASE WHEN r.i = '{role}' THEN least({kept}) ELSE least({other}) END END"
+
+    gone = [_plus(f"st.s{i}", "4", "D") for i in range(4)]
+    system = f"CASE WHEN {can} AND r.i = 's' THEN {_plus('st.s0', stay, 'K')} END"
+    return rf"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(k, lambda x: ascii(x)::UBIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT) % 20 AS d FROM c),
+g AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE d WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE d <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM g),
+r AS MATERIALIZED (SELECT conv_id, turn, role, text, n, substr(role, 1, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM o),
+m AS (SELECT conv_id, max(n) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated FROM r GROUP BY conv_id),
+w AS (SELECT conv_id, count(*) AS illegal FROM (SELECT conv_id, lag(i) OVER (PARTITION BY conv_id ORDER BY n) || i AS pair FROM r) WHERE pair NOT IN ('su', 'ua', 'au') GROUP BY conv_id),
+st AS (SELECT conv_id, 0::BIGINT AS n, '00000000' AS s0, NULL::VARCHAR AS s1, '00000003I' AS s2, '00000006II' AS s3 FROM m
+  UNION ALL SELECT conv_id, n, s0, s1, least(s2, {_plus('s0', '3', 'I')}, {_plus('s1', '3', 'I')}, {_plus('s3', '3', 'I')}), least(s3, {_plus('s2', '3', 'I')}, {_plus(_plus('s0', '3', 'I'), '3', 'I')}, {_plus(_plus('s1', '3', 'I'), '3', 'I')})
+  FROM (SELECT r.conv_id, r.n, {gone[0]} AS s0, least({gone[1]}, {system}) AS s1, least({gone[2]}, {say('s0 s1 s3', 'u')}) AS s2, least({gone[3]}, {say('s2', 'a')}) AS s3
+        FROM st JOIN r ON r.conv_id IS NOT DISTINCT FROM st.conv_id AND r.n = st.n + 1)),
+e AS (SELECT m.*, least(st.s0, st.s3) AS best FROM m JOIN st ON st.conv_id IS NOT DISTINCT FROM m.conv_id AND st.n = m.rows),
+a AS (SELECT *, substr(best, 9) AS audit FROM e),
+l AS (SELECT conv_id, audit, unnest(string_split(audit, '')) AS x, generate_subscripts(string_split(audit, ''), 1) AS p FROM a WHERE audit <> ''),
+q AS (SELECT *, count(*) FILTER (WHERE x <> 'I') OVER v AS n, count(*) FILTER (WHERE x <> 'D') OVER v - 1 AS j, length(replace(audit, 'D', '')) % 2 AS odd FROM l WINDOW v AS (PARTITION BY conv_id ORDER BY p)),
+f AS (SELECT q.conv_id, string_agg(CASE WHEN x = 'K' THEN r.role WHEN (j - odd) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN x = 'I' THEN '' ELSE r.text END, chr(10) ORDER BY p) AS text
+      FROM q LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM q.conv_id AND r.n = q.n AND x <> 'I' WHERE x <> 'D' GROUP BY q.conv_id),
+z AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(substr(best, 1, 8)::BIGINT, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(f.text, '')) AS repaired_sha256
+FROM z LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
+
+#: The query's result in DuckDB's SQL.
+SQL = _oracle()

@@ -88,4 +88,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_suffix_dedup, op2_topk_search, op3_superminhash, op4_token_counts, op5_pii, op6_mixing, op7_line_dedup, op8_quality_rules, op9_pairwise_quality, op10_packing, op11_conversation_repair, op12_periodic_runs, op13_simhash)
 }
-SQL: dict[str, str] = {"op2_topk_search": topk_search.SQL, "op3_superminhash": near_dedup.SQL, "op6_mixing": mixing.SQL, "op7_line_dedup": line_dedup.SQL, "op8_quality_rules": quality_rules.SQL}
+SQL: dict[str, str] = {"op11_conversation_repair": conversations.SQL, "op2_topk_search": topk_search.SQL, "op3_superminhash": near_dedup.SQL, "op6_mixing": mixing.SQL, "op7_line_dedup": line_dedup.SQL, "op8_quality_rules": quality_rules.SQL}
