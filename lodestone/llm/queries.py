@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import conversations, line_dedup, mixing, near_dedup, packing, pairwise_quality, pii, quality_rules, runs, simhash, suffix_dedup, tokens, topk_search
+from .storage import sound
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    sound(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
