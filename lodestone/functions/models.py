@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 
@@ -67,6 +68,36 @@ def answer_score(answer, similarity):
     return F.when(n == "", similarity).otherwise(F.least(F.lit(10), n.try_cast("int")) / 10.0)
 
 
+#: What a generator is asked about a candidate.
+RELEVANCE = "Question:\n{query}\n\nCode:\n{text}\n\nFrom 0 (unrelated) to 10 (answers it), how well does the code answer the question? Reply with the number."
+
+
+def asking_reranker(load: Callable[[], Callable[[list[str]], list[str]]], texts: DataFrame, queries: DataFrame, first: int = 10, chars: int = 800) -> Callable[[DataFrame], DataFrame]:
+    """A scorer for fusion.rerank that asks a generator: the ``first`` candidates of
+    each query, by similarity, with the first ``chars`` characters of their text;
+    the first integer of an answer is the score. The other candidates, and those
+    whose answer holds no integer, keep their similarity."""
+
+    @F.pandas_udf("string")
+    def answers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for prompts in batches:
+            yield pd.Series(model(list(prompts)), index=prompts.index, dtype=object)
+
+    def run(hits: DataFrame) -> DataFrame:
+        place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("score"), "id"))
+        placed = hits.withColumn("_n", place)
+        asked = placed.where(F.col("_n") <= first).select("query_id", "id").join(texts.select("id", "text"), "id").join(queries.select("query_id", "query"), "query_id")
+        head, tail = RELEVANCE.split("{query}")
+        middle, end = tail.split("{text}")
+        prompt = F.concat(F.lit(head), F.coalesce("query", F.lit("")), F.lit(middle), F.substring(F.coalesce("text", F.lit("")), 1, chars), F.lit(end))
+        answered = asked.select("query_id", "id", answers(prompt).alias("_answer"))
+        both = placed.join(answered, ["query_id", "id"], "left")
+        return both.withColumn("rerank_score", F.round(answer_score(F.col("_answer"), F.col("similarity")), 4)).drop("_n", "_answer")
+
+    return run
+
+
 def overlap_scores(queries: list[str], texts: list[str]) -> list[float]:
     """Share of a query's words that a text holds."""
     words = lambda s: set(re.findall(r"[a-z0-9]+", s.lower()))

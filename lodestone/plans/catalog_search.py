@@ -25,6 +25,7 @@ def query(f):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    scratch.sound(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 

@@ -28,7 +28,8 @@ class Engine:
 
     def __init__(self, spark: SparkSession, store: BlockStore, settings: Settings | None = None, embed: Embedder | None = None, scorer: Callable[[DataFrame], DataFrame] | None = None):
         self.spark, self.store, self.settings, self.embed, self.scorer = spark, store, settings or Settings(), embed, scorer
-        self.parsed = 0
+        self.parsed = self.searched = 0
+        scratch.sound(spark)
         self._own = f"engine-{uuid.uuid4().hex}"
         self._held: dict[str | None, tuple[str | None, DataFrame]] = {}
 
@@ -109,6 +110,32 @@ class Engine:
         cols = ["query_id", "rank", "id", "score", "similarity", "rerank_score", "raw_cosine"]
         return hits.select(*cols).join(b.select("id", "project_id", "filepath", F.col("name").alias("function"), F.col("text").alias("code")), "id")
 
+    def cached_search(self, queries: DataFrame, project: str | None = None, k: int | None = None, mode: str | None = None, guard: bool = True) -> DataFrame:
+        """``search`` behind a cache of answers: only texts that were not asked of this
+        snapshot in this way are searched, each once, whatever its query_id;
+        ``searched`` says how many. Answers lie beside the store, so other sessions
+        find them; a new snapshot has a cache of its own."""
+        s = self.settings
+        what = repr((project, k or s.top_k, mode or s.mode, guard, s.profile, s.lexical, s.rerank, s.least_cosine, s.root))
+        at = f"{self._root()}/answers/{self.store.snapshot()}/{hashlib.sha256(what.encode()).hexdigest()[:16]}"
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = path(at).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        keyed = queries.select("query_id", "query", F.sha2(F.coalesce("query", F.lit("")), 256).alias("key"))
+        new = keyed.groupBy(F.col("key").alias("query_id")).agg(F.first("query").alias("query"))
+        if fs.exists(path(f"{at}/asked")):
+            new = new.join(self.spark.read.parquet(f"{at}/asked"), F.col("query_id") == F.col("key"), "left_anti")
+        new = new.persist()
+        self.searched = new.count()
+        if self.searched:
+            self.search(new, project, k, mode, guard).withColumnRenamed("query_id", "key").write.mode("append").parquet(f"{at}/hits")
+            new.select(F.col("query_id").alias("key")).write.mode("append").parquet(f"{at}/asked")  # last: what is asked has its hits
+        new.unpersist()
+        if not fs.exists(path(f"{at}/hits")):  # no queries at all
+            return self.search(queries, project, k, mode, guard)
+        # two that search the same at once may both keep it
+        hits = self.spark.read.parquet(f"{at}/hits").dropDuplicates(["key", "rank"])
+        return keyed.select("query_id", "key").join(hits, "key").drop("key")
+
     def fused(self, queries: DataFrame, k: int = 5, project: str | None = None, prefix: str | None = None, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """query_id, rank, id, score, similarity, rerank_score: full text and
         vectors fused over one store; full text alone without an embedder. A hit

@@ -86,3 +86,24 @@ def test_means_of_all_pairs_without_pairs(spark, monkeypatch):
     r = evaluate.gap_of_means(vector.score_means(v, q, "label")).first()
     a, b = (sum(pairs[x]) / len(pairs[x]) for x in (True, False))
     assert (r.relevant_mean, r.other_mean, r.gap) == (round(a, 4), round(b, 4), round(a - b, 4))
+
+
+def test_groups_over_a_union_stay_whole(spark):
+    """Two ranked frames, dealt by the query, are put together and ranked again."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window as W
+
+    from lodestone.sources.scratch import sound
+
+    sound(spark)
+    assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
+    rng = random.Random(3)
+    v = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(500)], "id long, vector array<double>")
+    q = v.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    both = vector.nearest(v.where("id % 2 = 0"), q, 2).unionByName(vector.nearest(v.where("id % 2 <> 0"), q, 2))
+    arms = None
+    for less in (0.0, 0.05):
+        w = W.partitionBy("query_id").orderBy(F.desc("s"), "id")
+        best = both.where("id <> query_id").withColumn("s", F.col("score") - less * (F.col("id") % 2)).withColumn("r", F.row_number().over(w)).where("r = 1").select(F.lit(less).alias("arm"), "query_id")
+        arms = best if arms is None else arms.unionByName(best)
+    assert {r["count"] for r in arms.groupBy("arm", "query_id").count().collect()} == {1} and arms.count() == 50
