@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.operators import evaluate, metrics
+from lodestone.operators import evaluate, memory, metrics, workspace
 from lodestone.sources import files
 from lodestone.streaming import watch
 
 from .catalog_search import SQL as SEARCH_SQL
-from .catalog_search import context_assembly, table
+from .catalog_search import context_assembly, context_hits, table
+from .catalog_tables import SQL as TABLES_SQL
+from .catalog_tables import notes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,6 +109,20 @@ SQL["index_latency"] = """WITH r AS (SELECT event_type, value, row_number() OVER
 SELECT event_type, count(*) AS n, max(value) FILTER (WHERE r = n // 2) AS p50, max(value) FILTER (WHERE r = n * 95 // 100) AS p95 FROM r GROUP BY event_type"""
 
 
+@query
+def context_with_map(spark, d):
+    """Contexts with a map of the files and the tail of the memory logs."""
+    t = table(spark, d, "documents")
+    files_ = t.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("filepath"), F.col("lang").alias("names"))
+    out = workspace.assemble(context_hits(spark, d), memory.tail(memory.entry(notes(spark, d)), 10, 40), files_)
+    return out.select("query_id", F.md5("context").alias("context_md5"), "tokens")
+
+
+SQL["context_with_map"] = SEARCH_SQL["context_assembly"].rsplit("SELECT query_id, md5", 1)[0] + f""", mp AS (SELECT string_agg(f, chr(10) ORDER BY f) AS map FROM (SELECT source || '/' || doc_id::VARCHAR || ': ' || lang AS f FROM documents ORDER BY source || '/' || doc_id::VARCHAR LIMIT 20)),
+me AS (SELECT max(text) AS memory FROM ({TABLES_SQL["memory_tail"]})), fin AS (SELECT query_id, context || chr(10) || chr(10) || '## Files' || chr(10) || map || chr(10) || chr(10) || '## Recent changes' || chr(10) || memory AS context FROM c, mp, me)
+SELECT query_id, md5(context) AS context_md5, greatest(1, length(context) // 4)::BIGINT AS tokens FROM fin"""
+
+
 @query
 def cold_warm_latency(spark, d):
     """Events as runs: a user's first of a kind is cold."""

@@ -437,11 +437,14 @@ def first_hit_rank(spark, d):
 SQL["first_hit_rank"] = f"WITH {VECTORS}, t AS {top_sql('vs', 8)} SELECT query_id, min(rank) FILTER (WHERE label = ql AND id <> query_id)::INTEGER AS hit_rank FROM t GROUP BY query_id"
 
 
+def context_hits(spark, d):
+    hits = lexical.bm25(docs(spark, d), asked(spark, d), 5, index=index(spark, d))
+    return fusion.minmax(hits).join(docs(spark, d).select("id", F.col("name").alias("function"), F.col("source").alias("filepath"), F.col("text").alias("code")), "id")
+
+
 @query
 def context_assembly(spark, d):
-    hits = lexical.bm25(docs(spark, d), asked(spark, d), 5, index=index(spark, d))
-    hits = fusion.minmax(hits).join(docs(spark, d).select("id", F.col("name").alias("function"), F.col("source").alias("filepath"), F.col("text").alias("code")), "id")
-    return workspace.assemble(hits).select("query_id", F.md5("context").alias("context_md5"), "tokens")
+    return workspace.assemble(context_hits(spark, d)).select("query_id", F.md5("context").alias("context_md5"), "tokens")
 
 
 SQL["context_assembly"] = f"""WITH {BM25}, s AS {FILLED.format(n=10)}, t AS {top_sql('s', 5)}, m AS (SELECT t.*, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM t),

@@ -29,6 +29,7 @@ class Engine:
     def __init__(self, spark: SparkSession, store: BlockStore, settings: Settings | None = None, embed: Embedder | None = None, scorer: Callable[[DataFrame], DataFrame] | None = None):
         self.spark, self.store, self.settings, self.embed, self.scorer = spark, store, settings or Settings(), embed, scorer
         self.parsed = self.searched = 0
+        self._maps: dict[str, str] = {}
         scratch.sound(spark)
         self._own = f"engine-{uuid.uuid4().hex}"
         self._held: dict[str | None, tuple[str | None, DataFrame]] = {}
@@ -47,7 +48,15 @@ class Engine:
         rows = parsing.blocks(done).withColumn("project_id", F.lit(project))
         if self.embed is not None and s.spec.embeddings:
             rows = self.embed(rows)  # adds vector
-        return self.store.upsert(rows.drop("method"))
+        at = f"{self._root()}/maps/{uuid.uuid4().hex}"
+        parsing.repo_map(done).write.parquet(at)
+        self._maps[project] = at
+        return self.store.upsert(rows.drop("method"), meta={f"map/{project}": at})
+
+    def repo_map(self, project: str) -> DataFrame | None:
+        """filepath and names of the project's files, as they were last indexed."""
+        at = self.store.meta().get(f"map/{project}", self._maps.get(project))
+        return None if at is None else self.spark.read.parquet(at)
 
     def _blocks(self, project: str | None) -> DataFrame:
         """The blocks that a search of a project may see: its own, and those of
@@ -152,8 +161,10 @@ class Engine:
         return scored.select("query_id", "rank", "id", "score", "similarity", "rerank_score", "raw_cosine")
 
     def assemble(self, queries: DataFrame, project: str | None = None, memory: DataFrame | None = None) -> DataFrame:
-        """query_id, context, tokens after compression and the tool's cap."""
-        found = workspace.assemble(self.search(queries, project), memory)
+        """query_id, context, tokens after compression and the tool's cap. The context
+        holds the hits, the project's files, and the memory log's tail if given."""
+        files_ = self.repo_map(project) if project is not None else None
+        found = workspace.assemble(self.search(queries, project), memory, files_)
         small = compress.compress(found.select(F.col("query_id").alias("id"), F.col("context").alias("text")), self.settings.compression, headers=True)
         text = X.truncate_tokens(F.col("compressed"), self.settings.tool_tokens)
         return small.select(F.col("id").alias("query_id"), text.alias("context"), X.approx_tokens(text).alias("tokens"), "reduction_pct", "strategies")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.operators.metrics import keep_last, retained
+from lodestone.operators import memory
 from lodestone.plans.profiles import PROFILES, Settings
 
 EVENT = T.StructType([
@@ -44,6 +45,45 @@ class EventLog:
         return retained(self.read(), now, days, most)
 
 
+class MemoryLog:
+    """Notes of several logs (log_id, ts, note). An append rotates and compacts in
+    the same step: it writes a new generation, which readers see whole or not at
+    all, and drops the one before."""
+
+    SCHEMA = "log_id string, ts timestamp_ntz, seq long, note string"
+
+    def __init__(self, spark: SparkSession, path: str, most: int = 50, limit: int = 200):
+        self.spark, self.path, self.most, self.limit = spark, path.rstrip("/"), most, limit
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _generations(self) -> list[int]:
+        if not self._fs.exists(self._path(self.path)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.path))]
+        return sorted(int(n[2:]) for n in names if n.startswith("g=") and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS")))
+
+    def read(self) -> DataFrame:
+        held = self._generations()
+        if not held:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/g={held[-1]}")
+
+    def append(self, notes: DataFrame) -> None:
+        """notes(log_id, ts, note): then each log keeps its newest, long logs are compacted."""
+        held, old = self._generations(), self.read()
+        n = held[-1] if held else 0
+        base = F.lit(n + 1).cast("long") * (1 << 40)  # what comes later stands later
+        new = notes.select(F.col("log_id").cast("string").alias("log_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), (base + F.pmod(F.xxhash64("note"), F.lit(1 << 40))).alias("seq"), "note")
+        memory.compact(memory.rotate(old.unionByName(new), self.most), self.limit).write.parquet(f"{self.path}/g={n + 1}")
+        for g in held[:-1]:  # readers of the last one may still be at it
+            self._fs.delete(self._path(f"{self.path}/g={g}"), True)
+
+    def tail(self, last: int = 10, budget: int | None = None) -> DataFrame:
+        """log_id and text of each log's newest lines."""
+        return memory.tail(memory.entry(self.read()), last, budget)
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Whole-document JSON files, by a given schema where there is one."""
     r = spark.read.option("multiLine", "true")

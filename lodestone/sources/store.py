@@ -234,7 +234,7 @@ class MemoryStore:
     versions, nothing is written."""
 
     def __init__(self, spark: SparkSession, path: str = ""):
-        self.spark, self._rows, self._n = spark, spark.createDataFrame([], STORED), 0
+        self.spark, self._rows, self._n, self._meta = spark, spark.createDataFrame([], STORED), 0, {}
 
     _stored, _named, _own = BlockStore._stored, BlockStore._named, BlockStore._own
 
@@ -255,7 +255,11 @@ class MemoryStore:
         named = [project] if isinstance(project, str) else project
         return self._rows if named is None else self._rows.where(F.col("project_id").isin(list(named)))
 
-    def upsert(self, blocks: DataFrame) -> str:
+    def meta(self) -> dict:
+        return self._meta
+
+    def upsert(self, blocks: DataFrame, meta: dict | None = None) -> str:
+        self._meta |= meta or {}
         new = latest(self._stored(blocks), ["project_id", "id"])
         return self._set(merged(self._rows, new, ["project_id", "id"]))
 
