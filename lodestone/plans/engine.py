@@ -43,7 +43,7 @@ class Engine:
         for whatever version or project, are not parsed again; ``parsed`` says how
         many were."""
         s = self.settings
-        found = files.read_files(self.spark, root, list(s.spec.patterns), s.exclude, s.max_file_kb)
+        found = files.read_files(self.spark, root, list(s.spec.patterns), s.exclude, s.max_file_kb, s.source_roots)
         done, self.parsed = parsing.parse_unseen(found, f"{self._root()}/parsed", s.max_file_kb)
         rows = parsing.blocks(done).withColumn("project_id", F.lit(project))
         if self.embed is not None and s.spec.embeddings:

@@ -35,6 +35,7 @@ class Settings:
     rerank: bool = False
     least_cosine: float = 0.82
     exclude: list[str] = field(default_factory=lambda: ["**/node_modules/**", "**/.git/**", "**/__pycache__/**", "**/migrations/**"])
+    source_roots: list[str] = field(default_factory=list)  # folders below the tree's root; all of it without any
     max_file_kb: int = 0
     tool_tokens: int = 8000
     session_window: int = 120_000

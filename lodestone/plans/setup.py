@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +61,7 @@ def doctor(spark: SparkSession, root: str, store: BlockStore) -> list[tuple[str,
 
 def dry_run(spark: SparkSession, root: str, s: Settings) -> DataFrame:
     """language, files and bytes that indexing would read."""
-    found = files.read_files(spark, root, list(s.spec.patterns), s.exclude, s.max_file_kb)
+    found = files.read_files(spark, root, list(s.spec.patterns), s.exclude, s.max_file_kb, s.source_roots)
     return found.groupBy(files.language(F.col("filepath")).alias("language")).agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes")).orderBy("language")
 
 
@@ -68,6 +70,8 @@ def follow(engine: Engine, root: str, project: str, every: str | None = None) ->
     or every so often."""
     s, own = engine.settings, os.path.join(state.index_location(root), "stream")
     stream = listing.tree_changes(engine.spark, root, f"{own}/listings", list(s.spec.patterns), s.exclude)
+    if s.source_roots:
+        stream = stream.where(reduce(or_, [F.col("filepath").startswith(r.strip("/") + "/") for r in s.source_roots if r != "."] or [F.lit(True)]))
     parse = lambda d: parsing.blocks(parsing.parse_files(d, s.max_file_kb)).drop("method").withColumn("project_id", F.lit(project))
     return watch.maintain(stream, engine.store, parse, f"{own}/checkpoint", every, project)
 
@@ -77,7 +81,7 @@ def janitor(engine: Engine, root: str, project: str, since: str) -> str:
     went go, files that changed are parsed again. Returns the current commit."""
     s, repo = engine.settings, Repository(root)
     feed = repo.changed(engine.spark, since)
-    found = files.read_files(engine.spark, root, list(s.spec.patterns), s.exclude, s.max_file_kb)
+    found = files.read_files(engine.spark, root, list(s.spec.patterns), s.exclude, s.max_file_kb, s.source_roots)
     named = found.join(feed.where("change <> 'deleted'").select("filepath"), "filepath", "left_semi")
     blocks = parsing.blocks(parsing.parse_files(named, s.max_file_kb)).drop("method").withColumn("project_id", F.lit(project))
     engine.store.apply_changes(blocks, feed, project)

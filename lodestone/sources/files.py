@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,13 +73,32 @@ def watched(path: Column, include: list[str], exclude: list[str]) -> Column:
     return any_of(name, include, lambda p: f"^{_segment(p)}$") & ~any_of(path, exclude, whole)
 
 
-def read_files(spark: SparkSession, root: str, patterns: list[str], exclude: list[str] | None = None, max_kb: int = 0) -> DataFrame:
-    """filepath (relative to root), text, modified of the files below root.
+def chosen_roots(spark: SparkSession, root: str, within: list[str] | None) -> list[str]:
+    """The folders below root to read: those that exist, and none inside another."""
+    base = root.rstrip("/")
+    named = sorted({posixpath.normpath(w.strip("/") or ".") for w in within or ["."]}, key=len)
+    if any(w.startswith("..") for w in named):
+        raise ValueError("a source root lies outside the tree")
+    kept = []
+    for w in named:
+        if not any(k == "." or w == k or w.startswith(f"{k}/") for k in kept):
+            kept.append(w)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [at for at in (base if k == "." else f"{base}/{k}" for k in sorted(kept)) if fs.exists(path(at))]
+
+
+def read_files(spark: SparkSession, root: str, patterns: list[str], exclude: list[str] | None = None, max_kb: int = 0, source_roots: list[str] | None = None) -> DataFrame:
+    """filepath (relative to root), text, modified of the files below root, or
+    below its ``source_roots``, each file once.
 
     Paths are pruned before any content is read; bytes that are no UTF-8 are replaced.
     """
+    roots = chosen_roots(spark, root, source_roots)
+    if not roots and source_roots:
+        return spark.createDataFrame([], "filepath string, text string, modified timestamp")
     names = "{" + ",".join(sorted(set(patterns))) + "}" if len(set(patterns)) > 1 else patterns[0]
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root)
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(roots or root)
     base = root.rstrip("/").removeprefix("file:")
     d = d.withColumn("filepath", F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(base) + "/", ""))
     d = d.where(~excluded(F.col("filepath"), exclude or []))
