@@ -61,6 +61,14 @@ def identifiers(text: Column) -> Column:
     return F.array_distinct(F.concat(pairs(declared, True), pairs(dotted, True), pairs(prefixed, False), F.regexp_extract_all(low, F.lit(r"\bkind\s*:\s*([a-z][a-z0-9-]*)"), 1)))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """Rounded as SQL engines round binary numbers: scaled up, to the next whole
+    number, scaled down. Spark's own round works on the decimal notation, in which
+    0.5005 is a tie; scaled up as a binary number it lies below it."""
+    scale = F.lit(10.0**places)
+    return F.round(value * scale) / scale
+
+
 def normalised_query(query: Column) -> Column:
     """Trimmed, lower-cased, white space collapsed."""
     return F.trim(F.regexp_replace(F.lower(query), r"\s+", " "))
@@ -165,4 +173,4 @@ def content_text(blocks: Column) -> Column:
 
 def hit_line(rank: Column, function: Column, filepath: Column, similarity: Column, code: Column) -> Column:
     """A hit as a line with a preview of 200 characters."""
-    return F.concat(rank.cast("string"), F.lit(". "), function, F.lit(" ("), filepath, F.lit(") "), F.format_string("%.3f", F.round(similarity, 3)), F.lit("\n"), F.substring(code, 1, 200))
+    return F.concat(rank.cast("string"), F.lit(". "), function, F.lit(" ("), filepath, F.lit(") "), F.format_string("%.3f", rounded(similarity, 3)), F.lit("\n"), F.substring(code, 1, 200))
