@@ -5,7 +5,9 @@ like angles to it. A query at angle q from a centroid is, by the triangle
 inequality on the sphere, at least q - hi and at least lo - q from every vector of
 a shell with angles lo..hi; that bounds the cosine. The shells of the highest
 bounds are scored first and give a cutoff, and of the others only those are read
-whose bound reaches it. So the answer is that of a scan. How much is skipped
+whose bound reaches it. Shells lie together in segments of bounded size, which are
+read whole: a query goes to each segment once, however many shells it holds, and
+brings its cutoff along. So the answer is that of a scan. How much is skipped
 depends on the vectors: clustered ones allow much, random directions of many
 components nearly nothing; ``search`` can say it.
 
@@ -28,14 +30,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 from pyspark.sql.window import Window as W
 
-from lodestone.sources.scratch import Tables, ship
+from lodestone.sources.scratch import Tables, discard, ship
 
 from .scan import unit_rows
 
 #: Vectors that centroids are fitted on, most cells of a dimension, shells of a half turn.
 SAMPLE, MOST_CELLS, SHELLS = 4096, 1024, 64
-#: Vectors of a shell in one group, queries that meet it there, vectors that are scored first.
-BLOCK_ROWS, BLOCK_QUERIES, FIRST_ROWS = 4096, 4096, 512
+#: Vectors of a segment, queries that meet it in one group, vectors that are scored first.
+BLOCK_ROWS, BLOCK_QUERIES, FIRST_ROWS = 8192, 8192, 512
+#: Scores that are computed at once.
+CELLS = 1 << 20
 #: More than rounding to four places and angles cost.
 SLACK = 1e-4
 
@@ -83,10 +87,14 @@ class Cells:
         vectors.mapInArrow(_assigner(centres, to_arrow_schema(schema)), schema).write.mode("overwrite").parquet(f"{at}/raw")
         raw = spark.read.schema(schema).parquet(f"{at}/raw")
         key = ["dim", "cell", "shell"]
-        shells = raw.groupBy(*key).agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))
-        shells.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).write.mode("overwrite").parquet(f"{at}/shells")
-        dealt = raw.join(spark.read.parquet(f"{at}/shells").select(*key, "blocks"), key).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).drop("blocks")
-        dealt.repartitionByRange(*key, "block").sortWithinPartitions(*key, "block").write.mode("overwrite").parquet(f"{at}/rows")
+        shells = raw.groupBy(*key).agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi")).orderBy(*key).toPandas()
+        shells["segment"], shells["blocks"] = _segments(shells["dim"].to_numpy(), shells["n"].to_numpy())
+        kinds = "dim int, cell int, shell int, n long, lo double, hi double, segment int, blocks int"
+        spark.createDataFrame([tuple(r) for r in shells.astype(object).to_numpy().tolist()], kinds).coalesce(1).write.mode("overwrite").parquet(f"{at}/shells")
+        place = (F.col("segment") + F.pmod(F.xxhash64("id"), "blocks")).cast("int").alias("segment")
+        dealt = raw.join(spark.read.parquet(f"{at}/shells").select(*key, "segment", "blocks"), key).select("id", "filepath", "vector", place)
+        dealt.repartitionByRange("segment").sortWithinPartitions("segment").write.mode("overwrite").parquet(f"{at}/rows")
+        discard(spark, f"{at}/raw")
         spark.createDataFrame([(json.dumps({d: c.tolist() for d, c in centres.items()}),)], "centres string").coalesce(1).write.mode("overwrite").parquet(f"{at}/centres")
         return cls(spark, at)
 
@@ -105,20 +113,27 @@ class Cells:
         rest = self._pairs(asked.join(cutoff, F.col("query_id") == F.col("_q"), "left").drop("_q"), k, groups, False)
         if read is not None:
             rest = tables.keep(rest, "rest")
-            size = self.spark.createDataFrame(self.shells[["dim", "cell", "shell", "n"]])
+            size = self.rows.groupBy("segment").agg(F.count("*").alias("n"))
             for phase, pairs in (("first", self._pairs(asked.withColumn("cutoff", F.lit(None).cast("double")), k, groups, True)), ("rest", rest)):
-                used = pairs.where("block = 0").join(size, ["dim", "cell", "shell"]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+                used = pairs.join(size, "segment").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
                 read.append((phase, used, int(self.shells["n"].sum()) * n))
         return first.unionByName(self._scored(rest, k, prefix))
 
     def _pairs(self, asked: DataFrame, k: int, groups: int, first: bool) -> DataFrame:
-        """The blocks that each query is to meet: without a cutoff those of the
+        """The segments that each query is to meet: without a cutoff those of the
         highest bounds, else the others that reach it."""
-        dims, cell, n, lo, hi, blocks = (self.shells[c].to_numpy() for c in ("dim", "cell", "n", "lo", "hi", "blocks"))
-        shell, centres, need = self.shells["shell"].to_numpy(), self.centres, max(k, FIRST_ROWS)
-        out = StructType([asked.schema["query_id"]]).add("vector", ArrayType(DoubleType())).add("dim", "integer").add("cell", "integer").add("shell", "integer").add("block", "integer")
+        dims, cell, n, lo, hi, begin, blocks = (self.shells[c].to_numpy() for c in ("dim", "cell", "n", "lo", "hi", "segment", "blocks"))
+        centres, need = self.centres, max(k, FIRST_ROWS)
+        # a segment has several shells, or a shell several segments; both are in one order
+        held = np.repeat(np.arange(len(n)), blocks)
+        segment = begin[held] + np.arange(len(held)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        starts = np.flatnonzero(np.diff(segment, prepend=-1))
+        out = StructType([asked.schema["query_id"]]).add("vector", ArrayType(DoubleType())).add("cutoff", "double").add("segment", "integer")
         schema = to_arrow_schema(out)
 
+        def segments(shells: np.ndarray) -> np.ndarray:
+            return np.logical_or.reduceat(shells[:, held], starts, axis=1) if len(starts) else np.zeros((len(shells), 0), bool)
+
         def bounds(vectors: list) -> np.ndarray:
             """(queries, shells): the most that a score can be."""
             most = np.full((len(vectors), len(dims)), 0.5)
@@ -141,25 +156,22 @@ class Cells:
                     before = np.cumsum(n[order], axis=1) - n[order]
                     taken = np.zeros(most.shape, bool)
                     np.put_along_axis(taken, order, before < need, axis=1)
+                    meets = segments(taken)
                     if not first:
                         least = np.nan_to_num(cutoffs[at : at + 64].astype(float), nan=-1.0)
-                        taken = ~taken & (most >= least[:, None] - SLACK)
-                    q, s = np.nonzero(taken)
-                    q, s = np.repeat(q, blocks[s]), np.repeat(s, blocks[s])
-                    new = np.concatenate(([True], (s[1:] != s[:-1]) | (q[1:] != q[:-1]))) if len(s) else np.zeros(0, bool)
-                    start = np.flatnonzero(new)
-                    block = np.arange(len(s)) - np.repeat(start, np.diff(np.concatenate((start, [len(s)]))))
+                        meets = ~meets & segments(most >= least[:, None] - SLACK)
+                    q, s = np.nonzero(meets)
                     for lo_ in range(0, len(s), 4096):
                         part = slice(lo_, lo_ + 4096)
                         who = pa.array(q[part] + at)
-                        yield pa.RecordBatch.from_arrays([b.column("query_id").take(who), b.column("vector").take(who), *(pa.array(x[s[part]].astype(np.int32)) for x in (dims, cell, shell)), pa.array(block[part].astype(np.int32))], schema=schema)
+                        yield pa.RecordBatch.from_arrays([*(b.column(c).take(who) for c in ("query_id", "vector", "cutoff")), pa.array(segment[starts][s[part]].astype(np.int32))], schema=schema)
 
         return asked.mapInArrow(run, out).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
 
     def _scored(self, pairs: DataFrame, k: int, prefix: str | None) -> DataFrame:
-        key = ["dim", "cell", "shell", "block"]
+        """query_id, id, score: of each segment the k best that reach the query's cutoff."""
         rows = self.rows if prefix is None else self.rows.where(F.col("filepath").startswith(prefix))
-        met = pairs.select(*[F.col(c).alias(c) for c in (*key, "qb")]).distinct().join(rows.select(*key, "id", F.col("vector").alias("own")), key)
+        met = pairs.select(*[F.col(c).alias(c) for c in ("segment", "qb")]).distinct().join(rows.select("segment", "id", F.col("vector").alias("own")), "segment")
         out = StructType([pairs.schema["query_id"]]).add("id", rows.schema["id"].dataType).add("score", "double")
         schema = to_arrow_schema(out)
 
@@ -168,20 +180,45 @@ class Cells:
                 return schema.empty_table()
             rows = rows.take(pc.sort_indices(rows, [("id", "ascending")]))  # ties stay in order of the ids
             own, found = unit_rows(rows.column("own").to_pylist()), []
-            vectors = asked.column("vector").to_pylist()
-            for at in range(0, len(vectors), 256):
-                some = vectors[at : at + 256]
-                score = np.full((len(some), rows.num_rows), 0.5)
+            cutoffs = np.nan_to_num(asked.column("cutoff").to_numpy().astype(float), nan=-1.0)
+            step = max(1, CELLS // rows.num_rows)
+            for at in range(0, asked.num_rows, step):
+                some = asked.column("vector").slice(at, step).to_pylist()
+                score, least = np.full((len(some), rows.num_rows), 0.5), cutoffs[at : at + step]
                 for dim, (i, unit) in unit_rows(some).items():
                     if dim in own:
                         j, m = own[dim]
                         score[np.ix_(i, j)] = np.round(np.clip((1 + unit @ m.T) / 2, 0, 1), 4)
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                found.append((np.repeat(np.arange(len(some)) + at, best.shape[1]), best.reshape(-1), np.take_along_axis(score, best, axis=1).reshape(-1)))
+                crowded = np.flatnonzero((score >= least[:, None]).sum(axis=1) > k)
+                if len(crowded):
+                    least = least.copy()
+                    least[crowded] = -np.partition(-score[crowded], k - 1, axis=1)[:, k - 1]
+                q, row = np.nonzero(score >= least[:, None])
+                value = score[q, row]
+                order = np.lexsort((row, -value, q))
+                q, row, value = q[order], row[order], value[order]
+                start = np.searchsorted(q, np.arange(len(some)))
+                use = np.arange(len(q)) - start[q] < k
+                found.append((q[use] + at, row[use], value[use]))
             q, row, score = (np.concatenate(x) for x in zip(*found, strict=True))
             return pa.Table.from_arrays([asked.column("query_id").take(pa.array(q)).combine_chunks(), rows.column("id").take(pa.array(row)).combine_chunks(), pa.array(score)], schema=schema)
 
-        return met.groupBy(*key, "qb").cogroup(pairs.groupBy(*key, "qb")).applyInArrow(run, out)
+        return met.groupBy("segment", "qb").cogroup(pairs.groupBy("segment", "qb")).applyInArrow(run, out)
+
+
+def _segments(dims: np.ndarray, sizes: np.ndarray) -> tuple[list[int], list[int]]:
+    """Each shell's first segment, and over how many it is dealt: small shells of a
+    dimension that lie side by side share one, a large one has its own."""
+    first, blocks, segment, held, last = [], [], 0, 0, None
+    for dim, n in zip(dims.tolist(), sizes.tolist(), strict=True):
+        if held and (dim != last or held + n > BLOCK_ROWS):
+            segment, held = segment + 1, 0
+        first.append(segment)
+        blocks.append(max(1, -(-n // BLOCK_ROWS)))
+        held, last = held + n, dim
+        if blocks[-1] > 1:
+            segment, held = segment + blocks[-1], 0
+    return first, blocks
 
 
 def _assigner(centres: dict[int, np.ndarray], schema: pa.Schema):

@@ -48,6 +48,12 @@ def ship(spark: SparkSession) -> None:
     sc._lodestone_shipped = True
 
 
+def discard(spark: SparkSession, at: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Tables:
     """Tables of one run, each written once and read by its later steps."""
 
@@ -67,10 +73,8 @@ class Tables:
 
     def only(self, *steps: str) -> None:
         """Delete all tables but these."""
-        jvm = self.spark.sparkContext._jvm
         for step in [s for s in self.steps if s not in steps]:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{step}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            discard(self.spark, f"{self.at}/{step}")
             self.steps.remove(step)
 
 

@@ -107,3 +107,15 @@ def test_groups_over_a_union_stay_whole(spark):
         best = both.where("id <> query_id").withColumn("s", F.col("score") - less * (F.col("id") % 2)).withColumn("r", F.row_number().over(w)).where("r = 1").select(F.lit(less).alias("arm"), "query_id")
         arms = best if arms is None else arms.unionByName(best)
     assert {r["count"] for r in arms.groupBy("arm", "query_id").count().collect()} == {1} and arms.count() == 50
+
+
+def test_a_query_goes_to_a_segment_once_however_many_shells_it_holds(spark, tmp_path, monkeypatch):
+    """Random directions: bounds skip nothing, and what is moved must not grow with queries times shells."""
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 200)
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(32)], "p") for i in range(600)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>, filepath string")
+    index = Cells.build(v, str(tmp_path / "s"))
+    asked = spark.createDataFrame([(i, x, None) for i, x, _ in rows[:30]], "query_id long, vector array<double>, cutoff double")
+    assert len(index.shells) > 20 and index._pairs(asked, 4, 1, False).count() <= 30 * 6
+    assert not (tmp_path / "s" / "raw").exists()
