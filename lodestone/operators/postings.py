@@ -3,8 +3,8 @@
 An index is built once for a snapshot of documents and read by every search. A
 range is a few hundred documents that lie side by side (of one group, if the
 documents have groups); a row of the index holds a term's postings of one range,
-and the most that the term can add to a score there. Rows are ordered by term,
-so a search reads only the row groups of its terms, and the columns of bounds
+and the most that the term can add to a score there. Each file is ordered by
+term, so a search reads only the pages of its terms, and the columns of bounds
 without the postings.
 
 A search adds up the bounds of its terms for each query and range. The few ranges
@@ -17,6 +17,7 @@ much is read depends on the documents, and ``search`` can say it.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -29,8 +30,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DataType, StructType
 from pyspark.sql.window import Window as W
 
-from lodestone.sources.scratch import Tables, ship
+from lodestone.sources.scratch import Tables, discard, ship
 
+from . import scan
 from .lexical import lowered, query_terms
 
 #: Documents of a range, characters of texts after which it ends, and what a task holds before it ends its largest.
@@ -47,33 +49,38 @@ _TOKEN = re.compile("[a-z0-9]+")
 
 
 class _Range:
-    """Documents of one group on the way to a range."""
+    """Documents of one group on the way to a range; a posting takes 8 bytes."""
 
     def __init__(self):
-        self.ids, self.sizes, self.chars, self.terms = [], [], 0, {}
+        self.ids, self.sizes, self.kinds, self.chars, self.codes, self.term, self.tf = [], [], [], 0, {}, array("i"), array("i")
 
     def add(self, doc_id, text: str) -> None:
-        words = _TOKEN.findall(text)
-        for term, n in Counter(words).items():
-            self.terms.setdefault(term, []).append((len(self.ids), n))
+        words, codes = _TOKEN.findall(text), self.codes
+        counted = Counter(words)
+        self.term.extend([codes.setdefault(w, len(codes)) for w in counted])
+        self.tf.extend(counted.values())
         self.ids.append(doc_id)
         self.sizes.append(len(words))
+        self.kinds.append(len(counted))
         self.chars += len(text)
 
     def rows(self, number: int, group, schema: pa.Schema) -> pa.RecordBatch:
         """One row for the range itself (no term), one for each of its terms."""
-        terms = sorted(self.terms)
-        flat = [p for t in terms for p in self.terms[t]]
-        doc, tf = (np.array([p[i] for p in flat], np.int64) for i in (0, 1))
-        count = np.array([len(self.ids), *(len(self.terms[t]) for t in terms)])
+        terms = sorted(self.codes)
+        rank = np.empty(len(terms), np.int64)
+        rank[np.array([self.codes[t] for t in terms], np.int64)] = np.arange(len(terms))
+        term = rank[np.array(self.term, np.int64)]
+        order = np.argsort(term, kind="stable")
+        doc = np.repeat(np.arange(len(self.ids)), self.kinds)[order]
+        count = np.concatenate(([len(self.ids)], np.bincount(term, minlength=len(terms))))
         at = pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32())
         ids, size = pa.array(self.ids, schema.field("ids").type.value_type), np.array(self.sizes, np.int32)
         every = np.concatenate((np.arange(len(self.ids)), doc))
+        tf = np.concatenate((np.zeros(len(self.ids), np.int32), np.array(self.tf, np.int32)[order]))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([None, *terms], pa.string()), pa.array(np.full(len(count), number)), pa.array([group] * len(count), schema.field("grp").type), pa.array(count),
-                pa.ListArray.from_arrays(at, ids.take(pa.array(every))), pa.ListArray.from_arrays(at, pa.array(np.concatenate((np.zeros(len(self.ids), np.int32), tf.astype(np.int32))))),
-                pa.ListArray.from_arrays(at, pa.array(size[every])),
+                pa.ListArray.from_arrays(at, ids.take(pa.array(every))), pa.ListArray.from_arrays(at, pa.array(tf)), pa.ListArray.from_arrays(at, pa.array(size[every])),
             ], schema=schema,
         )
 
@@ -83,7 +90,7 @@ def _cutter(schema: pa.Schema):
         held: dict = {}
         chars, number = 0, TaskContext.get().partitionId() << 33
         for b in batches:
-            for doc_id, group, text in zip(*(b.column(c).to_pylist() for c in ("id", "grp", "text")), strict=True):
+            for doc_id, group, text in zip(*((v.as_py() for v in b.column(c)) for c in ("id", "grp", "text")), strict=True):
                 own = held.setdefault(group, _Range())
                 own.add(doc_id, text)
                 chars += len(text)
@@ -101,22 +108,6 @@ def _cutter(schema: pa.Schema):
     return run
 
 
-def _bounder(mean: float, k1: float, b: float, schema: pa.Schema):
-    """The most that a term adds within a row, without its idf."""
-
-    def run(batches):
-        for batch in batches:
-            most = np.zeros(batch.num_rows)
-            tf, size = batch.column("tf"), batch.column("dl")
-            if batch.num_rows:
-                at = np.cumsum(pc.list_value_length(tf).to_numpy(zero_copy_only=False))
-                weight = impact(tf.flatten().to_numpy(), size.flatten().to_numpy(), mean, k1, b)
-                most = np.maximum.reduceat(weight, np.concatenate(([0], at[:-1])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names if c != "ub"), pa.array(most)], schema=schema)
-
-    return run
-
-
 def impact(tf: np.ndarray, size: np.ndarray, mean: float, k1: float, b: float) -> np.ndarray:
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean))
 
@@ -146,13 +137,12 @@ class Postings:
         size = F.sum(F.aggregate("dl", F.lit(0).cast("long"), lambda a, x: a + x))
         n, words = ranges.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(size, F.lit(0))).first()
         mean = words / n if n else 1.0
-        bounded = StructType.fromDDL(f"term string, range long, grp {own.schema['grp'].dataType.simpleString()}, n long, ub double, {arrays}")
-        order = to_arrow_schema(bounded)
-        order = pa.schema([f for f in order if f.name != "ub"] + [order.field("ub")])
-        ddl = StructType([bounded[f] for f in order.names])
-        ordered = cut.where("term IS NOT NULL").repartitionByRange("term", "range").sortWithinPartitions("term", "range")
-        ordered.mapInArrow(_bounder(mean or 1.0, k1, b, order), ddl).write.mode("overwrite").parquet(f"{at}/terms")
+        # the most that a term adds within a row, without its idf
+        adds = lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / (mean or 1.0)))
+        bounded = cut.where("term IS NOT NULL").withColumn("ub", F.array_max(F.zip_with("tf", "dl", adds)))
+        bounded.sortWithinPartitions("term", "range").write.mode("overwrite").parquet(f"{at}/terms")
         spark.createDataFrame([(n, float(mean), k1, b)], "n_docs long, avgdl double, k1 double, b double").coalesce(1).write.mode("overwrite").parquet(f"{at}/stats")
+        discard(spark, f"{at}/raw")
         return cls(spark, at)
 
     def search(self, queries: DataFrame, k: int, by_group: bool = False, read: list | None = None) -> DataFrame:
@@ -170,8 +160,11 @@ class Postings:
         bounds = terms.join(wanted, "term").groupBy("query_id", "range", "grp").agg(F.sum(F.col("idf") * F.col("ub")).alias("most"))
         place = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("most"), "range"))
         bounds = tables.keep(bounds.withColumn("place", place), "bounds")
-        blocks = max(1, -(-terms.select("query_id").distinct().count() // QUERY_BLOCK))
-        first = tables.keep(self._scored(bounds.where(F.col("place") <= FIRST), terms, k, blocks), "first")
+        asking, n = terms.agg(F.count_distinct("query_id"), F.count("*")).first()
+        blocks, own = max(1, -(-asking // QUERY_BLOCK)), None
+        if asking <= scan.MOST_QUERIES and n <= scan.MOST_TERMS:
+            own = terms.orderBy("query_id", "term").toArrow()  # goes to every task
+        first = tables.keep(self._scored(bounds.where(F.col("place") <= FIRST), terms, k, blocks, own), "first")
         at = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("score"), "id"))
         cutoff = first.withColumn("_n", at).where(F.col("_n") == k).select(*[F.col(c).alias(f"_{c}") for c in key], F.col("score").alias("cutoff"))
         same = [bounds[c].eqNullSafe(cutoff[f"_{c}"]) for c in key]
@@ -183,15 +176,22 @@ class Postings:
             for phase, pairs in (("first", bounds.where(F.col("place") <= FIRST)), ("rest", rest)):
                 used = pairs.join(terms, "query_id").select("range", "term").distinct().join(wanted, ["range", "term"])
                 read.append((phase, used.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], every))
-        out = first.unionByName(self._scored(rest, terms, k, blocks))
+        out = first.unionByName(self._scored(rest, terms, k, blocks, own))
         return out if by_group else out.drop("grp")
 
-    def _scored(self, pairs: DataFrame, terms: DataFrame, k: int, blocks: int) -> DataFrame:
-        """query_id, id, score, grp: the k best of each pair of a query and a range."""
-        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("qb")
-        asked = pairs.join(terms, "query_id").select("range", block, "query_id", "grp", "term", "idf")
-        anew = [F.col(c).alias(c) for c in ("range", "qb", "term")]  # both sides come from one table
-        held = asked.select(*anew).distinct().join(self.rows.select("range", "term", "ids", "tf", "dl"), ["range", "term"])
+    def _scored(self, pairs: DataFrame, terms: DataFrame, k: int, blocks: int, own: pa.Table | None) -> DataFrame:
+        """query_id, id, score, grp: the k best of each pair of a query and a range.
+        The queries' terms are ``own``, or too many for that and joined to the pairs."""
+        key, block = ["range", "qb"], F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("qb")
+        rows = self.rows.select("range", "term", "ids", "tf", "dl")
+        anew = lambda d, cs: d.select(*[F.col(c).alias(c) for c in cs]).distinct()  # noqa: E731  # both sides come from one table
+        if own is None:
+            asked = pairs.join(terms, "query_id").select("range", block, "query_id", "grp", "term", "idf")
+            held = anew(asked, [*key, "term"]).join(rows, ["range", "term"])
+        else:
+            asked = pairs.select("range", block, "query_id", "grp")
+            named = self.spark.createDataFrame([(t,) for t in pc.unique(own.column("term")).to_pylist()], "term string")
+            held = anew(asked, key).join(rows.join(F.broadcast(named), "term", "left_semi"), "range")
         out = StructType([pairs.schema["query_id"]]).add("id", self.rows.schema["ids"].dataType.elementType).add("score", "double").add(pairs.schema["grp"])
         schema, (mean, k1, b) = to_arrow_schema(out), (self.stats[c] for c in ("avgdl", "k1", "b"))
 
@@ -199,6 +199,9 @@ class Postings:
             rows, want = rows.combine_chunks(), want.combine_chunks()
             if not rows.num_rows or not want.num_rows:
                 return schema.empty_table()
+            group = want.column("grp")[0].as_py()
+            if own is not None:
+                want = own.filter(pc.is_in(own.column("query_id"), pc.unique(want.column("query_id")))).combine_chunks()
             lists = {c: pa.chunked_array(rows.column(c)).combine_chunks() for c in ("ids", "tf", "dl")}
             coded = lists["ids"].flatten().dictionary_encode()
             order = pc.sort_indices(coded.dictionary)
@@ -216,17 +219,17 @@ class Postings:
             size = ends[place] - begins[place]
             part = np.cumsum(size) // CELLS  # some rows at a time
             for p in np.unique(part):
-                own = np.flatnonzero(part == p)
-                n = size[own]
-                cell = np.repeat(begins[place[own]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                total += np.bincount(np.repeat(who[own], n) * len(ids) + doc[cell], weights=np.repeat(idf[own], n) * weight[cell], minlength=len(total))
+                now = np.flatnonzero(part == p)
+                n = size[now]
+                cell = np.repeat(begins[place[now]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                total += np.bincount(np.repeat(who[now], n) * len(ids) + doc[cell], weights=np.repeat(idf[now], n) * weight[cell], minlength=len(total))
             total = total.reshape(-1, len(ids))
             score = np.round(total, 4)
             best = np.argsort(-np.where(total > 0, score, -1.0), axis=1, kind="stable")[:, :k]  # ties stay in order of the ids
             q, at = np.repeat(np.arange(len(best)), best.shape[1]), best.reshape(-1)
             hit = total[q, at] > 0
             q, at = q[hit], at[hit]
-            group = pa.array([want.column("grp")[0].as_py()] * len(q), schema.field("grp").type)
+            group = pa.array([group] * len(q), schema.field("grp").type)
             return pa.Table.from_arrays([asker.dictionary.take(pa.array(q)), ids.take(pa.array(at)), pa.array(score[q, at]), group], schema=schema)
 
         return held.groupBy("range", "qb").cogroup(asked.groupBy("range", "qb")).applyInArrow(run, out)

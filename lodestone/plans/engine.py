@@ -84,7 +84,7 @@ class Engine:
         return scratch.built(self.spark, f"{self._root()}/{kind}/{self.store.snapshot()}/{what}", build)
 
     def _postings(self, project: str | None) -> Postings:
-        return Postings(self.spark, self._index("postings", project, lambda to: Postings.build(self._blocks(project), to, "project_id")))
+        return Postings(self.spark, self._index("postings2", project, lambda to: Postings.build(self._blocks(project), to, "project_id")))
 
     def _cells(self, project: str | None) -> Cells:
         return Cells(self.spark, self._index("cells2", project, lambda to: Cells.build(self._blocks(project), to)))

@@ -110,3 +110,14 @@ def test_lines_meet_blocks_in_one_large_file(spark):
     got = lexical.map_lines(hits, blocks.unionByName(around)).groupBy("id").count().groupBy("count").agg(F.count("*").alias("n"), F.max("id").alias("one")).collect()
     assert {(r["count"], r.n, r.one) for r in got} == {(8, 100_000, "b99999"), (200_000, 1, "class")}
     assert time.time() - began < 120
+
+
+def test_terms_that_go_to_every_task_or_are_joined_give_the_same(spark, tmp_path, monkeypatch):
+    docs, queries = corpus(9, 60)
+    monkeypatch.setattr(postings, "RANGE_DOCS", 8)
+    index = Postings.build(spark.createDataFrame(docs, "id long, text string, source string"), str(tmp_path / "j"), "source")
+    assert not (tmp_path / "j" / "raw").exists()  # the index lies on disk once
+    q, take = spark.createDataFrame(queries, "query_id long, query string"), lambda d: {tuple(r) for r in d.collect()}
+    sent = take(index.search(q, 3, by_group=True))
+    monkeypatch.setattr(postings.scan, "MOST_TERMS", 0)
+    assert sent and sent == take(index.search(q, 3, by_group=True))
