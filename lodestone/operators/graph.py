@@ -4,11 +4,14 @@ A block points to every other block whose name is among its words. Written out,
 the edges grow with the square of the blocks that share names, so they are not:
 they stay block -> name -> block. A step of PageRank sums rank by name and hands
 each sum to the name's blocks, minus the share that a block which says its own
-name would have given itself. What is stored is linear in the mentions.
+name would have given itself. What is stored is linear in the mentions, and a
+step's work in the pairs of a name and a word that its blocks say.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ from .lexical import top
 HOT, SPREAD = 100_000, 32
 #: Entries in a task of a step.
 PART_ROWS = 50_000
+#: Factors under e to the minus this (1e-30) are left out.
+FAINT = 69.1
 
 
 def mention_edges(blocks: DataFrame) -> DataFrame:
@@ -52,25 +57,29 @@ def out_degrees(blocks: DataFrame) -> DataFrame:
     return mentions(blocks).select(F.col("id").alias("src"), F.col("deg").alias("out_degree"))
 
 
-def _share(parts: str, g: str, word: str):
-    """The share of a hot name that an entry goes to: blocks that say their own
-    name by their degree, so each such class has one place; others by word."""
-    key = F.when(F.col(g) > 0, F.xxhash64(F.col(g), F.lit("deg"))).otherwise(F.xxhash64(F.col(word)))
-    return F.pmod(key, F.col(parts)).cast("int")
+def _factors(degree, damping: float, iterations: int):
+    """How many powers of damping / degree count: those after them are under 1e-30,
+    beside a rank of 0.15 / n at least, and change no double."""
+    if damping <= 0:
+        return F.lit(0)
+    few = F.least(F.lit(iterations), F.ceil(FAINT / (F.log(degree) - math.log(damping))))
+    return F.when(degree > damping, few).otherwise(iterations).cast("int")
 
 
 def pagerank(blocks: DataFrame, iterations: int = 100, damping: float = 0.85, every: int = 25) -> DataFrame:
     """id, pr of blocks(id, name, text) after a fixed number of iterations; the
     mass of blocks that point nowhere is not handed on.
 
-    Blocks of one name that do not say it have one rank; of those that do, blocks
-    of one name and degree have one rank. So a step works on such classes: an entry
-    (class, word, weight) sums 1 / deg over the class's blocks that say the word.
-    Entries lie in memory dealt by the class's name and never move; a step shuffles
-    one sum for each task and name. With it comes what the classes had before,
-    which they need to take off what they would give themselves. A name with more
-    than ``HOT`` entries is dealt in shares. The lineage is cut every few
-    iterations, and older tables go.
+    With x the rank that a block of a name would have if it did not say the name
+    itself, one that does, and points to g blocks, has x - damping / g * (its rank
+    before). So its rank is a sum of powers of -damping / g times the x of the
+    steps before, and what all blocks of a name give to a word is a sum over these x
+    alone, with factors that stay the same. An entry (name, word, factors) holds
+    them, whatever the number of blocks and degrees behind it; a name's row of the
+    frame holds its last x, newest first, as many as its blocks need. Entries lie in
+    memory dealt by name and never move; a step shuffles one sum for each task and
+    name. A name with more than ``HOT`` entries is dealt in shares. The lineage is cut
+    every few iterations, and older tables go.
     """
     nodes = blocks.select("id", F.coalesce("name", F.lit("")).alias("name"))
     n = nodes.count()
@@ -79,47 +88,46 @@ def pagerank(blocks: DataFrame, iterations: int = 100, damping: float = 0.85, ev
     tables, base = Tables(blocks.sparkSession, "pagerank"), (1 - damping) / n
     source = tables.keep(mentions(blocks), "sources")
     g = F.when(F.col("own"), F.col("deg")).otherwise(0).alias("g")
-    entries = source.select("name", g, F.explode("words").alias("word"), (1 / F.col("deg")).alias("w")).groupBy("name", "g", "word").agg(F.sum("w").alias("w"))
+    classes = source.select("name", g, F.explode("words").alias("word"), (1 / F.col("deg")).alias("w")).groupBy("name", "g", "word").agg(F.sum("w").alias("w"))
+    most = F.when(F.col("g") > 0, _factors(F.col("g"), damping, iterations)).otherwise(0)
+    powers = classes.select("name", "word", "g", "w", F.explode(F.sequence(F.lit(0), most)).alias("j"))
+    power = F.when(F.col("j") == 0, F.lit(1.0)).otherwise(F.pow(-damping / F.col("g"), F.col("j")))
+    factors = powers.groupBy("name", "word", "j").agg(F.sum(F.col("w") * power).alias("b"))
+    entries = factors.groupBy("name", "word").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "b"))), lambda x: x["b"]).alias("b"))
     entries = tables.keep(entries, "entries")
-    parts = entries.groupBy("name").agg(F.least(F.lit(SPREAD), F.ceil(F.count("*") / HOT)).cast("int").alias("parts"))
+    parts = entries.groupBy("name").agg(F.least(F.lit(SPREAD), F.ceil(F.count("*") / HOT)).cast("int").alias("parts"), (F.max(F.size("b")) - 1).alias("most"))
     parts = tables.keep(parts, "parts")
-    dealt = entries.join(parts, "name").withColumn("part", _share("parts", "g", "word"))
-    # the classes of a share that say their own name, each with its place among them
-    own = dealt.where("g > 0").groupBy("name", "part").agg(F.sort_array(F.collect_set("g")).alias("degs"))
-    own = tables.keep(own, "own")
-    place = own.select("name", "part", F.posexplode("degs").alias("k", "g"))
-    held = dealt.join(place, ["name", "part", "g"], "left").join(parts.select(F.col("name").alias("word"), F.col("parts").alias("to")), "word", "left")
-    held = held.select("name", "part", "word", F.explode(F.sequence(F.lit(0), F.coalesce("to", F.lit(1)) - 1)).alias("to"), "k", "w")
-    # a row for each share with such classes brings on what they had
-    bring = own.select("name", "part", F.col("name").alias("word"), F.col("part").alias("to"), F.lit(-1).alias("k"), F.lit(0.0).alias("w"))
+    dealt = entries.join(parts, "name").withColumn("part", F.pmod(F.xxhash64("word"), "parts").cast("int"))
+    held = dealt.join(parts.select(F.col("name").alias("word"), F.col("parts").alias("to")), "word", "left")
+    held = held.select("name", "part", "word", F.explode(F.sequence(F.lit(0), F.coalesce("to", F.lit(1)) - 1)).alias("to"), "b", F.lit(None).cast("int").alias("most"))
+    # a row for each share of a name brings its x on to the next step
+    bring = parts.select("name", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("name").alias("word"), F.lit(None).cast("array<double>").alias("b"), "most").withColumn("to", F.col("part"))
     held = tables.keep(held.unionByName(bring), "held")
     # many small steps in one job: nothing to plan again between them, hot names are dealt already
     quiet = blocks.sparkSession.newSession()
     quiet.conf.set("spark.sql.adaptive.enabled", "false")
     quiet.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
-    most, rows = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), held.count()
-    quiet.conf.set("spark.sql.shuffle.partitions", str(min(most, max(4, rows // PART_ROWS))))
-    own, held = tables.read("own", quiet), tables.read("held", quiet).repartition("name", "part").persist()
-    every_share = held.select("name", "part").distinct().join(own, ["name", "part"], "left")
-    # sums and former ranks that make every first rank 1 / n
-    frame = every_share.select("name", "part", F.lit(1.0 / n).alias("s"), F.transform("degs", lambda d: F.struct((damping / d).alias("c"), F.lit(0.0).alias("pr"))).alias("had"))
-    s = F.coalesce("s", F.lit(0.0))
-    less = lambda k: F.coalesce(F.col("had")[k]["c"] * F.col("had")[k]["pr"], F.lit(0.0))
+    tasks, rows = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), held.count()
+    quiet.conf.set("spark.sql.shuffle.partitions", str(min(tasks, max(4, rows // PART_ROWS))))
+    held = tables.read("held", quiet).repartition("name", "part").persist()
+    frame = held.where("most IS NOT NULL").select("name", "part", F.array(F.lit(1.0 / n)).alias("x"))
     for i in range(iterations):
-        given = held.join(frame.hint("shuffle_hash"), ["name", "part"], "left")  # a share's sums fit in its task
-        now = base + damping * s - F.when(F.col("k") >= 0, less(F.col("k"))).otherwise(0.0)
-        had = F.when(F.col("k") == -1, F.transform("had", lambda x: F.struct(x["c"].alias("c"), (base + damping * s - x["c"] * x["pr"]).alias("pr"))))
-        given = given.select(F.col("word").alias("name"), F.col("to").alias("part"), (F.col("w") * now).alias("v"), had.alias("had"))
-        frame = given.groupBy("name", "part").agg(F.sum("v").alias("s"), F.get(F.collect_list("had"), F.lit(0)).alias("had"))
+        given = held.join(frame.hint("shuffle_hash"), ["name", "part"])  # a share's rows fit in its task
+        terms = F.zip_with("b", F.slice("x", F.lit(1), F.size("b")), lambda b, x: b * F.coalesce(x, F.lit(0.0)))
+        v = F.when(F.col("most").isNull(), F.aggregate(terms, F.lit(0.0), lambda total, term: total + term))
+        given = given.select(F.col("word").alias("name"), F.col("to").alias("part"), v.alias("v"), F.when(F.col("most").isNotNull(), F.slice("x", F.lit(1), F.col("most"))).alias("x"))
+        had = F.coalesce(F.get(F.collect_list("x"), F.lit(0)), F.array().cast("array<double>"))
+        frame = given.groupBy("name", "part").agg(F.concat(F.array(base + damping * F.coalesce(F.sum("v"), F.lit(0.0))), had).alias("x"))
         if (i + 1) % every == 0 or i + 1 == iterations:
             frame = tables.keep(frame, f"frame-{i}", quiet)
-            tables.only("sources", "parts", "own", "held", f"frame-{i}")
+            tables.only("sources", "held", f"frame-{i}")
     held.unpersist()
-    frame = tables.read(f"frame-{iterations - 1}")
+    # the shares of a name have the same x
+    frame = tables.read(f"frame-{iterations - 1}").where("part = 0").select("name", "x")
     said = source.where("own").select("id", F.col("deg").alias("g"))
-    where = nodes.join(said, "id", "left").join(parts, "name", "left").withColumn("part", F.when(F.col("g") > 0, _share("parts", "g", "name")).otherwise(0))
-    ranked = where.join(place, ["name", "part", "g"], "left").join(frame, ["name", "part"], "left")
-    return ranked.select("id", (base + damping * s - less(F.col("k"))).alias("pr"))
+    ranked = nodes.join(said, "id", "left").join(frame, "name", "left")
+    series = F.aggregate(F.reverse("x"), F.lit(0.0), lambda total, x: x - damping / F.col("g") * total)
+    return ranked.select("id", F.coalesce(F.when(F.col("g").isNull(), F.get("x", F.lit(0))).otherwise(series), F.lit(base)).alias("pr"))
 
 
 def graph_rank(blocks: DataFrame, queries: DataFrame, k: int = 10, iterations: int = 100) -> DataFrame:

@@ -70,3 +70,26 @@ def test_no_blocks_and_no_steps(spark):
     assert graph.pagerank(empty).collect() == []
     two = spark.createDataFrame([(1, "a", "b"), (2, "b", "a")], "id long, name string, text string")
     assert [r.pr for r in graph.pagerank(two, 0).collect()] == [0.5, 0.5]
+
+
+def test_a_step_works_on_pairs_of_names_whatever_the_degrees(spark, monkeypatch):
+    """Blocks that say their own name with very many degrees: a step must not hold a row, or bring on a value, for each."""
+    rng = random.Random(7)
+    names, rows = [f"n{i}" for i in range(8)], []
+    for i, name in enumerate(name for k, name in enumerate(names) for _ in range(2**k)):
+        rows.append((i, name, " ".join({name, *rng.sample(names, rng.randint(0, 6))})))
+    rows.append((len(rows), "alone", "alone n0"))  # one block points to n0 only: the slowest series
+    blocks = spark.createDataFrame(rows, "id long, name string, text string")
+    assert graph.mentions(blocks).select("name", "deg").distinct().count() > 100
+    kept, keep = {}, graph.Tables.keep
+
+    def seen(self, frame, step, *session):
+        out = keep(self, frame, step, *session)
+        kept[step] = [r.asDict() for r in out.collect()]
+        return out
+
+    monkeypatch.setattr(graph.Tables, "keep", seen)
+    got = {r.id: r.pr for r in graph.pagerank(blocks, 30, every=10).collect()}
+    assert len(kept["held"]) <= 9 * 9 + 9 and sum(len(v) for r in kept["frame-29"] for v in r.values() if isinstance(v, list)) <= 9 * 31
+    want, _ = plain_ranks(rows, 30)
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
