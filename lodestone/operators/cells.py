@@ -36,8 +36,13 @@ from .scan import unit_rows
 
 #: Vectors that centroids are fitted on, most cells of a dimension, shells of a half turn.
 SAMPLE, MOST_CELLS, SHELLS = 4096, 1024, 64
-#: Vectors of a segment, queries that meet it in one group, vectors that are scored first.
-BLOCK_ROWS, BLOCK_QUERIES, FIRST_ROWS = 8192, 8192, 512
+#: Segments that a table is cut into, while they hold no fewer and no more vectors than these: a query goes to
+#: each segment at most once, so what is moved grows with the queries, up to SEGMENTS * BLOCK_ROWS vectors.
+SEGMENTS, LEAST_ROWS, BLOCK_ROWS = 32, 256, 65_536
+#: Queries that meet a segment in one group, vectors that are scored first.
+BLOCK_QUERIES, FIRST_ROWS = 65_536, 512
+#: Components of a segment's vectors and of a group's queries, so wide vectors are fewer.
+BLOCK_VALUES = 1 << 22
 #: Scores that are computed at once.
 CELLS = 1 << 20
 #: More than rounding to four places and angles cost.
@@ -104,8 +109,8 @@ class Cells:
         ``read`` gets (phase, vectors scored, vectors times queries)."""
         tables = Tables(self.spark, "cells")
         asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-        n = asked.count()
-        groups = max(1, -(-n // BLOCK_QUERIES))
+        n, wide = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+        groups = max(1, -(-n // min(BLOCK_QUERIES, max(LEAST_ROWS, BLOCK_VALUES // max(wide, 1)))))
         first = self._pairs(asked.withColumn("cutoff", F.lit(None).cast("double")), k, groups, True)
         first = tables.keep(self._scored(first, k, prefix), "first")
         place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
@@ -209,12 +214,14 @@ class Cells:
 def _segments(dims: np.ndarray, sizes: np.ndarray) -> tuple[list[int], list[int]]:
     """Each shell's first segment, and over how many it is dealt: small shells of a
     dimension that lie side by side share one, a large one has its own."""
+    even = max(LEAST_ROWS, -(-int(sizes.sum()) // SEGMENTS))
     first, blocks, segment, held, last = [], [], 0, 0, None
     for dim, n in zip(dims.tolist(), sizes.tolist(), strict=True):
-        if held and (dim != last or held + n > BLOCK_ROWS):
+        most = min(BLOCK_ROWS, even, max(LEAST_ROWS, BLOCK_VALUES // max(dim, 1)))
+        if held and (dim != last or held + n > most):
             segment, held = segment + 1, 0
         first.append(segment)
-        blocks.append(max(1, -(-n // BLOCK_ROWS)))
+        blocks.append(max(1, -(-n // most)))
         held, last = held + n, dim
         if blocks[-1] > 1:
             segment, held = segment + blocks[-1], 0

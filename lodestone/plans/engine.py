@@ -87,7 +87,7 @@ class Engine:
         return Postings(self.spark, self._index("postings2", project, lambda to: Postings.build(self._blocks(project), to, "project_id")))
 
     def _cells(self, project: str | None) -> Cells:
-        return Cells(self.spark, self._index("cells2", project, lambda to: Cells.build(self._blocks(project), to)))
+        return Cells(self.spark, self._index("cells3", project, lambda to: Cells.build(self._blocks(project), to)))
 
     def _lexical(self, blocks: DataFrame, queries: DataFrame, k: int, project: str | None) -> DataFrame:
         """Line search; BM25 where the settings say so."""

@@ -119,3 +119,16 @@ def test_a_query_goes_to_a_segment_once_however_many_shells_it_holds(spark, tmp_
     asked = spark.createDataFrame([(i, x, None) for i, x, _ in rows[:30]], "query_id long, vector array<double>, cutoff double")
     assert len(index.shells) > 20 and index._pairs(asked, 4, 1, False).count() <= 30 * 6
     assert not (tmp_path / "s" / "raw").exists()
+
+
+@pytest.mark.parametrize("n, dim, most", [(1_000, 64, 8), (100_000, 64, 70), (1_500_000, 64, 70), (600_000, 1024, 300)])
+def test_segments_stay_as_many_while_vectors_grow(n, dim, most):
+    """A query goes to each segment: their number must not grow with the table, nor a segment beyond what a task holds."""
+    rng = random.Random(n)
+    sizes = [rng.randint(1, 40) for _ in range(n // 25)] + [n // 5]
+    first, blocks = cells._segments(cells.np.full(len(sizes), dim), cells.np.array(sizes))
+    held = {}
+    for s, b, size in zip(first, blocks, sizes, strict=True):
+        for i in range(b):
+            held[s + i] = held.get(s + i, 0) + size / b
+    assert len(held) <= most and max(held.values()) * dim <= 1 << 22
