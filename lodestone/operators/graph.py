@@ -23,6 +23,8 @@ from .lexical import top
 
 #: Entries of one name above which they are dealt over tasks, and into how many shares at most.
 HOT, SPREAD = 100_000, 32
+#: Names, and letters in them, up to which they go to the texts.
+MOST_NAMES, MOST_LETTERS = 100_000, 4 << 20
 #: Entries in a task of a step.
 PART_ROWS = 50_000
 #: Factors under e to the minus this (1e-30) are left out.
@@ -46,6 +48,9 @@ def mentions(blocks: DataFrame) -> DataFrame:
     nothing mentions. Ids are unique."""
     named = blocks.select("id", F.coalesce("name", F.lit("")).alias("name"), "text")
     size = named.where("name <> ''").groupBy(F.col("name").alias("word")).agg(F.count("*").alias("c"))
+    names, letters = size.agg(F.count("*"), F.coalesce(F.sum(F.length("word")), F.lit(0))).first()
+    if names <= MOST_NAMES and letters <= MOST_LETTERS:  # else every word of every text is moved to meet them
+        size = F.broadcast(size)
     said = named.select("id", "name", F.explode(X.keywords(F.col("text"))).alias("word")).join(size, "word")
     own = (F.col("word") == F.col("name")).cast("long")
     out = said.groupBy("id", "name").agg((F.sum("c") - F.sum(own)).alias("deg"), (F.sum(own) > 0).alias("own"), F.collect_list("word").alias("words"))
@@ -135,9 +140,12 @@ def graph_rank(blocks: DataFrame, queries: DataFrame, k: int = 10, iterations: i
     n = blocks.count()
     rank = pagerank(blocks, iterations)
     q = queries.select("query_id", X.keywords(F.col("query")).alias("qk"))
-    b = blocks.select("id", X.keywords(F.col("text")).alias("tk")).join(rank, "id")
+    b = blocks.select("id", X.keywords(F.col("text")).alias("tk"))
     asked = scan.collected(q, "qk")
     if asked is not None:
-        return top(scan.best_rows(b, queries, [a for a, _ in asked], k, scan.share_scorer([t for _, t in asked], 0.7, 0.3 * n)), k, "ast_rank")
-    share = F.size(F.array_intersect("qk", "tk")) / F.greatest(F.size("qk"), F.lit(1))
-    return top(b.crossJoin(q).select("query_id", "id", F.round(0.7 * share + 0.3 * F.col("pr") * n, 4).alias("score")), k, "ast_rank")
+        lists = [t for _, t in asked]
+        b = scan.asked_places(b, lists).join(rank, "id")
+        return top(scan.best_rows(b, queries, [a for a, _ in asked], k, scan.share_scorer(lists, 0.7, 0.3 * n)), k, "ast_rank")
+    words = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    share = F.size(F.array_intersect(words("qk"), words("tk"))) / F.greatest(F.size(words("qk")), F.lit(1))
+    return top(b.join(rank, "id").crossJoin(q).select("query_id", "id", F.round(0.7 * share + 0.3 * F.col("pr") * n, 4).alias("score")), k, "ast_rank")

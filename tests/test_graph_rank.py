@@ -93,3 +93,24 @@ def test_a_step_works_on_pairs_of_names_whatever_the_degrees(spark, monkeypatch)
     assert len(kept["held"]) <= 9 * 9 + 9 and sum(len(v) for r in kept["frame-29"] for v in r.values() if isinstance(v, list)) <= 9 * 31
     want, _ = plain_ranks(rows, 30)
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+
+
+def test_words_that_nobody_asks_for_do_not_move(spark, monkeypatch):
+    """Texts of many words meet the names, and then the ranks, by those that are names or are asked for."""
+    rows = [(i, f"n{i % 5}", None if i == 7 else " ".join([f"w{i}_{j}" for j in range(50)] + [f"n{i % 3}"] + ["query"] * (i % 4 == 0))) for i in range(40)]
+    blocks = spark.createDataFrame(rows, "id long, name string, text string")
+    queries = spark.createDataFrame([(1, "query n2"), (2, "w3_1"), (3, None), (4, "of nothing")], "query_id long, query string")
+    seen, best_rows = [], graph.scan.best_rows
+    monkeypatch.setattr(graph.scan, "best_rows", lambda rows, *a, **b: seen.append(rows) or best_rows(rows, *a, **b))
+    got = {(r.query_id, r["rank"], r.id, r.score) for r in graph.graph_rank(blocks, queries, 6, 5).collect()}
+    assert max(len(r.tk or ()) for r in seen[0].collect()) == 2 and seen[0].count() == 40
+    assert "SortMergeJoin" not in graph.mentions(blocks)._jdf.queryExecution().executedPlan().toString()
+    pr, _ = plain_ranks(rows, 5)
+    want = set()
+    for q, words in ((1, {"query", "n2"}), (2, {"w3_1"}), (3, set()), (4, {"of", "nothing"})):
+        scored = sorted((-round(0.7 * len(words & set((t or "").split())) / max(len(words), 1) + 0.3 * pr[i] * 40, 4), i) for i, _, t in rows)
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:6])}
+    assert got == want
+    monkeypatch.setattr(graph, "MOST_NAMES", 0)
+    monkeypatch.setattr(graph.scan, "MOST_QUERIES", 0)
+    assert got == {(r.query_id, r["rank"], r.id, r.score) for r in graph.graph_rank(blocks, queries, 6, 5).collect()}
