@@ -37,14 +37,14 @@ def minmax(hits: DataFrame) -> DataFrame:
 
 
 def ranked(hits: DataFrame, by: str = "score") -> DataFrame:
-    return hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(by), "id")))
+    return hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(by), F.asc_nulls_last("id"))))
 
 
 def rerank(hits: DataFrame, k: int, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The k best by rerank_score. ``scorer`` adds that column; without one the
     order stays and rerank_score is similarity."""
     scored = scorer(hits) if scorer is not None else hits.withColumn("rerank_score", F.col("similarity"))
-    first = W.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.desc("score"), "id")
+    first = W.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.desc("score"), F.asc_nulls_last("id"))
     return scored.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
 
 

@@ -42,6 +42,8 @@ def structural_scores(blocks: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def structural(blocks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """The k best blocks(id, name, text) of each query; a block without an id is never found."""
+    blocks = blocks.where("id IS NOT NULL")
     asked = scan.collected(queries.select("query_id", F.array_distinct(X.word_tokens(F.col("query"))).alias("q"), X.identifiers(F.col("query")).alias("qi")), "q", "qi")
     if asked is None:
         return top(structural_scores(blocks, queries), k, "structural")
