@@ -123,7 +123,8 @@ class Postings:
 
     @classmethod
     def build(cls, docs: DataFrame, at: str, group: str | None = None, k1: float = 1.5, b: float = 0.75) -> Postings:
-        """Index docs(id, text[, group]) into the folder ``at``; ids are unique."""
+        """Index docs(id, text[, group]) into the folder ``at``; ids are unique. A document
+        without an id counts in the statistics and is never found."""
         spark = docs.sparkSession
         ship(spark)
         own = lowered(docs, group).withColumnRenamed(group, "grp") if group else lowered(docs).withColumn("grp", F.lit(None).cast("string"))
@@ -186,7 +187,7 @@ class Postings:
         rows = self.rows.select("range", "term", "ids", "tf", "dl")
         anew = lambda d, cs: d.select(*[F.col(c).alias(c) for c in cs]).distinct()  # noqa: E731  # both sides come from one table
         if own is None:
-            asked = pairs.join(terms, "query_id").select("range", block, "query_id", "grp", "term", "idf")
+            asked = pairs.join(terms.withColumnRenamed("query_id", "_q"), F.col("query_id").eqNullSafe(F.col("_q"))).select("range", block, "query_id", "grp", "term", "idf")
             held = anew(asked, [*key, "term"]).join(rows, ["range", "term"])
         else:
             asked = pairs.select("range", block, "query_id", "grp")
@@ -203,7 +204,7 @@ class Postings:
             if own is not None:
                 want = own.filter(pc.is_in(own.column("query_id"), pc.unique(want.column("query_id")))).combine_chunks()
             lists = {c: pa.chunked_array(rows.column(c)).combine_chunks() for c in ("ids", "tf", "dl")}
-            coded = lists["ids"].flatten().dictionary_encode()
+            coded = lists["ids"].flatten().dictionary_encode(null_encoding="encode")
             order = pc.sort_indices(coded.dictionary)
             ids, rank = coded.dictionary.take(order), np.empty(len(coded.dictionary), np.int64)
             rank[order.to_numpy()] = np.arange(len(ids))
@@ -213,7 +214,7 @@ class Postings:
             begins = np.concatenate(([0], ends[:-1]))
             at = pc.index_in(want.column("term").combine_chunks(), rows.column("term").combine_chunks())
             want, place = want.filter(pc.is_valid(at)), at.drop_null().to_numpy().astype(np.int64)  # a range need not hold all terms
-            asker = want.column("query_id").combine_chunks().dictionary_encode()
+            asker = want.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode")
             who, idf = asker.indices.to_numpy(), want.column("idf").to_numpy()
             total = np.zeros(len(asker.dictionary) * len(ids))
             size = ends[place] - begins[place]
@@ -224,6 +225,7 @@ class Postings:
                 cell = np.repeat(begins[place[now]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 total += np.bincount(np.repeat(who[now], n) * len(ids) + doc[cell], weights=np.repeat(idf[now], n) * weight[cell], minlength=len(total))
             total = total.reshape(-1, len(ids))
+            total[:, ids.is_null().to_numpy(zero_copy_only=False)] = 0
             score = np.round(total, 4)
             best = np.argsort(-np.where(total > 0, score, -1.0), axis=1, kind="stable")[:, :k]  # ties stay in order of the ids
             q, at = np.repeat(np.arange(len(best)), best.shape[1]), best.reshape(-1)

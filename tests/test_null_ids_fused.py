@@ -3,6 +3,8 @@
 import duckdb
 import pytest
 
+from lodestone.operators import scan
+from lodestone.operators.postings import Postings
 from lodestone.plans import catalog
 
 TEXTS = ["alpha beta", "alpha\nalpha", "beta gamma", "gamma", "alpha beta gamma", None]
@@ -19,7 +21,7 @@ def tables(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["hybrid_topk"])
+@pytest.mark.parametrize("name", ["hybrid_topk", "minmax_normalise"])
 def test_null_ids_like_sql(spark, tables, name):
     db = duckdb.connect()
     for t in ("documents", "benchmark", "embeddings"):
@@ -28,3 +30,12 @@ def test_null_ids_like_sql(spark, tables, name):
     columns = [c[0] for c in want.description]
     got = catalog.queries()[name](spark, str(tables)).select(*columns).collect()
     assert got and sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+
+
+def test_index_without_ids(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([d[:2] for d in DOCS], "id long, text string")
+    index, asked = Postings.build(docs, str(tmp_path / "index")), spark.createDataFrame(ASKED, "query_id long, query string")
+    sent = sorted(map(str, index.search(asked, 10).collect()))
+    assert len(sent) == 3 + 4 + 4  # documents with an id that hold a word of the query
+    monkeypatch.setattr(scan, "MOST_QUERIES", 0)
+    assert sorted(map(str, index.search(asked, 10).collect())) == sent
